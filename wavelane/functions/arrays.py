@@ -22,17 +22,20 @@ def mean(values: Column) -> Column:
 
 def moments(values: Column) -> Column:
     """struct(mean, std): population deviation, exactly 0 for a constant array."""
-    return let(mean(values), lambda m: F.struct(
-        m.alias("mean"),
-        F.when(F.array_max(values) == F.array_min(values), F.lit(0.0)).otherwise(F.sqrt(
-            F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
-            / F.size(values))).alias("std")))
+    def body(v):
+        return let(mean(v), lambda m: F.struct(
+            m.alias("mean"),
+            F.when(F.array_max(v) == F.array_min(v), F.lit(0.0)).otherwise(F.sqrt(
+                F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
+                / F.size(v))).alias("std")))
+
+    return let(values, body)
 
 
 def z_norm(values: Column) -> Column:
     """(x - mean) / population std; a constant array becomes zeros."""
-    return let(moments(values), lambda m: F.transform(
-        values, lambda x: F.when(m["std"] == 0, F.lit(0.0)).otherwise((x - m["mean"]) / m["std"])))
+    return let(values, lambda v: let(moments(v), lambda m: F.transform(
+        v, lambda x: F.when(m["std"] == 0, F.lit(0.0)).otherwise((x - m["mean"]) / m["std"]))))
 
 
 def subseries(values: Column, length: int) -> Column:
@@ -45,11 +48,14 @@ def subseries(values: Column, length: int) -> Column:
 
 def paa(values: Column, frames: int) -> Column:
     """Frame means; a frame has floor(n / frames) points and the last takes the rest."""
-    n = F.size(values)
-    w = F.least(F.lit(frames), n)
-    frame = F.floor(n / w).cast("int")
-    return F.transform(F.sequence(F.lit(0), w - 1), lambda i: mean(
-        F.slice(values, i * frame + 1, F.when(i == w - 1, n - i * frame).otherwise(frame))))
+    def body(v):
+        n = F.size(v)
+        w = F.least(F.lit(frames), n)
+        frame = F.floor(n / w).cast("int")
+        return F.transform(F.sequence(F.lit(0), w - 1), lambda i: mean(
+            F.slice(v, i * frame + 1, F.when(i == w - 1, n - i * frame).otherwise(frame))))
+
+    return let(values, body)
 
 
 def sax_breakpoints(alphabet: int) -> list[float]:
@@ -87,12 +93,6 @@ def sax_distance(a: Column, b: Column, length: Column, alphabet: int, squared: b
     return F.sqrt(length / F.size(a)) * body
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running sums with a leading 0, as one array of size n + 1."""
-    return F.aggregate(values, F.array(F.lit(0.0)),
-                       lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-
 def barycenter(a: Column, b: Column) -> Column:
     """Element-wise mean over the common prefix; the longer tail is dropped."""
     n = F.least(F.size(a), F.size(b))

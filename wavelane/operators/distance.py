@@ -11,7 +11,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from wavelane.functions import kernels
 from wavelane.runtime import fits_broadcast, table_size
@@ -76,14 +77,15 @@ def min_distance(series: DataFrame, shapelets: DataFrame, metric: str = "raw",
     schema = _out_schema(series, shapelets, carry, location)
     series = series.select("series_id", *carry, F.col("values").cast("array<double>").alias("values"))
     shapelets = shapelets.select("shapelet_id", F.col("values").cast("array<double>").alias("values"))
-    rows, points = table_size(shapelets)
+    pool = shapelets.persist()  # sized and read: compute it once
+    rows, points = table_size(pool)
     if not fits_broadcast(rows, points, broadcast_points):
-        return _block_join(series, shapelets, rows, schema, metric, on_short, location, carry)
+        return _block_join(series, pool, rows, schema, metric, on_short, location, carry)
 
-    ids, values = collect_shapelets(shapelets)
-    kid_type = pa.string() if isinstance(schema["shapelet_id"].dataType, T.StringType) else pa.int64()
-    if isinstance(schema["shapelet_id"].dataType, T.IntegerType):
-        kid_type = pa.int32()
+    ids, values = collect_shapelets(pool)
+    pool.unpersist()
+    kid_type = to_arrow_type(schema["shapelet_id"].dataType)
+    ids = [i.asDict() if isinstance(i, Row) else i for i in ids]
     shared = series.sparkSession.sparkContext.broadcast((ids, values))
     names = schema.fieldNames()
 
@@ -123,7 +125,6 @@ def _block_join(series, shapelets, n_shapelets, schema, metric, on_short, locati
             _flat(right.column("shapelet_id")), pool, metric, on_short, location)]
         return pa.Table.from_batches(batches)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
     arrow_schema = to_arrow_schema(schema)
 
     def schema_table(batches):
@@ -141,7 +142,8 @@ def distance_features(series: DataFrame, shapelets: DataFrame, metric: str = "ra
     With ``location`` the relative locations follow the distances in the same array.
     """
     keep = tuple(keep)
-    rows, points = table_size(shapelets)
+    table = shapelets.persist()
+    rows, points = table_size(table)
     if not fits_broadcast(rows, points, broadcast_points):
         long = min_distance(series, shapelets, metric, on_short, location, carry=keep[1:],
                             broadcast_points=broadcast_points)
@@ -152,7 +154,8 @@ def distance_features(series: DataFrame, shapelets: DataFrame, metric: str = "ra
             arrays.append(F.transform(F.sort_array(F.collect_list(loc)), lambda e: e["x"]))
         return long.groupBy(*keep).agg(F.concat(*arrays).alias("features"))
 
-    _, pool = collect_shapelets(shapelets)
+    _, pool = collect_shapelets(table)
+    table.unpersist()
     shared = series.sparkSession.sparkContext.broadcast(pool)
     schema = T.StructType([series.schema[c] for c in keep]
                           + [T.StructField("features", T.ArrayType(T.DoubleType()))])

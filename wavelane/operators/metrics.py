@@ -12,6 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPREAD = 64  # buckets per power of two
+GROUP_ROWS = 1_000_000  # largest group ordered by one task
+
+
+def spread_for(group_rows: int) -> int:
+    """0 where a counted group may be ordered by one task, else the bucketed form."""
+    return 0 if group_rows <= GROUP_ROWS else SPREAD
 
 
 def order_bucket(x: Column, spread: int) -> Column:
