@@ -39,9 +39,16 @@ def read_wide_csv(spark: SparkSession, path: str, target: str = "target") -> Dat
     return series_from_wide(spark.read.csv(path, header=True, inferSchema=True), target)
 
 
-def read_archive(spark: SparkSession, glob: str, separator: str = r"[,\s]+") -> DataFrame:
-    """Archive files named ``{dataset}_{TRAIN|TEST}.ext``: label then points on every line."""
-    name = F.col("_metadata.file_name")
+def source_name(from_folder: bool) -> Column:
+    """Name of the file a row came from, or of its folder for tables written by Spark."""
+    if not from_folder:
+        return F.col("_metadata.file_name")
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+
+
+def read_archive(spark: SparkSession, glob: str, separator: str = r"[,\s]+", from_folder: bool = False) -> DataFrame:
+    """Archives named ``{dataset}_{TRAIN|TEST}.ext``: label then points on every line."""
+    name = source_name(from_folder)
     lines = spark.read.text(glob).select(
         F.regexp_extract(name, r"^(.*)_(TRAIN|TEST)\.", 1).alias("dataset"),
         F.lower(F.regexp_extract(name, r"^(.*)_(TRAIN|TEST)\.", 2)).alias("split"),
@@ -57,17 +64,17 @@ def arg_max(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def read_predictions(spark: SparkSession, glob: str) -> DataFrame:
+def read_predictions(spark: SparkSession, glob: str, from_folder: bool = False) -> DataFrame:
     """Class-probability CSVs ``{dataset}_{method}..._{timestamp}..._proba.csv``.
 
     First column is the row index, the rest one probability per class.
     """
-    name = F.col("_metadata.file_name")
+    name = source_name(from_folder)
     lines = spark.read.text(glob).select(
         name.alias("file"), F.split("value", ",").alias("_f"),
         F.regexp_extract(name, r"^([^_]+)_", 1).alias("dataset"),
         F.regexp_extract(name, r"^[^_]+_([^_]+)_", 1).alias("method"),
-        F.regexp_extract(name, r"_(\d+)(?:_[a-z]+)*_[a-z]+\.csv$", 1).alias("timestamp"))
+        F.regexp_extract(name, r"_(\d+)(?:_[a-z]+)*(?:\.csv)?$", 1).alias("timestamp"))
     rows = lines.where(F.col("_f")[0].rlike(r"^\d+$"))
     probs = F.slice("_f", F.lit(2), F.size("_f") - 1).cast("array<double>")
     return rows.select("file", "dataset", "method", "timestamp",
