@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from wavelane.functions import kernels
 from wavelane.operators import distance as D, metrics as M, prep as P, ranking as R, symbolic as S, windows as W
@@ -41,161 +41,180 @@ def pair_estimate(series: DataFrame, lengths: list[int]) -> int:
     return int(row["c"] or 0) * int(row["n"])
 
 
-def _shared_series(series: DataFrame):
-    rows = series.select("label_index", F.col("values").cast("array<double>")).collect()
-    return (np.array([r[0] for r in rows], dtype=np.int64),
-            kernels.Ragged.from_lists([r[1] for r in rows]))
+def _shared_series(series: DataFrame, by: str | None):
+    """Label indices and values of all (size-checked) series, per group."""
+    key = F.col(by) if by else F.lit(0)
+    rows = series.select(key.alias("g"), "label_index", F.col("values").cast("array<double>")).collect()
+    groups: dict = {}
+    for g, label, values in rows:
+        groups.setdefault(g, ([], []))
+        groups[g][0].append(label)
+        groups[g][1].append(values)
+    return {g: (np.array(y, dtype=np.int64), kernels.Ragged.from_lists(v)) for g, (y, v) in groups.items()}
 
 
 def _spread_tasks(df: DataFrame, rows: int) -> DataFrame:
     tasks = max(1, min(rows, 4 * df.sparkSession.sparkContext.defaultParallelism))
-    return df.repartition(tasks, "series_id", *[c for c in ("start", "length") if c in df.columns])
+    return df.repartition(tasks, "series_id")
 
 
-def _score_schema(series) -> T.StructType:
-    return T.StructType([series.schema["series_id"], T.StructField("length", T.IntegerType()),
-                         T.StructField("start", T.IntegerType()), T.StructField("gain", T.DoubleType()),
-                         T.StructField("gap", T.DoubleType()), T.StructField("threshold", T.DoubleType())])
+def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digits: int = 9,
+                         by: str | None = None) -> DataFrame:
+    """Gain of every window, computed beside a shared copy of all (size-checked) series.
 
-
-def _znorm_to_pool(pool, cache, cand):
-    """Distances of equal-length candidates to every shared series, z-normalised, with swap."""
-    return kernels.ragged_match(pool, kernels.Ragged(cand.reshape(-1), np.full(len(cand), cand.shape[1])),
-                                "znorm", "swap")[0].T
-
-
-def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digits: int) -> DataFrame:
-    """Gain of every window, computed beside a shared copy of all (size-checked) series."""
-    encoded = P.encode_labels(series).select("series_id", "label_index", "values")
-    label, pool = _shared_series(encoded)
-    classes = int(label.max()) + 1
-    shared = series.sparkSession.sparkContext.broadcast((label, pool))
-    schema = _score_schema(series)
+    With ``by``, windows meet only the series of their own group.
+    """
+    encoded = P.encode_labels(series)
+    groups = _shared_series(encoded, by)
+    if not groups:
+        raise ValueError("no series")
+    classes = max(int(y.max()) for y, _ in groups.values()) + 1
+    shared = series.sparkSession.sparkContext.broadcast(groups)
+    lead = [by] if by else []
+    schema = T.StructType([series.schema[c] for c in (*lead, "series_id")] + [
+        T.StructField("length", T.IntegerType()), T.StructField("start", T.IntegerType()),
+        T.StructField("gain", T.DoubleType()), T.StructField("gap", T.DoubleType()),
+        T.StructField("threshold", T.DoubleType())])
     names = schema.fieldNames()
 
-    def emit(sid, rows, length, starts, scores):
-        n = len(starts)
-        return pa.RecordBatch.from_arrays([
-            sid.take(pa.array(rows)), pa.array(np.full(n, length, np.int32)),
-            pa.array(starts.astype(np.int32)), *[pa.array(s) for s in scores]], names=names)
-
-    def by_length(batches):
-        label, pool = shared.value
-        for batch in batches:
-            own = kernels.Ragged.from_arrow(batch.column("values"))
-            sid = batch.column("series_id")
-            for n, rows in kernels.ragged_groups(own.lengths):
-                for length in lengths:
-                    if length > n:
-                        continue
-                    count = n - length + 1
-                    step = max(1, CANDIDATE_BLOCK // count)
-                    for a in range(0, len(rows), step):
-                        part = rows[a:a + step]
-                        cand = np.lib.stride_tricks.sliding_window_view(
-                            own.block(part, n), length, axis=1).reshape(-1, length)
-                        dist = _znorm_to_pool(pool, None, cand)
-                        scores = kernels.split_scores(dist, label, classes, digits)
-                        yield emit(sid, np.repeat(part, count), length,
-                                   np.tile(np.arange(count), len(part)), scores)
-
-    def by_series(batches):
-        label, pool = shared.value
+    def emit(batch, rows, length, starts, scores):
+        rows = pa.array(rows)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(c).take(rows) for c in (*lead, "series_id")]
+            + [pa.array(np.full(len(starts), length, np.int32)), pa.array(starts.astype(np.int32))]
+            + [pa.array(s) for s in scores], names=names)
+
+    def by_length(batch, own, rows, label, pool):
+        for n, at in kernels.ragged_groups(own.lengths[rows]):
+            part_rows = rows[at]
+            for length in lengths:
+                if length > n:
+                    continue
+                count = n - length + 1
+                step = max(1, CANDIDATE_BLOCK // count)
+                for a in range(0, len(part_rows), step):
+                    part = part_rows[a:a + step]
+                    cand = np.lib.stride_tricks.sliding_window_view(
+                        own.block(part, n), length, axis=1).reshape(-1, length)
+                    shapelets = kernels.Ragged(cand.reshape(-1), np.full(len(cand), length))
+                    dist = kernels.ragged_match(pool, shapelets, "znorm", "swap")[0].T
+                    yield emit(batch, np.repeat(part, count), length, np.tile(np.arange(count), len(part)),
+                               kernels.split_scores(dist, label, classes, digits))
+
+    def by_series(batch, own, rows, label, pool):
+        for i in rows:
+            x = own.flat[own.starts[i]:own.starts[i] + own.lengths[i]]
+            for length, dist in kernels.correlation_distances(x, pool, lengths).items():
+                yield emit(batch, np.full(len(dist), i), length, np.arange(len(dist)),
+                           kernels.split_scores(dist, label, classes, digits))
+
+    def run(batches):
+        groups = shared.value
+        score = by_series if fast else by_length
         for batch in batches:
             own = kernels.Ragged.from_arrow(batch.column("values"))
-            sid = batch.column("series_id")
-            for i in range(len(own)):
-                x = own.flat[own.starts[i]:own.starts[i] + own.lengths[i]]
-                for length, dist in kernels.correlation_distances(x, pool, lengths).items():
-                    scores = kernels.split_scores(dist, label, classes, digits)
-                    yield emit(sid, np.full(len(dist), i), length, np.arange(len(dist)), scores)
+            keys = np.array(batch.column(by).to_pylist()) if by else np.zeros(len(own), dtype=int)
+            for g in np.unique(keys):
+                label, pool = groups[g if by is None else g.item()]
+                yield from score(batch, own, np.flatnonzero(keys == g), label, pool)
 
-    rows = len(label)
-    return _spread_tasks(series.select("series_id", F.col("values").cast("array<double>").alias("values")),
-                         rows).mapInArrow(by_series if fast else by_length, schema)
+    rows = sum(len(y) for y, _ in groups.values())
+    own = series.select(*lead, "series_id", F.col("values").cast("array<double>").alias("values"))
+    return _spread_tasks(own, rows).mapInArrow(run, schema)
 
 
-def candidate_distances(series: DataFrame, candidates: DataFrame, metric: str = "znorm",
-                        on_short: str = "swap", broadcast_points: int | None = None) -> DataFrame:
-    """(series_id, start, length, label, dist) of candidate windows to all series."""
-    shapelets = candidates.select(F.struct("series_id", "start", "length").alias("shapelet_id"), "values")
-    long = D.min_distance(series, shapelets, metric, on_short, carry=("label",), broadcast_points=broadcast_points)
-    return long.select("shapelet_id.*", "label", "dist")
+def candidate_distances(series: DataFrame, candidates: DataFrame, metric: str = "znorm", on_short: str = "swap",
+                        by: str | None = None, broadcast_points: int | None = None) -> DataFrame:
+    """(by, series_id, start, length, label, dist) of candidate windows to all series of their group."""
+    shapelets = candidates.select(*([by] if by else []),
+                                  F.struct("series_id", "start", "length").alias("shapelet_id"), "values")
+    long = D.min_distance(series, shapelets, metric, on_short, carry=("label",), by=by,
+                          broadcast_points=broadcast_points)
+    return long.select(*([by] if by else []), "shapelet_id.*", "label", "dist")
 
 
 def score_candidates(series: DataFrame, candidates: DataFrame, metric: str, distance: str, digits: int,
-                     on_short: str = "swap", broadcast_points: int | None = None) -> DataFrame:
-    keys = ["series_id", "start", "length"]
-    dist = candidate_distances(series, candidates, distance, on_short, broadcast_points)
+                     on_short: str = "swap", by: str | None = None, broadcast_points: int | None = None) -> DataFrame:
+    keys = [*([by] if by else []), "series_id", "start", "length"]
+    dist = candidate_distances(series, candidates, distance, on_short, by, broadcast_points)
     if metric == "f":
         return M.f_score(dist, keys)
     # an ordered group holds one row per series
     return M.METRICS[metric](dist, keys, digits=digits, spread=M.spread_for(series.count()))
 
 
-def _finish(series: DataFrame, scored: DataFrame, n: int, metric: str) -> DataFrame:
+def _finish(series: DataFrame, scored: DataFrame, n: int, metric: str, by: str | None = None) -> DataFrame:
     columns = score_columns(metric)
-    best = R.top_shapelets(scored, n, columns)
-    keep = ["series_id", "start", "length", *columns] + (["threshold"] if "threshold" in scored.columns else [])
-    # best has n rows, n being the caller's parameter
-    joined = series.select("series_id", F.col("values").alias("_v")).join(F.broadcast(best), "series_id")
-    return joined.select(*keep, F.slice("_v", F.col("start") + 1, F.col("length")).alias("values")).orderBy(
-        *[F.desc(c) for c in (*columns, "series_id", "start", "length")])
+    lead = [by] if by else []
+    order = [F.desc(c) for c in (*columns, "series_id", "start", "length")]
+    if by:
+        rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+        best = scored.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
+    else:
+        best = R.top_shapelets(scored, n, columns)
+    keep = [*lead, "series_id", "start", "length", *columns]
+    # best has n rows per group, n being the caller's parameter
+    joined = series.select(*lead, "series_id", F.col("values").alias("_v")).join(F.broadcast(best), [*lead, "series_id"])
+    return joined.select(*keep, F.slice("_v", F.col("start") + 1, F.col("length")).alias("values")).orderBy(*lead, *order)
 
 
-def _discover(series, lengths, n, metric, fast, digits, broadcast_points):
+def _discover(series, lengths, n, metric, fast, digits, broadcast_points, by=None):
     rows, points = table_size(series)
     if metric == "ig" and fits_broadcast(rows, points, broadcast_points):
-        scored = score_windows_shared(series, lengths, fast, digits)
+        scored = score_windows_shared(series, lengths, fast, digits, by)
     else:
-        candidates = W.subseries(series, lengths, keep=())
+        candidates = W.subseries(series, lengths, keep=(by,) if by else ())
         scored = score_candidates(series, candidates, metric, "corr" if fast else "znorm", digits,
-                                  "inf" if fast else "swap", broadcast_points)
-    return _finish(series, scored, n, metric)
+                                  "inf" if fast else "swap", by, broadcast_points)
+    return _finish(series, scored, n, metric, by)
 
 
 def discover_exhaustive(series: DataFrame, min_len: int | None = None, max_len: int | None = None, n: int = 1,
                         metric: str = "ig", lengths: list[int] | None = None, digits: int = 9,
-                        broadcast_points: int | None = None) -> DataFrame:
-    """Score every window by its z-normalised distance to every series."""
+                        by: str | None = None, broadcast_points: int | None = None) -> DataFrame:
+    """Score every window by its z-normalised distance to every series (of its group ``by``)."""
     lengths = default_lengths(series, min_len, max_len, lengths)
-    return _discover(series, lengths, n, metric, False, digits, broadcast_points)
+    return _discover(series, lengths, n, metric, False, digits, broadcast_points, by)
 
 
 def discover_fast(series: DataFrame, min_len: int | None = None, max_len: int | None = None, n: int = 1,
                   metric: str = "ig", lengths: list[int] | None = None, digits: int = 9,
-                  broadcast_points: int | None = None) -> DataFrame:
+                  by: str | None = None, broadcast_points: int | None = None) -> DataFrame:
     """The same candidates by correlation distance; running sums are shared by all lengths."""
     lengths = default_lengths(series, min_len, max_len, lengths)
-    return _discover(series, lengths, n, metric, True, digits, broadcast_points)
+    return _discover(series, lengths, n, metric, True, digits, broadcast_points, by)
 
 
 def window_powers(series: DataFrame, lengths: list[int], alphabet: int, word_length: int,
-                  masks: list[list[int]]) -> DataFrame:
-    """Class power of every window from masked word collisions: (length, series_id, start, power)."""
+                  masks: list[list[int]], by: str | None = None) -> DataFrame:
+    """Class power of every window from masked word collisions: (by, length, series_id, start, power)."""
     encoded = P.encode_labels(series)
-    sizes = [r["count"] for r in encoded.groupBy("label_index").count().orderBy("label_index").collect()]
-    words = W.sax_words_of_windows(encoded, lengths, word_length, alphabet, keep=("label_index",))
-    scores = S.window_class_score(W.random_mask(words, masks), len(sizes))
-    return S.distinguishing_power(scores, sizes, len(masks))
+    lead = [by] if by else []
+    classes = encoded.agg(F.max("label_index")).first()[0] + 1
+    sizes = encoded.groupBy(*lead).agg(F.array(*[
+        F.count(F.when(F.col("label_index") == c, 1)) for c in range(classes)]).alias("sizes"))
+    words = W.sax_words_of_windows(encoded, lengths, word_length, alphabet, keep=(*lead, "label_index"))
+    scores = S.window_class_score(W.random_mask(words, masks), classes, by=lead)
+    return S.distinguishing_power(scores, sizes, len(masks), by=lead)
 
 
 def discover_sax(series: DataFrame, min_len: int | None = None, max_len: int | None = None, n: int = 1,
                  metric: str = "ig", alphabet: int = 4, word: int = 16, candidates: int = 100,
                  iterations: int = 5, mask_size: int = 3, seed: int = 0, lengths: list[int] | None = None,
-                 masks: list[list[int]] | None = None, digits: int = 9,
+                 masks: list[list[int]] | None = None, digits: int = 9, by: str | None = None,
                  broadcast_points: int | None = None) -> DataFrame:
     """Keep the strongest windows per length by word collisions, then score them exactly."""
     lengths = default_lengths(series, min_len, max_len, lengths, least=word)
-    masks = masks or draw_masks_for(word, mask_size, iterations, seed)
-    powers = window_powers(series, lengths, alphabet, word, masks)
-    top = R.top_candidates(powers, candidates).select("series_id", "start", "length")
-    # at most candidates x lengths rows, both parameters
-    windows = series.select("series_id", F.col("values").alias("_v")).join(F.broadcast(top), "series_id").select(
-        "series_id", "start", "length", F.slice("_v", F.col("start") + 1, F.col("length")).alias("values"))
-    scored = score_candidates(series, windows.persist(), metric, "znorm", digits, "swap", broadcast_points)
-    return _finish(series, scored, n, metric)
-
-
-def draw_masks_for(word: int, mask_size: int, iterations: int, seed: int) -> list[list[int]]:
-    return W.draw_masks(word, mask_size, iterations, seed)
+    masks = masks or W.draw_masks(word, mask_size, iterations, seed)
+    lead = [by] if by else []
+    powers = window_powers(series, lengths, alphabet, word, masks, by)
+    top = R.top_candidates(powers, candidates, by=lead).select(*lead, "series_id", "start", "length")
+    # at most candidates x lengths rows per group, both parameters
+    windows = series.select(*lead, "series_id", F.col("values").alias("_v")).join(
+        F.broadcast(top), [*lead, "series_id"]).select(
+        *lead, "series_id", "start", "length", F.slice("_v", F.col("start") + 1, F.col("length")).alias("values"))
+    scored = score_candidates(series, windows, metric, "znorm", digits, "swap", by, broadcast_points)
+    return _finish(series, scored, n, metric, by)
+
+
+METHODS = {"exhaustive": discover_exhaustive, "fast": discover_fast, "sax": discover_sax}

@@ -66,21 +66,26 @@ def collect_shapelets(shapelets: DataFrame):
 
 def min_distance(series: DataFrame, shapelets: DataFrame, metric: str = "raw",
                  on_short: str = "inf", location: bool = False,
-                 carry: tuple[str, ...] = (), broadcast_points: int | None = None) -> DataFrame:
+                 carry: tuple[str, ...] = (), by: str | None = None,
+                 broadcast_points: int | None = None) -> DataFrame:
     """Minimum sliding distance of every series to every shapelet, in long form.
 
     metric: ``raw`` Euclidean, ``znorm`` (each window and the shapelet normalised) or
     ``corr`` (sqrt(2(1-correlation))). With ``location``, adds the first best offset and
-    its relative position.
+    its relative position. With ``by``, only pairs with equal ``by`` values are matched.
     """
     carry = tuple(carry)
+    if by:
+        carry = (by, *[c for c in carry if c != by])
     schema = _out_schema(series, shapelets, carry, location)
     series = series.select("series_id", *carry, F.col("values").cast("array<double>").alias("values"))
-    shapelets = shapelets.select("shapelet_id", F.col("values").cast("array<double>").alias("values"))
+    # aliases keep both sides apart when they come from the same table
+    shapelets = shapelets.select(*([F.col(by).alias(by)] if by else []), F.col("shapelet_id").alias("shapelet_id"),
+                                 F.col("values").cast("array<double>").alias("values"))
     pool = shapelets.persist()  # sized and read: compute it once
     rows, points = table_size(pool)
-    if not fits_broadcast(rows, points, broadcast_points):
-        return _block_join(series, pool, rows, schema, metric, on_short, location, carry)
+    if by or not fits_broadcast(rows, points, broadcast_points):
+        return _block_join(series, pool, rows, schema, metric, on_short, location, carry, by)
 
     ids, values = collect_shapelets(pool)
     pool.unpersist()
@@ -104,7 +109,7 @@ def min_distance(series: DataFrame, shapelets: DataFrame, metric: str = "raw",
     return series.mapInArrow(join, schema)
 
 
-def _block_join(series, shapelets, n_shapelets, schema, metric, on_short, location, carry):
+def _block_join(series, shapelets, n_shapelets, schema, metric, on_short, location, carry, by=None):
     """Block nested loop: both sides hashed to blocks, one task per block pair."""
     n_series = series.count()
     sb = max(1, math.ceil(n_series / SERIES_BLOCK))
@@ -130,7 +135,8 @@ def _block_join(series, shapelets, n_shapelets, schema, metric, on_short, locati
     def schema_table(batches):
         return pa.Table.from_batches(batches, schema=arrow_schema)
 
-    return left.groupBy("_sb", "_kb").cogroup(right.groupBy("_sb", "_kb")).applyInArrow(join, schema)
+    keys = [*([by] if by else []), "_sb", "_kb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(join, schema)
 
 
 def distance_features(series: DataFrame, shapelets: DataFrame, metric: str = "raw",
@@ -210,3 +216,28 @@ def min_distance_expr(series: DataFrame, shapelets: DataFrame) -> DataFrame:
         "series_id", "shapelet_id",
         F.coalesce(F.col("_m.dist"), F.lit(float("inf"))).alias("dist"),
         F.coalesce(F.col("_m.pos") / F.greatest(F.col("_span"), F.lit(1)), F.lit(0.0)).alias("loc"))
+
+
+def paired_distance(rows: DataFrame, by: str, shapelet: str = "shapelet", metric: str = "znorm",
+                    on_short: str = "swap") -> DataFrame:
+    """Adds ``dist``: distance of each row's values to the shapelet in the same row.
+
+    Rows with equal ``by`` hold the same shapelet and are matched together within a batch.
+    """
+    schema = T.StructType(rows.schema.fields + [T.StructField("dist", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            own = kernels.Ragged.from_arrow(batch.column("values"))
+            other = kernels.Ragged.from_arrow(batch.column(shapelet))
+            keys = np.array(batch.column(by).to_pylist())
+            dist = np.full(len(own), np.inf)
+            for key in np.unique(keys):
+                at = np.flatnonzero(keys == key)
+                lo, n = other.starts[at[0]], other.lengths[at[0]]
+                pool = kernels.Ragged(other.flat[lo:lo + n], [n])
+                part = kernels.Ragged.from_lists([own.flat[own.starts[i]:own.starts[i] + own.lengths[i]] for i in at])
+                dist[at] = kernels.ragged_match(part, pool, metric, on_short)[0][:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dist)], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)

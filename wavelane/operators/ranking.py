@@ -11,13 +11,13 @@ def top_shapelets(scored: DataFrame, n: int, score: tuple[str, ...] = ("gain", "
     return scored.orderBy(*[F.desc(c) for c in (*score, *tie)]).limit(n)
 
 
-def top_candidates(powers: DataFrame, k: int) -> DataFrame:
+def top_candidates(powers: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """k strongest windows per length, in (series, start) order on ties.
 
     The rank limit is applied in every partition before the shuffle, so at most k rows per
     length and partition move.
     """
-    by = Window.partitionBy("length").orderBy(F.desc("power"), "series_id", "start")
+    by = Window.partitionBy(*(by or []), "length").orderBy(F.desc("power"), "series_id", "start")
     return powers.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
