@@ -170,7 +170,7 @@ def distance_features(series: DataFrame, shapelets: DataFrame, metric: str = "ra
     def project(batches):
         pool = shared.value
         for batch in batches:
-            own = kernels.Ragged.from_arrow(batch.column("values"))
+            own = kernels.Ragged.from_arrow(batch.column("_values"))
             dist, pos = kernels.ragged_match(own, pool, metric, on_short, location)
             if location:
                 span = np.abs(own.lengths[:, None] - pool.lengths[None, :])
@@ -181,7 +181,7 @@ def distance_features(series: DataFrame, shapelets: DataFrame, metric: str = "ra
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(dist).reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [lists], names=names)
 
-    return series.select(*keep, F.col("values").cast("array<double>").alias("values")).mapInArrow(
+    return series.select(*keep, F.col("values").cast("array<double>").alias("_values")).mapInArrow(
         project, schema)
 
 
