@@ -72,9 +72,10 @@ def logreg_grid(df: DataFrame, penalties=(1.0, 0.0), cs=tuple(C_GRID), balanced=
     return best
 
 
-def linear_svm_grid(df: DataFrame, cs=tuple(C_GRID), folds: int = 3, seed: int = 0, degree: int = 1):
+def linear_svm_grid(df: DataFrame, cs=tuple(C_GRID), folds: int = 3, seed: int = 0, degree: int = 1, max_iter: int = 50):
     """One-vs-rest linear machines over C on min-max scaled features; degree 2 adds products."""
     n = df.count()
+    classes = int(df.agg(F.max("label")).first()[0]) + 1
     stages = [MinMaxScaler(inputCol="features", outputCol="scaled")]
     column = "scaled"
     if degree > 1:
@@ -82,16 +83,18 @@ def linear_svm_grid(df: DataFrame, cs=tuple(C_GRID), folds: int = 3, seed: int =
         column = "expanded"
     best = None
     for c in cs:
-        svc = LinearSVC(regParam=1.0 / (c * n), maxIter=50, featuresCol=column)
-        pipeline = Pipeline(stages=stages + [OneVsRest(classifier=svc, featuresCol=column)])
+        svc = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, featuresCol=column)
+        # the machines of the classes are independent: train them side by side
+        rest = OneVsRest(classifier=svc, featuresCol=column, parallelism=min(classes, 8))
+        pipeline = Pipeline(stages=stages + [rest])
         found = _search(df, pipeline, [{}], folds, seed)
         if best is None or found[1] > best[1]:
             best = found
     return best
 
 
-def quadratic_svm(df: DataFrame, cs=(1.0,), folds: int = 2, seed: int = 0):
-    return linear_svm_grid(df, cs, folds, seed, degree=2)
+def quadratic_svm(df: DataFrame, cs=(1.0,), folds: int = 2, seed: int = 0, max_iter: int = 50):
+    return linear_svm_grid(df, cs, folds, seed, degree=2, max_iter=max_iter)
 
 
 def random_forest_grid(df: DataFrame, trees=(10, 25, 50, 100, 500), depths=(30, 3, 7, 15), impurities=("gini",),

@@ -45,13 +45,14 @@ def _sampled_rows(series: DataFrame, seed: int, rows: int = SAMPLE_ROWS) -> tupl
 
 
 def random_windows(series: DataFrame, draws: DataFrame, seed: int, min_len: int, max_len: int,
-                   lengths: DataFrame | None = None) -> DataFrame:
+                   lengths: DataFrame | None = None, sample: tuple[DataFrame, int] | None = None) -> DataFrame:
     """A random window for every row of ``draws`` (ind_id, pos): adds values.
 
     length U[4, min(min_len, max_len)), start U[0, min_len - length). With ``lengths``
-    (ind_id, length) the windows of one set share a length.
+    (ind_id, length) the windows of one set share a length. ``sample`` reuses a drawn
+    sample of rows.
     """
-    sample, n = _sampled_rows(series, seed)
+    sample, n = sample or _sampled_rows(series, seed)
     top = min(min_len, max_len)
     keys = ("ind_id", "pos")
     if lengths is None:
@@ -64,22 +65,23 @@ def random_windows(series: DataFrame, draws: DataFrame, seed: int, min_len: int,
     return out.select(*draws.columns, F.slice("values", F.col("start") + 1, F.col("length")).alias("values"))
 
 
-def init_random(series, individuals: DataFrame, seed, min_len, max_len) -> DataFrame:
+def init_random(series, individuals: DataFrame, seed, min_len, max_len, sample=None) -> DataFrame:
     """individuals: (ind_id, k). One random window per shapelet."""
     draws = individuals.select("ind_id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("pos"))
-    return random_windows(series, draws, seed, min_len, max_len).select("ind_id", "pos", "values")
+    return random_windows(series, draws, seed, min_len, max_len, sample=sample).select("ind_id", "pos", "values")
 
 
-def init_kmeans(series, individuals: DataFrame, seed, min_len, max_len) -> DataFrame:
+def init_kmeans(series, individuals: DataFrame, seed, min_len, max_len, sample=None) -> DataFrame:
     """k centroids of max(k, sqrt(n)) windows of one common length; k = 1 draws at random."""
     n = series.count()
-    single = init_random(series, individuals.where("k = 1"), seed, min_len, max_len)
+    sample = sample or _sampled_rows(series, seed)
+    single = init_random(series, individuals.where("k = 1"), seed, min_len, max_len, sample)
     many = individuals.where("k > 1")
     draw = F.greatest(F.col("k"), F.lit(int(np.sqrt(n))))
     draws = many.select("ind_id", "k", F.explode(F.sequence(F.lit(0), draw - 1)).alias("pos"))
     top = min(min_len, max_len)
     lengths = many.select("ind_id", (4 + F.floor(_uniform(seed + 4, "ind_id") * max(top - 4, 1))).cast("int").alias("length"))
-    windows = random_windows(series, draws, seed + 5, min_len, max_len, lengths)
+    windows = random_windows(series, draws, seed + 5, min_len, max_len, lengths, sample)
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         ind, k = int(frame["ind_id"].iloc[0]), int(frame["k"].iloc[0])
@@ -101,7 +103,8 @@ def initial_population(series, size, max_shaps, seed, min_len, max_len, init_ops
          2 + F.floor(_uniform(seed, "ind_id", F.lit("k")) * max(max_shaps - 2, 1))).cast("int")
     table = spark.range(size).select(F.col("id").alias("ind_id")).withColumn("k", k).withColumn(
         "_op", F.floor(_uniform(seed, "ind_id", F.lit("op")) * len(init_ops)))
-    parts = [op(series, table.where(F.col("_op") == i).drop("_op"), seed + 10 * (i + 1), min_len, max_len)
+    sample = _sampled_rows(series, seed)
+    parts = [op(series, table.where(F.col("_op") == i).drop("_op"), seed + 10 * (i + 1), min_len, max_len, sample)
              for i, op in enumerate(init_ops)]
     out = parts[0]
     for p in parts[1:]:

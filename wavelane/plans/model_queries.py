@@ -306,13 +306,13 @@ def logreg_grid(spark, folder):
 @query("linear_svm_grid")
 def linear_svm_grid(spark, folder):
     rows = vectors(spark, folder)
-    return _predictions(C.linear_svm_grid(rows, cs=(1.0,), folds=2)[0], rows)
+    return _predictions(C.linear_svm_grid(rows, cs=(1.0,), folds=2, max_iter=10)[0], rows)
 
 
 @query("quadratic_svm")
 def quadratic_svm(spark, folder):
     rows = vectors(spark, folder)
-    return _predictions(C.quadratic_svm(rows), rows)
+    return _predictions(C.quadratic_svm(rows, max_iter=10)[0], rows)
 
 
 @query("random_forest_grid")
