@@ -46,6 +46,15 @@ def test_search_matches_loops_in_both_forms(spark, series_of, method, metric):
         assert got[0]["values"] == pytest.approx(rows[want[0][2]][2][want[0][3]:want[0][3] + want[0][4]].tolist())
 
 
+def test_running_sum_search(spark, series_of, monkeypatch):
+    rows, series = small(series_of)
+    plain = E.discover_fast(series, lengths=[4, 5], n=6).collect()
+    monkeypatch.setattr(E, "sums_pay_off", lambda points, lengths: True)
+    sums = E.discover_fast(series, lengths=[4, 5], n=6).collect()
+    assert [r[:3] for r in sums] == [r[:3] for r in plain]
+    assert [r.gain for r in sums] == [r.gain for r in plain]
+
+
 def test_ragged_search(spark, series_of):
     rng = np.random.default_rng(6)
     rows = [(i, i % 2, rng.normal(size=int(rng.integers(4, 9)))) for i in range(8)]

@@ -135,7 +135,12 @@ def test_prep(spark, series_of):
 
 def test_tournament_and_best(spark):
     table = spark.createDataFrame([(i, float(i), 10 - i) for i in range(8)], "ind_id long, score double, points long")
-    a = R.tournament(table, 7, 8, 3).collect()
-    assert len(a) == 7 and a == R.tournament(table, 7, 8, 3).collect()
+    draws = R.tournament_draws(spark, 7, 8, 3)
+    a = R.tournament(table, draws).orderBy("slot").collect()
+    assert len(a) == 7 and a == R.tournament(table, R.tournament_draws(spark, 7, 8, 3)).orderBy("slot").collect()
+    drawn = {}
+    for r in draws.collect():
+        drawn.setdefault(r.slot, []).append(r.ind_id)
+    assert all(r.ind_id == max(drawn[r.slot]) for r in a)
     tie = spark.createDataFrame([(0, 1.0, 9), (1, 1.0, 4)], "ind_id long, score double, points long")
     assert R.select_best(tie).first().ind_id == 1

@@ -247,12 +247,17 @@ def knn_predict(neighbours: DataFrame, k: int | None = None) -> DataFrame:
         F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("prediction"))
 
 
-def knn_grid(train: DataFrame, ks=(1, 3, 5, 7, 13, 25), folds: int = 3, seed: int = 0) -> DataFrame:
-    """Cross-validated accuracy of every k from one ranked join per fold: (k, accuracy), best first."""
-    rows = train.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), "series_id"), F.lit(folds)))
+def knn_grid(train: DataFrame, ks=(1, 3, 5, 7, 13, 25), folds: int = 3, seed: int = 0, fold: str | None = None,
+             digits: int = 9) -> DataFrame:
+    """Cross-validated accuracy of every k from one ranked join per fold: (k, accuracy), best first.
+
+    ``fold`` names a column that already numbers the folds.
+    """
+    part_of = F.col(fold) if fold else F.pmod(F.xxhash64(F.lit(seed), "series_id"), F.lit(folds))
+    rows = train.withColumn("_fold", part_of)
     near = None
-    for fold in range(folds):
-        part = knn_join(rows.where(F.col("_fold") == fold), rows.where(F.col("_fold") != fold), max(ks))
+    for i in range(folds):
+        part = knn_join(rows.where(F.col("_fold") == i), rows.where(F.col("_fold") != i), max(ks), digits=digits)
         near = part if near is None else near.unionByName(part)
     near = near.persist()
     out = None

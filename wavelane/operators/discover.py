@@ -58,6 +58,16 @@ def _spread_tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(tasks, "series_id")
 
 
+def sums_pay_off(points: int, lengths: list[int]) -> bool:
+    """Whether running sums beat one matrix product per length on series of this size.
+
+    Running sums cost a few memory-bound passes per pair of windows whatever the length; products
+    cost a multiply-add per point, some sixteen times cheaper each.
+    """
+    spans = [(points - l + 1, l) for l in lengths if l <= points]
+    return 6 * points ** 2 + 6 * sum(w * w for w, _ in spans) < sum(w * w * l for w, l in spans) / 16
+
+
 def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digits: int = 9,
                          by: str | None = None) -> DataFrame:
     """Gain of every window, computed beside a shared copy of all (size-checked) series.
@@ -71,6 +81,9 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
     classes = max(int(y.max()) for y, _ in groups.values()) + 1
     shared = series.sparkSession.sparkContext.broadcast(groups)
     lead = [by] if by else []
+    longest = max(int(pool.lengths.max()) for _, pool in groups.values())
+    running = fast and sums_pay_off(longest, lengths)
+    metric, on_short = ("corr", "inf") if fast else ("znorm", "swap")
     schema = T.StructType([series.schema[c] for c in (*lead, "series_id")] + [
         T.StructField("length", T.IntegerType()), T.StructField("start", T.IntegerType()),
         T.StructField("gain", T.DoubleType()), T.StructField("gap", T.DoubleType()),
@@ -97,7 +110,7 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
                     cand = np.lib.stride_tricks.sliding_window_view(
                         own.block(part, n), length, axis=1).reshape(-1, length)
                     shapelets = kernels.Ragged(cand.reshape(-1), np.full(len(cand), length))
-                    dist = kernels.ragged_match(pool, shapelets, "znorm", "swap")[0].T
+                    dist = kernels.ragged_match(pool, shapelets, metric, on_short)[0].T
                     yield emit(batch, np.repeat(part, count), length, np.tile(np.arange(count), len(part)),
                                kernels.split_scores(dist, label, classes, digits))
 
@@ -110,7 +123,7 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
 
     def run(batches):
         groups = shared.value
-        score = by_series if fast else by_length
+        score = by_series if running else by_length
         for batch in batches:
             own = kernels.Ragged.from_arrow(batch.column("values"))
             keys = np.array(batch.column(by).to_pylist()) if by else np.zeros(len(own), dtype=int)

@@ -214,7 +214,7 @@ def discover_genetic(series: DataFrame, population_size: int = 50, iterations: i
         table = spark.createDataFrame([(int(i), float(s), int(p)) for i, (s, p) in offspring.items()],
                                       "ind_id long, score double, points long")
         winners = [(r["slot"], r["ind_id"]) for r in R.tournament(
-            table, population_size - 1, population_size, seed + it).orderBy("slot").collect()]
+            table, R.tournament_draws(spark, population_size - 1, population_size, seed + it)).orderBy("slot").collect()]
         # best of parents and offspring; a parent wins only when strictly better
         rank = lambda item: (item[1][0], -item[1][1])
         top_child, top_parent = max(offspring.items(), key=rank), max(scores.items(), key=rank)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SPREAD = 64  # buckets per power of two
+SPREAD = 1024  # buckets per power of two
 GROUP_ROWS = 1_000_000  # largest group ordered by one task
 
 

@@ -27,15 +27,14 @@ def select_best(scored: DataFrame, score: str = "score", size: str = "points", n
     return scored.orderBy(F.desc(score), F.asc(size), *tie).limit(n)
 
 
-def tournament(scored: DataFrame, slots: int, individuals: int, seed: int, size: int = 3,
-               score: str = "score", points: str = "points") -> DataFrame:
-    """``slots`` winners of random groups of ``size`` individuals: (slot, ind_id).
-
-    ind_id must run from 0 to individuals - 1.
-    """
-    spark = scored.sparkSession
-    draws = spark.range(slots).select(F.col("id").alias("slot"), F.explode(F.array(*[
+def tournament_draws(spark, slots: int, individuals: int, seed: int, size: int = 3) -> DataFrame:
+    """(slot, ind_id): ``size`` random individuals per slot, from 0 to individuals - 1."""
+    return spark.range(slots).select(F.col("id").alias("slot"), F.explode(F.array(*[
         F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(i)), F.lit(individuals)) for i in range(size)])).alias("ind_id"))
+
+
+def tournament(scored: DataFrame, draws: DataFrame, score: str = "score", points: str = "points") -> DataFrame:
+    """Winner of every drawn group: highest score, then fewest points, then smallest id."""
     return draws.join(scored, "ind_id").groupBy("slot").agg(
         F.max_by("ind_id", F.struct(F.col(score), -F.col(points), -F.col("ind_id"))).alias("ind_id"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavelane.operators import distance as D, metrics as M
+from wavelane.operators import distance as D, segments as G
 from wavelane.plans.registry import EMB_POOL, USER_POOL, query
 from wavelane.sources import pools, tables
 
@@ -55,6 +55,15 @@ def min_distance_ragged(spark, folder):
         "series_id", "shapelet_id", finite("dist").alias("dist"))
 
 
+@query("min_distance_segments", f"""WITH {USER_POOL}, {RAW.format(src='users')}
+SELECT series_id, shapelet_id, CASE WHEN l <= n THEN round(list_min(d), 6) END AS dist FROM dists""")
+def min_distance_segments(spark, folder):
+    """The ragged join over overlapping 32-point segments of each user's events."""
+    pool = pools.user_pool(tables.user_series(spark, folder))
+    parts = G.segments_from_long(tables.user_points(spark, folder), "series_id", ["ts", "event_id"], "value", 32, 11)
+    return G.min_distance_segments(parts, pool, 11).select("series_id", "shapelet_id", finite("dist").alias("dist"))
+
+
 @query("min_distance_location", f"""WITH {USER_POOL}, {RAW.format(src='users')}
 SELECT series_id, shapelet_id, CASE WHEN l <= n THEN round(list_min(d), 6) END AS dist,
   round(CASE WHEN l < n THEN (list_position(list_transform(d, lambda x: round(x, 9)), round(list_min(d), 9)) - 1) / (n - l)

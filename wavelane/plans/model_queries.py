@@ -13,7 +13,7 @@ from wavelane.ml.estimators import GeneticShapelets, ShapeletModel, ShapeletTran
 from wavelane.operators import distance as D, evolve as V, fitness as Fit, prep as P, ranking as R, reports as Z, tree as T
 from wavelane.plans.distance_queries import RAW, _emb
 from wavelane.plans.metric_queries import DIST, FOUND, candidates_sql, distances, splits_sql
-from wavelane.plans.registry import EMB, EMB_POOL, query
+from wavelane.plans.registry import EMB, EMB_POOL, PARTS, query
 from wavelane.plans.series_queries import label_mean_pairs
 from wavelane.runtime import scratch_folder
 from wavelane.sources import pools, tables
@@ -118,22 +118,54 @@ def f1_fitness(spark, folder):
     return _scores(spark, folder, Fit.f1_fitness)
 
 
-@query("class_scatter_fitness")
+# One set per label: its four mean-series segments.
+SETS = f"""{DIST},
+c AS (SELECT shapelet_id, label, count(*) AS n, avg(d) AS m, var_samp(d) AS v
+  FROM (SELECT shapelet_id, label, list_min(d) AS d FROM dists) GROUP BY ALL),
+g AS (SELECT shapelet_id, sum(n * m) / sum(n) AS gm FROM c GROUP BY shapelet_id),
+t AS (SELECT shapelet_id // 4 AS ind_id, sum(n * pow(m - gm, 2)) AS sb, sum(v) AS sw FROM c JOIN g USING (shapelet_id) GROUP BY ALL),
+pts AS (SELECT shapelet_id // 4 AS ind_id, sum(len(s)) AS points FROM pool GROUP BY ALL),
+scored AS (SELECT ind_id::BIGINT AS ind_id, round(sb / (sw + sb), 6) AS score, points::BIGINT AS points FROM t JOIN pts USING (ind_id))"""
+
+
+def label_sets(spark, folder):
+    series, pool = _emb(spark, folder)
+    sets = pool.select(F.floor(F.col("shapelet_id") / 4).cast("long").alias("ind_id"),
+                       (F.col("shapelet_id") % 4).cast("int").alias("pos"), "values")
+    rows = V.score_population(P.encode_labels(series), sets, 10, Fit.class_scatter_fitness)
+    return spark.createDataFrame([(int(i), float(s), int(p)) for i, s, p in rows],
+                                 "ind_id long, score double, points long").withColumn("score", F.round("score", 6))
+
+
+@query("class_scatter_fitness", f"WITH {SETS} SELECT * FROM scored")
 def class_scatter_fitness(spark, folder):
-    return _scores(spark, folder, Fit.class_scatter_fitness)
+    return label_sets(spark, folder)
 
 
-@query("tournament")
+TOURNAMENT = f"""{SETS},
+draws AS (SELECT slot, (slot * 7 + i * 3) % 10 AS ind_id FROM range(9) a(slot), range(3) b(i)),
+winners AS (SELECT slot, ind_id FROM draws JOIN scored USING (ind_id)
+  QUALIFY row_number() OVER (PARTITION BY slot ORDER BY score DESC, points, ind_id) = 1)"""
+
+
+def winners(spark, folder):
+    scored = label_sets(spark, folder)
+    draws = spark.range(9).select(F.col("id").alias("slot"), F.explode(F.array(*[
+        (F.col("id") * 7 + i * 3) % 10 for i in range(3)])).alias("ind_id"))
+    return scored, R.tournament(scored, draws)
+
+
+@query("tournament", f"WITH {TOURNAMENT} SELECT * FROM winners")
 def tournament(spark, folder):
-    scored = _scores(spark, folder, Fit.class_scatter_fitness)
-    return R.tournament(scored, 5, 6, 4)
+    return winners(spark, folder)[1]
 
 
-@query("elitist_union")
+@query("elitist_union", f"""WITH {TOURNAMENT}
+SELECT * FROM winners UNION ALL (SELECT 9, ind_id FROM scored ORDER BY score DESC, points, ind_id LIMIT 1)""")
 def elitist_union(spark, folder):
-    scored = _scores(spark, folder, Fit.class_scatter_fitness)
-    best = R.select_best(scored, tie=("ind_id",)).select(F.lit(5).cast("long").alias("slot"), "ind_id")
-    return R.elitist_union(R.tournament(scored, 5, 6, 4), best)
+    scored, won = winners(spark, folder)
+    best = R.select_best(scored, tie=("ind_id",)).select(F.lit(9).cast("long").alias("slot"), "ind_id")
+    return R.elitist_union(won, best)
 
 
 # --------------------------------------------------------------------- discovery
@@ -192,29 +224,51 @@ def transform(spark, folder):
         "series_id", F.col("slot").cast("long").alias("slot"), F.round("x", 6).alias("x"))
 
 
-@query("tree_fit")
+# One split by the best window of 63 points: both leaves with their class shares.
+TREE1 = f"""{EMB}, {candidates_sql('emb', [63])}, {splits_sql('cand, start, length')},
+root AS (SELECT * FROM best ORDER BY gain DESC, gap DESC, cand DESC, start DESC LIMIT 1),
+sided AS (SELECT other AS series_id, d.label, (2 + (d.dist > threshold)::INT)::BIGINT AS node_id FROM dist d
+  JOIN root r ON d.cand = r.cand AND d.start = r.start),
+shares AS (SELECT node_id, label AS class, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY node_id) AS p FROM sided GROUP BY ALL),
+leaf AS (SELECT node_id, arg_max(class, (n, -class)) AS prediction FROM shares GROUP BY node_id)"""
+
+
+def tree1(spark, folder):
+    series = tables.emb_series(spark, folder)
+    return series, T.fit_tree(series, max_depth=1, lengths=[63], digits=6)
+
+
+@query("tree_fit", f"""WITH {TREE1}
+SELECT 1::BIGINT AS node_id, 0 AS depth, threshold, false AS is_leaf FROM root
+UNION ALL SELECT DISTINCT node_id, 1, NULL, true FROM sided""")
 def tree_fit(spark, folder):
-    tree = T.fit_tree(tables.emb_series(spark, folder), max_depth=2, lengths=[63])
+    return tree1(spark, folder)[1].select("node_id", "depth", "threshold", "is_leaf")
+
+
+@query("tree_fit_levels")
+def tree_fit_levels(spark, folder):
+    tree = T.fit_tree(tables.emb_series(spark, folder), max_depth=3, lengths=[62, 63])
     return tree.select("node_id", "parent_id", "side", "depth", "threshold", "is_leaf")
 
 
-@query("tree_predict")
+@query("tree_predict", f"WITH {TREE1} SELECT series_id, prediction FROM sided JOIN leaf USING (node_id)")
 def tree_predict(spark, folder):
-    series = tables.emb_series(spark, folder)
-    return T.tree_predict(series, T.fit_tree(series, max_depth=1, lengths=[63]))
+    return T.tree_predict(*tree1(spark, folder))
 
 
-@query("tree_predict_proba")
+@query("tree_predict_proba", f"WITH {TREE1} SELECT series_id, class, round(p, 9) AS p FROM sided JOIN shares USING (node_id)")
 def tree_predict_proba(spark, folder):
-    series = tables.emb_series(spark, folder)
-    probs = T.tree_predict_proba(series, T.fit_tree(series, max_depth=1, lengths=[63]))
-    return probs.select("series_id", F.explode("probs").alias("class", "p"))
+    probs = T.tree_predict_proba(*tree1(spark, folder))
+    return probs.select("series_id", F.explode("probs").alias("class", "p")).withColumn("p", F.round("p", 9))
 
 
-@query("tree_shapelets")
+@query("tree_shapelets", f"""WITH {TREE1}
+SELECT 1::BIGINT AS node_id, unnest(range(0, 63)) AS pos, unnest(list_transform(v[start + 1:start + 63], lambda x: round(x, 9))) AS x
+FROM root JOIN emb ON cand = emb.series_id""")
 def tree_shapelets(spark, folder):
-    tree = T.fit_tree(tables.emb_series(spark, folder), max_depth=1, lengths=[63])
-    return T.tree_shapelets(tree).select("node_id", F.size("values").alias("n"))
+    rows = T.tree_shapelets(tree1(spark, folder)[1])
+    return rows.select("node_id", F.posexplode("values").alias("p", "x")).select(
+        "node_id", F.col("p").cast("long").alias("pos"), F.round("x", 9).alias("x"))
 
 
 @query("estimate_lengths")
@@ -223,7 +277,9 @@ def estimate_lengths(spark, folder):
     return spark.createDataFrame([(lo, hi)], "min_len int, max_len int")
 
 
-@query("length_percentiles")
+@query("length_percentiles", f"""WITH {PARTS}
+SELECT floor(quantile_cont(len(v), 0.25))::BIGINT AS min_len,
+  greatest(floor(quantile_cont(len(v), 0.25)) + 1, floor(quantile_cont(len(v), 0.75)))::BIGINT AS max_len FROM parts""")
 def length_percentiles(spark, folder):
     series = tables.part_series(spark, folder)
     return Z.length_percentiles(series.select(F.size("values").alias("length")))
@@ -252,9 +308,18 @@ def knn_join_block(spark, folder):
         "series_id", F.col("rank").cast("long").alias("rank"), "train_id", "dist")
 
 
-@query("knn_grid")
+@query("knn_grid", f"""WITH {DIST},
+f AS (SELECT series_id, any_value(label) AS label, list(dist ORDER BY shapelet_id) AS f, series_id % 3 AS fold FROM (SELECT series_id, label, shapelet_id, list_min(d) AS dist FROM dists) GROUP BY series_id),
+nn AS (SELECT a.series_id, a.label AS truth, b.label, round(list_distance(a.f, b.f), 6) AS dist,
+  row_number() OVER (PARTITION BY a.series_id ORDER BY round(list_distance(a.f, b.f), 6), b.series_id) AS rank
+  FROM f a JOIN f b ON a.fold <> b.fold QUALIFY rank <= 25),
+ks AS (SELECT unnest([1, 3, 5, 7, 13, 25]) AS k),
+votes AS (SELECT k, series_id, truth, label, round(sum(1 / dist), 9) AS w FROM nn JOIN ks ON rank <= k GROUP BY ALL),
+pred AS (SELECT k, series_id, any_value(truth) AS truth, arg_max(label, (w, -label)) AS p FROM votes GROUP BY k, series_id)
+SELECT k, round(avg((p = truth)::INT), 6) AS accuracy FROM pred GROUP BY k""")
 def knn_grid(spark, folder):
-    return C.knn_grid(features(spark, folder), ks=(1, 3, 5, 7, 13, 25))
+    rows = features(spark, folder).withColumn("fold", F.col("series_id") % 3)
+    return C.knn_grid(rows, ks=(1, 3, 5, 7, 13, 25), fold="fold", digits=6).withColumn("accuracy", F.round("accuracy", 6))
 
 
 MEMBERS = f"""{DIST},
