@@ -229,7 +229,8 @@ TREE1 = f"""{EMB}, {candidates_sql('emb', [63])}, {splits_sql('cand, start, leng
 root AS (SELECT * FROM best ORDER BY gain DESC, gap DESC, cand DESC, start DESC LIMIT 1),
 sided AS (SELECT other AS series_id, d.label, (2 + (d.dist > threshold)::INT)::BIGINT AS node_id FROM dist d
   JOIN root r ON d.cand = r.cand AND d.start = r.start),
-shares AS (SELECT node_id, label AS class, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY node_id) AS p FROM sided GROUP BY ALL),
+counted AS (SELECT node_id, label AS class, count(*) AS n FROM sided GROUP BY ALL),
+shares AS (SELECT *, n / sum(n) OVER (PARTITION BY node_id) AS p FROM counted),
 leaf AS (SELECT node_id, arg_max(class, (n, -class)) AS prediction FROM shares GROUP BY node_id)"""
 
 
