@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from wavelane.functions import kernels
 from wavelane.operators import prep as P
-from wavelane.runtime import fits_broadcast, table_size
+from wavelane.runtime import attach_row, fits_broadcast, table_size
 
 C_GRID = [10.0 ** i for i in range(-2, 6)] + [5.0 ** i for i in range(-2, 6)]
 ACCURACY = dict(metricName="accuracy")
@@ -39,8 +39,10 @@ def folds_for(df: DataFrame, most: int = 3) -> int:
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds ``weight``: n / (classes * class size)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("c")).first()
-    return df.join(counts, label).withColumn("weight", F.lit(total["t"]) / (total["c"] * F.col("_n"))).drop("_n")
+    packed = counts.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_c"),
+                        F.map_from_entries(F.collect_list(F.struct(label, "_n"))).alias("_sizes"))  # one entry per class
+    return attach_row(df, packed).withColumn(
+        "weight", F.col("_t") / (F.col("_c") * F.col("_sizes")[F.col(label)])).drop("_t", "_c", "_sizes")
 
 
 def _search(df, estimator, grid, folds, seed, metric="accuracy", parallelism=4):
@@ -135,7 +137,7 @@ def class_rows(predictions: DataFrame, member: str, classes: int) -> DataFrame:
 def voting_soft(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted mean probability; weights (member, weight) are normalised to 1, one row per member."""
     total = weights.agg(F.sum("weight").alias("_t"))
-    shares = weights.join(F.broadcast(total)).select("member", (F.col("weight") / F.col("_t")).alias("_w"))
+    shares = attach_row(weights, total).select("member", (F.col("weight") / F.col("_t")).alias("_w"))
     mixed = rows.join(F.broadcast(shares), "member").groupBy("series_id", "class").agg(F.sum(F.col("_w") * F.col("p")).alias("p"))
     return mixed.groupBy("series_id").agg(
         F.max_by("class", F.struct(F.round("p", 9), -F.col("class"))).alias("prediction"),

@@ -44,13 +44,17 @@ def pair_estimate(series: DataFrame, lengths: list[int]) -> int:
 def _shared_series(series: DataFrame, by: str | None):
     """Label indices and values of all (size-checked) series, per group."""
     key = F.col(by) if by else F.lit(0)
-    rows = series.select(key.alias("g"), "label_index", F.col("values").cast("array<double>")).collect()
-    groups: dict = {}
-    for g, label, values in rows:
-        groups.setdefault(g, ([], []))
-        groups[g][0].append(label)
-        groups[g][1].append(values)
-    return {g: (np.array(y, dtype=np.int64), kernels.Ragged.from_lists(v)) for g, (y, v) in groups.items()}
+    table = series.select(key.alias("g"), "label_index", F.col("values").cast("array<double>").alias("values")).orderBy("g").toArrow()
+    keys, label = table.column("g").to_numpy(), table.column("label_index").to_numpy().astype(np.int64)
+    pool = kernels.Ragged.from_arrow(table.column("values"))
+    groups = {}
+    for g in np.unique(keys):
+        at = np.flatnonzero(keys == g)  # one run, rows are in group order
+        lo, hi = at[0], at[-1] + 1
+        start = pool.starts[lo]
+        groups[g.item()] = (label[lo:hi], kernels.Ragged(
+            pool.flat[start:start + pool.lengths[lo:hi].sum()], pool.lengths[lo:hi]))
+    return groups
 
 
 def _spread_tasks(df: DataFrame, rows: int) -> DataFrame:
@@ -128,7 +132,7 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
             own = kernels.Ragged.from_arrow(batch.column("values"))
             keys = np.array(batch.column(by).to_pylist()) if by else np.zeros(len(own), dtype=int)
             for g in np.unique(keys):
-                label, pool = groups[g if by is None else g.item()]
+                label, pool = groups[g.item()]
                 yield from score(batch, own, np.flatnonzero(keys == g), label, pool)
 
     rows = sum(len(y) for y, _ in groups.values())

@@ -11,11 +11,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from wavelane.functions import kernels
-from wavelane.runtime import fits_broadcast, table_size
+from wavelane.runtime import attach_row, fits_broadcast, table_size
 
 SERIES_BLOCK = 4096
 SHAPELET_BLOCK = 2048
@@ -59,9 +59,9 @@ def _flat(column):
 
 def collect_shapelets(shapelets: DataFrame):
     """Ids and values of a shapelet table whose size has been checked."""
-    rows = shapelets.select("shapelet_id", F.col("values").cast("array<double>")).orderBy(
-        "shapelet_id").collect()
-    return [r[0] for r in rows], kernels.Ragged.from_lists([r[1] for r in rows])
+    table = shapelets.select("shapelet_id", F.col("values").cast("array<double>").alias("values")).orderBy(
+        "shapelet_id").toArrow()
+    return table.column("shapelet_id").to_pylist(), kernels.Ragged.from_arrow(table.column("values"))
 
 
 def min_distance(series: DataFrame, shapelets: DataFrame, metric: str = "raw",
@@ -90,7 +90,6 @@ def min_distance(series: DataFrame, shapelets: DataFrame, metric: str = "raw",
     ids, values = collect_shapelets(pool)
     pool.unpersist()
     kid_type = to_arrow_type(schema["shapelet_id"].dataType)
-    ids = [i.asDict() if isinstance(i, Row) else i for i in ids]
     shared = series.sparkSession.sparkContext.broadcast((ids, values))
     names = schema.fieldNames()
 
@@ -206,9 +205,9 @@ def min_distance_expr(series: DataFrame, shapelets: DataFrame) -> DataFrame:
     rows, points = table_size(shapelets)
     if not fits_broadcast(rows, points):
         raise ValueError("shapelet table too large to broadcast; use min_distance")
-    packed = F.broadcast(shapelets.select("shapelet_id", F.col("values").alias("_s")).groupBy().agg(
-        F.sort_array(F.collect_list(F.struct("shapelet_id", "_s"))).alias("_pool")))
-    joined = series.join(packed).select("series_id", "values", F.explode("_pool").alias("_p"))
+    packed = shapelets.select("shapelet_id", F.col("values").alias("_s")).groupBy().agg(
+        F.sort_array(F.collect_list(F.struct("shapelet_id", "_s"))).alias("_pool"))
+    joined = attach_row(series, packed).select("series_id", "values", F.explode("_pool").alias("_p"))
     best = joined.select("series_id", F.col("_p.shapelet_id").alias("shapelet_id"),
                          (F.size("values") - F.size("_p._s")).alias("_span"),
                          match_expr(F.col("values"), F.col("_p._s")).alias("_m"))

@@ -9,7 +9,6 @@ parameters, so nothing collected here grows with the series.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wavelane.functions import breeding as B
 from wavelane.operators import distance as D, fitness as Fit, metrics as M, prep as P, ranking as R
-from wavelane.runtime import scratch_folder
+from wavelane.runtime import BROADCAST_POINTS, attach_row, table_size, write_through
 
 SAMPLE_ROWS = 4096  # rows random windows are drawn from, re-sampled for every use
 POPULATION = "ind_id long, pos int, values array<double>"
@@ -29,19 +28,13 @@ def _uniform(seed, *keys):
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
 
 
-def write_through(df: DataFrame, schema: str | None = None) -> DataFrame:
-    """Write a small iteration table to the shared folder once and read it back."""
-    path = f"{scratch_folder(df.sparkSession)}/iteration-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _sampled_rows(series: DataFrame, seed: int, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, int]:
-    """Up to ``rows`` random series numbered from 0; the numbering window sees only these."""
-    sample = P.sample_series(series.select("series_id", "values"), rows, seed)
-    numbered = sample.withColumn("_i", F.row_number().over(
-        Window.orderBy(P.random_key(seed, "series_id"), "series_id")) - 1).persist()
-    return numbered, numbered.count()
+    """Up to ``rows`` random series numbered from 0; only their ids meet in one task."""
+    ids = series.select("series_id").orderBy(P.random_key(seed, "series_id"), "series_id").limit(rows)
+    numbered = ids.withColumn("_i", F.row_number().over(
+        Window.orderBy(P.random_key(seed, "series_id"), "series_id")) - 1)
+    sample = series.select("series_id", "values").join(numbered, "series_id").persist()
+    return sample, sample.count()
 
 
 def random_windows(series: DataFrame, draws: DataFrame, seed: int, min_len: int, max_len: int,
@@ -61,7 +54,7 @@ def random_windows(series: DataFrame, draws: DataFrame, seed: int, min_len: int,
         picked = draws.join(lengths, "ind_id")
     picked = picked.withColumn("_i", F.floor(_uniform(seed + 2, *keys) * n).cast("int")).withColumn(
         "start", F.floor(_uniform(seed + 3, *keys) * (min_len - F.col("length"))).cast("int"))
-    out = picked.join(F.broadcast(sample), "_i")  # at most SAMPLE_ROWS series
+    out = picked.join(sample, "_i")
     return out.select(*draws.columns, F.slice("values", F.col("start") + 1, F.col("length")).alias("values"))
 
 
@@ -148,8 +141,8 @@ def score_population(series: DataFrame, population: DataFrame, classes: int, fit
     """(ind_id, score, points) of every set; equal shapelets share one distance column."""
     keyed = population.withColumn("shapelet_id", F.xxhash64("values"))
     pool = keyed.select("shapelet_id", "values").dropDuplicates(["shapelet_id"]).persist()
-    order = F.broadcast(pool.agg(F.sort_array(F.collect_list("shapelet_id")).alias("_ids")))
-    members = keyed.join(order).groupBy("ind_id").agg(
+    order = pool.agg(F.sort_array(F.collect_list("shapelet_id")).alias("_ids"))
+    members = attach_row(keyed, order).groupBy("ind_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", (F.array_position("_ids", F.col("shapelet_id")) - 1).alias("s")))).alias("_m"),
         F.sum(F.size("values")).alias("points")).select(
         "ind_id", F.transform("_m", lambda e: e["s"]).alias("slots"), "points").persist()
@@ -258,6 +251,8 @@ def init_motif(series: DataFrame, length: int, draws: int = 100, seed: int = 0)
     Windows within half a length of each other are not compared. ``draws`` bounds the sample.
     """
     sample, n = _sampled_rows(series, seed, draws)
+    if table_size(sample)[1] > BROADCAST_POINTS:
+        raise ValueError("the sampled series are too long to join; use fewer draws")
     rows = sample.orderBy("_i").select("_i", "values").collect()  # at most ``draws`` series
     joined = np.concatenate([np.asarray(r["values"], dtype=float) for r in rows])
     spark = series.sparkSession

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wavelane.runtime import attach_row
+
 SPREAD = 1024  # buckets per power of two
 GROUP_ROWS = 1_000_000  # largest group ordered by one task
 
@@ -31,15 +33,17 @@ def n_log_n(n: Column) -> Column:
     return F.when(n > 0, n * F.log(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str],
-                 spread: int = SPREAD) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], spread: int = SPREAD,
+                 cluster: list[str] | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` by ``order`` within ``keys``.
 
     (keys, order) must be unique. Adds ``cum_*``, ``all_*`` per sum column and
-    ``next_order``, the following order value.
+    ``next_order``, the following order value. ``cluster`` (a subset of keys) is the
+    partitioning to set here, so that later steps grouped by it need no further shuffle.
+    The bucketed form keeps its bucket column ``_b`` for the same reason.
     """
     if not spread:
-        part = df.repartition(*keys)
+        part = df.repartition(*cluster) if cluster else df
         by = Window.partitionBy(*keys)
         run = by.orderBy(order)
         upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -47,7 +51,9 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str],
                            F.lead(order).over(run).alias("next_order")).select(
             "*", *[F.sum(s).over(by).alias(f"all_{s}") for s in sums])
 
-    rows = df.withColumn("_b", order_bucket(F.col(order), spread))
+    rows = df if "_b" in df.columns else df.withColumn("_b", order_bucket(F.col(order), spread))
+    if cluster:
+        rows = rows.repartition(*cluster, "_b")
     totals = rows.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums],
                                            F.min(order).alias("_first"))
     by = Window.partitionBy(*keys)
@@ -60,8 +66,9 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str],
     inner = Window.partitionBy(*keys, "_b").orderBy(order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = rows.join(offsets, [*keys, "_b"])
+    kept = [c for c in df.columns if c != "_b"]
     out = joined.select(
-        *df.columns, "_next", *[f"all_{s}" for s in sums],
+        *kept, "_b", "_next", *[f"all_{s}" for s in sums],
         *[(F.col(f"_o_{s}") + F.sum(s).over(upto)).alias(f"cum_{s}") for s in sums],
         F.lead(order).over(inner).alias("_lead"))
     return out.withColumn("next_order", F.coalesce("_lead", "_next")).drop("_lead", "_next")
@@ -73,13 +80,18 @@ def distance_counts(distances: DataFrame, keys: list[str], digits: int = 9) -> D
         *keys, F.round("dist", digits).alias("dist"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _class_runs(distances, keys, digits, spread) -> DataFrame:
+    counts = distance_counts(distances, keys, digits)
+    return running_sums(counts, [*keys, "label"], "dist", ["n"], spread, cluster=keys)
+
+
 def cumulative_class_counts(distances: DataFrame, keys=("shapelet_id",), digits: int = 9,
                             spread: int = SPREAD) -> DataFrame:
     """Per (keys, dist, label): rows of the label at or left of dist, and right of it."""
     keys = list(keys)
-    run = running_sums(distance_counts(distances, keys, digits), [*keys, "label"], "dist", ["n"], spread)
-    return run.select(*keys, "dist", "label", "n", F.col("cum_n").alias("left_n"),
-                      (F.col("all_n") - F.col("cum_n")).alias("right_n"))
+    return _class_runs(distances, keys, digits, spread).select(
+        *keys, "dist", "label", "n", F.col("cum_n").alias("left_n"),
+        (F.col("all_n") - F.col("cum_n")).alias("right_n"))
 
 
 def next_distance(distances: DataFrame, keys=("shapelet_id",), digits: int = 9,
@@ -111,9 +123,10 @@ def split_gains(distances: DataFrame, keys=("shapelet_id",), digits: int = 9,
     that row's class, so no row is repeated per class.
     """
     keys = list(keys)
-    counts = cumulative_class_counts(distances, keys, digits, spread)
-    left, right, n = F.col("left_n"), F.col("right_n"), F.col("n")
-    steps = counts.groupBy(*keys, "dist").agg(
+    runs = _class_runs(distances, keys, digits, spread)
+    left, n = F.col("cum_n"), F.col("n")
+    right = F.col("all_n") - left
+    steps = runs.groupBy(*keys, *(["_b"] if spread else []), "dist").agg(
         F.sum(n).alias("n"), F.sum(n * F.col("dist")).alias("d"),
         F.sum(n_log_n(left) - n_log_n(left - n)).alias("dl"),
         F.sum(n_log_n(right) - n_log_n(right + n)).alias("dr"))
@@ -288,12 +301,11 @@ def bhattacharyya(distances: DataFrame, cells: int = 10) -> DataFrame:
     classes = totals.agg(F.count(F.lit(1)).alias("classes"))
     shares = counts.join(totals, "label").groupBy("cell").agg(
         F.count(F.lit(1)).alias("k"), F.product(F.col("n") / F.col("total")).alias("p"))
-    # a cell missing one class has product 0; classes is one row
-    terms = shares.join(F.broadcast(classes), F.col("k") == F.col("classes")).where(F.col("p") != 1)
+    # a cell missing one class has product 0
+    terms = attach_row(shares, classes).where((F.col("k") == F.col("classes")) & (F.col("p") != 1))
     overlap = terms.agg(F.coalesce(F.sum(F.pow("p", 1 / F.col("classes"))), F.lit(0.0)).alias("overlap"))
     features = used.agg(F.count(F.lit(1)).alias("features"))
-    # both sides are one-row totals
-    return features.join(F.broadcast(overlap)).select(
+    return attach_row(features, overlap).select(
         F.when(F.col("features") == 0, F.lit(1.0)).otherwise(F.col("overlap")).alias("score"))
 
 

@@ -7,18 +7,28 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wavelane.functions import arrays as A
+from wavelane.runtime import attach_row
 
 
 def label_map(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, label_index): sorted distinct labels numbered from 0; one row per class."""
+    return _sorted_labels(df, label).select(F.posexplode("_labels").alias("label_index", label)).select(label, "label_index")
+
+
+def _sorted_labels(df: DataFrame, label: str) -> DataFrame:
+    """One row: the sorted distinct labels, reduced before they meet in one task."""
     labels = df.select(label).where(F.col(label).isNotNull()).distinct()
-    packed = labels.agg(F.sort_array(F.collect_list(label)).alias("_l"))
-    return packed.select(F.posexplode("_l").alias("label_index", label)).select(label, "label_index")
+    return labels.agg(F.sort_array(F.collect_list(label)).alias("_labels"))
 
 
 def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
-    """Adds ``label_index`` 0..C-1 in sorted label order."""
-    return df.join(label_map(df, label), label)
+    """Adds ``label_index`` 0..C-1 in sorted label order; rows without a label are left out.
+
+    The label list is attached to the rows, which stay where they are: joining on the label
+    would gather a frequent class in one task.
+    """
+    found = attach_row(df.where(F.col(label).isNotNull()), _sorted_labels(df, label))
+    return found.withColumn("label_index", (F.array_position("_labels", F.col(label)) - 1).cast("int")).drop("_labels")
 
 
 def scale_series(series: DataFrame) -> DataFrame:
@@ -30,7 +40,7 @@ def scale_global(train: DataFrame, series: DataFrame) -> DataFrame:
     stats = train.select(F.explode("values").alias("x")).agg(
         F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))  # one row
     sd = F.when(F.col("_s") == 0, F.lit(1.0)).otherwise(F.col("_s"))
-    return series.join(F.broadcast(stats)).withColumn(
+    return attach_row(series, stats).withColumn(
         "values", F.transform("values", lambda x: (x - F.col("_m")) / sd)).drop("_m", "_s")
 
 
@@ -39,7 +49,7 @@ def scale_minmax(train: DataFrame, rows: DataFrame, column: str = "features") ->
     bounds = train.select(F.posexplode(column).alias("_i", "x")).groupBy("_i").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"))
     packed = bounds.agg(F.sort_array(F.collect_list(F.struct("_i", "lo", "hi"))).alias("_b"))  # one entry per feature
-    return rows.join(F.broadcast(packed)).withColumn(column, F.zip_with(
+    return attach_row(rows, packed).withColumn(column, F.zip_with(
         column, "_b", lambda x, b: F.when(b["hi"] > b["lo"], (x - b["lo"]) / (b["hi"] - b["lo"]))
         .otherwise(x - b["lo"]))).drop("_b")
 
@@ -91,7 +101,8 @@ def split_by_index(rows: DataFrame, test_index: DataFrame, key: str) -> DataFram
 
 def sample_series(series: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k rows without replacement."""
-    return series.orderBy(random_key(seed, "series_id"), "series_id").limit(k)
+    ids = series.select("series_id").orderBy(random_key(seed, "series_id"), "series_id").limit(k)
+    return series.join(ids, "series_id")  # only ids meet in one task
 
 
 def filter_class(df: DataFrame, label) -> DataFrame:

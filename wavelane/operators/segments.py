@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wavelane.operators.distance import min_distance
-from wavelane.operators.evolve import write_through
+from wavelane.runtime import write_through
 
 
 def ranked_points(df: DataFrame, key: str, order: list[str], value: str, partitions: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,10 +13,6 @@ BROADCAST_POINTS = 32 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
 
 
-def active_session() -> SparkSession:
-    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-
-
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only in local mode."""
     sc = spark.sparkContext
@@ -29,10 +26,19 @@ def scratch_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there."""
-    scratch_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def write_through(df: DataFrame) -> DataFrame:
+    """Write an iteration table to the shared folder once and read on from there.
+
+    Cuts the lineage of a loop, and survives the loss of executors.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/iteration-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (an aggregate without keys) to every row."""
+    return df.join(F.broadcast(row.limit(1)))
 
 
 def table_size(df: DataFrame, values: str = "values") -> tuple[int, int]:
