@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wavelane.runtime import attach_row
-
 SPREAD = 1024  # buckets per power of two
 GROUP_ROWS = 1_000_000  # largest group ordered by one task
 
@@ -283,30 +281,35 @@ def class_scatter(distances: DataFrame, keys: list[str] | None = None) -> DataFr
     return traces.select(*keys, (F.col("sb") / (F.col("sw") + F.col("sb"))).alias("score"))
 
 
-def bhattacharyya(distances: DataFrame, cells: int = 10) -> DataFrame:
-    """Overlap of the class histograms over a grid of ``cells`` per feature (1: no usable feature).
+def bhattacharyya(distances: DataFrame, keys: list[str] | None = None, cells: int = 10) -> DataFrame:
+    """Overlap of the class histograms over a grid of ``cells`` per feature, per shapelet set.
 
-    Input has one row per (series_id, shapelet_id); the feature count is the size of
-    the shapelet set, not of the data.
+    Input has one row per (keys, series_id, shapelet_id); ``keys`` name the set. Features with a
+    range below 1e-5 are left out; a set with none left scores 1. A row's cell has one
+    entry per shapelet of the set.
     """
-    bounds = distances.groupBy("shapelet_id").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+    whole = keys is None
+    rows = distances.withColumn("_set", F.lit(0)) if whole else distances
+    keys = ["_set"] if whole else list(keys)
+    bounds = rows.groupBy(*keys, "shapelet_id").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
     used = bounds.where(F.col("hi") - F.col("lo") >= 1e-5)
     width = (F.col("hi") - F.col("lo")) / cells
     cell = F.least(F.floor((F.col("dist") - F.col("lo")) / width), F.lit(cells - 1)).cast("int")
-    placed = distances.join(used, "shapelet_id").groupBy("series_id", "label").agg(
+    placed = rows.join(used, [*keys, "shapelet_id"]).groupBy(*keys, "series_id", "label").agg(
         F.sort_array(F.collect_list(F.struct("shapelet_id", cell.alias("c")))).alias("_c"))
-    counts = placed.groupBy(F.transform("_c", lambda e: e["c"]).alias("cell"), "label").agg(
+    counts = placed.groupBy(*keys, F.transform("_c", lambda e: e["c"]).alias("cell"), "label").agg(
         F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
-    classes = totals.agg(F.count(F.lit(1)).alias("classes"))
-    shares = counts.join(totals, "label").groupBy("cell").agg(
+    totals = counts.groupBy(*keys, "label").agg(F.sum("n").alias("total"))
+    classes = totals.groupBy(*keys).agg(F.count(F.lit(1)).alias("classes"))
+    shares = counts.join(totals, [*keys, "label"]).groupBy(*keys, "cell").agg(
         F.count(F.lit(1)).alias("k"), F.product(F.col("n") / F.col("total")).alias("p"))
     # a cell missing one class has product 0
-    terms = attach_row(shares, classes).where((F.col("k") == F.col("classes")) & (F.col("p") != 1))
-    overlap = terms.agg(F.coalesce(F.sum(F.pow("p", 1 / F.col("classes"))), F.lit(0.0)).alias("overlap"))
-    features = used.agg(F.count(F.lit(1)).alias("features"))
-    return attach_row(features, overlap).select(
-        F.when(F.col("features") == 0, F.lit(1.0)).otherwise(F.col("overlap")).alias("score"))
+    terms = shares.join(classes, keys).where((F.col("k") == F.col("classes")) & (F.col("p") != 1))
+    overlap = terms.groupBy(*keys).agg(F.sum(F.pow("p", 1 / F.col("classes"))).alias("overlap"))
+    sets = bounds.groupBy(*keys).agg(F.count(F.when(F.col("hi") - F.col("lo") >= 1e-5, 1)).alias("features"))
+    out = sets.join(overlap, keys, "left").select(*keys, F.when(F.col("features") == 0, F.lit(1.0)).otherwise(
+        F.coalesce("overlap", F.lit(0.0))).alias("score"))
+    return out.drop("_set") if whole else out
 
 
 def distances_by_class(distances: DataFrame, keys=("shapelet_id",)) -> DataFrame:

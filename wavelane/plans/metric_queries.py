@@ -154,17 +154,33 @@ def class_scatter(spark, folder):
 
 
 @query("bhattacharyya", f"""WITH {DIST},
-b AS (SELECT shapelet_id, min(dist) AS lo, max(dist) AS hi FROM dist GROUP BY shapelet_id HAVING max(dist) - min(dist) >= 1e-5),
-x AS (SELECT series_id, label, list(least(floor((dist - lo) / ((hi - lo) / 10)), 9) ORDER BY shapelet_id) AS cell
-  FROM dist JOIN b USING (shapelet_id) WHERE shapelet_id % 4 = 0 AND shapelet_id < 8 GROUP BY series_id, label),
-n AS (SELECT cell, label, count(*) AS n FROM x GROUP BY ALL),
-t AS (SELECT label, sum(n) AS t FROM n GROUP BY label),
-p AS (SELECT cell, product(n / t) AS p, count(*) AS k FROM n JOIN t USING (label) GROUP BY cell)
-SELECT round(coalesce(sum(CASE WHEN k = (SELECT count(*) FROM t) AND p <> 1 THEN pow(p, 1.0 / k) ELSE 0 END), 0), 6) AS score FROM p""")
+b AS (SELECT shapelet_id, min(dist) AS lo, max(dist) AS hi FROM dist GROUP BY shapelet_id),
+n AS (SELECT shapelet_id, label, least(floor((dist - lo) / ((hi - lo) / 10)), 9) AS cell, count(*) AS n
+  FROM dist JOIN b USING (shapelet_id) WHERE hi - lo >= 1e-5 GROUP BY ALL),
+t AS (SELECT shapelet_id, label, sum(n) AS t FROM n GROUP BY ALL),
+k AS (SELECT shapelet_id, count(*) AS k FROM t GROUP BY shapelet_id),
+p AS (SELECT shapelet_id, cell, product(n / t) AS p, count(*) AS k FROM n JOIN t USING (shapelet_id, label) GROUP BY ALL),
+o AS (SELECT shapelet_id, sum(pow(p, 1.0 / k)) AS s FROM p JOIN k USING (shapelet_id, k) WHERE p <> 1 GROUP BY shapelet_id)
+SELECT b.shapelet_id, round(CASE WHEN hi - lo < 1e-5 THEN 1.0 ELSE coalesce(s, 0.0) END, 6) AS score FROM b LEFT JOIN o USING (shapelet_id)""")
 def bhattacharyya(spark, folder):
-    """Class overlap in the plane of the first segments of labels 0 and 1 (a set of two shapelets)."""
-    rows = distances(spark, folder).where("shapelet_id IN (0, 4)")
-    return M.bhattacharyya(rows).withColumn("score", F.round("score", 6))
+    """Class overlap of every shapelet taken as a set of its own."""
+    return M.bhattacharyya(distances(spark, folder), ["shapelet_id"]).withColumn("score", F.round("score", 6))
+
+
+@query("bhattacharyya_sets", f"""WITH {DIST},
+b AS (SELECT shapelet_id, min(dist) AS lo, max(dist) AS hi FROM dist GROUP BY shapelet_id),
+x AS (SELECT shapelet_id // 4 AS set_id, series_id, label, list(least(floor((dist - lo) / ((hi - lo) / 2)), 1) ORDER BY shapelet_id) AS cell
+  FROM dist JOIN b USING (shapelet_id) WHERE hi - lo >= 1e-5 GROUP BY ALL),
+n AS (SELECT set_id, cell, label, count(*) AS n FROM x GROUP BY ALL),
+t AS (SELECT set_id, label, sum(n) AS t FROM n GROUP BY ALL),
+k AS (SELECT set_id, count(*) AS k FROM t GROUP BY set_id),
+p AS (SELECT set_id, cell, product(n / t) AS p, count(*) AS k FROM n JOIN t USING (set_id, label) GROUP BY ALL),
+o AS (SELECT set_id, sum(pow(p, 1.0 / k)) AS s FROM p JOIN k USING (set_id, k) WHERE p <> 1 GROUP BY set_id)
+SELECT k.set_id::BIGINT AS set_id, round(coalesce(s, 0.0), 6) AS score FROM k LEFT JOIN o USING (set_id)""")
+def bhattacharyya_sets(spark, folder):
+    """Class overlap of every label's four-shapelet set, on a two-cell grid per shapelet."""
+    rows = distances(spark, folder).withColumn("set_id", F.floor(F.col("shapelet_id") / 4).cast("long"))
+    return M.bhattacharyya(rows, ["set_id"], cells=2).withColumn("score", F.round("score", 6))
 
 
 @query("distances_by_class", f"""WITH {DIST}
