@@ -185,7 +185,7 @@ def distance_features(series: DataFrame, shapelets: DataFrame, metric: str = "ra
 
 
 def match_expr(values, shapelet):
-    """Column twin of the raw join: array of struct(dist, pos) over all offsets.
+    """Column twin of the raw join: struct(square, pos) of the best offset.
 
     Stays inside the JVM, so it also runs on a streaming table; null when the
     shapelet is longer than the series.
@@ -193,9 +193,8 @@ def match_expr(values, shapelet):
     length = F.size(shapelet)
     offsets = F.sequence(F.lit(0), F.greatest(F.size(values) - length, F.lit(0)))
     windows = F.transform(offsets, lambda k: F.struct(
-        F.sqrt(F.aggregate(
-            F.zip_with(F.slice(values, k + 1, length), shapelet, lambda a, b: (a - b) * (a - b)),
-            F.lit(0.0), lambda acc, x: acc + x)).alias("dist"),
+        F.aggregate(F.transform(shapelet, lambda s, i: s - F.get(values, k + i)), F.lit(0.0),
+                    lambda acc, d: acc + d * d).alias("square"),
         k.alias("pos")))
     return F.when(length <= F.size(values), F.array_min(windows))
 
@@ -213,7 +212,7 @@ def min_distance_expr(series: DataFrame, shapelets: DataFrame) -> DataFrame:
                          match_expr(F.col("values"), F.col("_p._s")).alias("_m"))
     return best.select(
         "series_id", "shapelet_id",
-        F.coalesce(F.col("_m.dist"), F.lit(float("inf"))).alias("dist"),
+        F.coalesce(F.sqrt("_m.square"), F.lit(float("inf"))).alias("dist"),
         F.coalesce(F.col("_m.pos") / F.greatest(F.col("_span"), F.lit(1)), F.lit(0.0)).alias("loc"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +15,23 @@ BROADCAST_POINTS = 32 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, as ``--py-files`` would; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_wavelane_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="wavelane-package-"), "wavelane.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)  # copied from the driver to every executor
+    sc._wavelane_shipped = True
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only in local mode."""
     sc = spark.sparkContext
