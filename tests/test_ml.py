@@ -34,7 +34,7 @@ def hit(predictions, table):
         F.avg((F.col("p") == F.col("label")).cast("int"))).first()[0]
 
 
-def test_pipeline_save_load_score(spark, blobs, tmp_path):
+def test_fit_save_load_score(spark, blobs, tmp_path):
     lr = LogisticRegression(regParam=0.01)
     genetic = GeneticShapelets(populationSize=6, iterations=2, seed=1)
     model = Pipeline(stages=[genetic, lr]).fit(blobs)
@@ -110,7 +110,7 @@ def test_votes(spark):
     assert got == {1: 0, 2: 1}
 
 
-def test_pipeline_grid(spark, blobs):
+def test_discovery_grid(spark, blobs):
     quick = {"populationSize": 4, "iterations": 1, "fitness": Fit.class_scatter_fitness}
-    model, max_len, shaps = C.pipeline_grid(blobs, lengths=[8], shapelet_counts=[3], folds=2, search=quick, final=quick)
+    model, max_len, shaps = C.discovery_grid(blobs, lengths=[8], shapelet_counts=[3], folds=2, search=quick, final=quick)
     assert max_len == 8 and shaps == 3 and model.shapelets.count() >= 1

@@ -375,7 +375,7 @@ def rotation_tree(df: DataFrame, max_depth: int = 15, seed: int = 0) -> Rotation
     return RotationForest(1, max_depth, seed).fit(df)
 
 
-def pipeline_grid(series: DataFrame, lengths=None, shapelet_counts=None, folds: int | None = None, seed: int = 0,
+def discovery_grid(series: DataFrame, lengths=None, shapelet_counts=None, folds: int | None = None, seed: int = 0,
                   search: dict | None = None, final: dict | None = None):
     """Tune discovery bounds by cross-validated log loss, then discover once more with the best.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wavelane.operators import distance as D, segments as G
 from wavelane.plans.registry import EMB_POOL, USER_POOL, query
+from wavelane.runtime import spread_small_input
 from wavelane.sources import pools, tables
 
 # ---------------------------------------------------------------- joins J1-J7
@@ -77,7 +78,8 @@ def min_distance_location(spark, folder):
 SELECT series_id, shapelet_id, round(list_min(d), 6) AS dist,
   round((list_position(d, list_min(d)) - 1) / (n - l), 6) AS loc FROM dists""")
 def min_distance_expr(spark, folder):
-    return D.min_distance_expr(*_emb(spark, folder)).select(
+    series, pool = _emb(spark, folder)
+    return D.min_distance_expr(spread_small_input(series), pool).select(
         "series_id", "shapelet_id", F.round("dist", 6).alias("dist"), F.round("loc", 6).alias("loc"))
 
 

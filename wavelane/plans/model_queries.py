@@ -411,12 +411,12 @@ def rotation_forest(spark, folder):
     return C.RotationForest(4, max_depth=5).fit(rows).predict(rows.select("series_id", "features"))
 
 
-@query("pipeline_grid")
-def pipeline_grid(spark, folder):
+@query("discovery_grid")
+def discovery_grid(spark, folder):
     """Tune the discovery bounds with a small search, then project with the final shapelets."""
     from pyspark.ml.functions import vector_to_array
     series = tables.emb_series(spark, folder)
     quick = {"populationSize": 4, "iterations": 1, "fitness": Fit.class_scatter_fitness}
-    model, max_len, _ = C.pipeline_grid(series, lengths=[16, 32], shapelet_counts=[4], folds=2, search=quick, final=quick)
+    model, max_len, _ = C.discovery_grid(series, lengths=[16, 32], shapelet_counts=[4], folds=2, search=quick, final=quick)
     out = model.transform(series)
     return out.select("series_id", F.lit(max_len).alias("max_len"), F.size(vector_to_array("features")).alias("n"))

@@ -60,6 +60,12 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(row.limit(1)))
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Spread a table held in fewer files than there are cores, before costly work per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def table_size(df: DataFrame, values: str = "values") -> tuple[int, int]:
     """(rows, points) of a table with one array per row."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(values)).alias("p")).first()
