@@ -238,7 +238,7 @@ def window_class_score(spark, folder):
 
 
 def powers(spark, folder):
-    return E.window_powers(tables.user_series(spark, folder), [16, 20], 4, 8, MASKS).select(
+    return E.window_powers(tables.user_series(spark, folder).persist(), [16, 20], 4, 8, MASKS).select(
         "series_id", F.col("length").cast("long").alias("length"), F.col("start").cast("long").alias("start"), "power")
 
 
@@ -291,5 +291,7 @@ dist AS (SELECT a.series_id AS cand, a.start, a.length, b.label, b.series_id AS
   FROM wz a JOIN top USING (series_id, length, start) JOIN wz b ON a.length = b.length GROUP BY a.series_id, a.start, a.length, b.label, b.series_id),
 {splits_sql('cand, start, length')} {FOUND}""")
 def discover_sax(spark, folder):
-    return found(E.discover_sax(tables.user_series(spark, folder), lengths=[16, 20], n=10, word=8, candidates=25,
+    # read several times: built from the events once
+    series = tables.user_series(spark, folder).persist()
+    return found(E.discover_sax(series, lengths=[16, 20], n=10, word=8, candidates=25,
                                 masks=MASKS, digits=6))

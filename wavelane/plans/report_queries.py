@@ -67,14 +67,14 @@ def class_probabilities(spark, folder):
 
 
 @query("generation_stats", f"""WITH {IG}
-SELECT (shapelet_id // 4)::BIGINT AS gen, round(avg(gain), 6) AS avg, round(stddev_pop(gain), 6) AS std, max(gain) AS max,
+SELECT (shapelet_id // 4)::BIGINT AS gen, round(avg(gain), 9) AS avg, round(stddev_pop(gain), 6) AS std, max(gain) AS max,
   min(gain) AS min, round(quantile_cont(gain, 0.25), 8) AS q25, round(quantile_cont(gain, 0.75), 8) AS q75
 FROM best GROUP BY ALL""")
 def generation_stats(spark, folder):
     scored = M.ig_score(distances(spark, folder), digits=6, spread=spread(spark, folder)).select(
         F.floor(F.col("shapelet_id") / 4).cast("long").alias("gen"), F.col("gain").alias("score"))
     out = Z.generation_stats(scored, ["gen"])
-    return out.select("gen", F.round("avg", 6).alias("avg"), F.round("std", 6).alias("std"), "max", "min",
+    return out.select("gen", F.round("avg", 9).alias("avg"), F.round("std", 6).alias("std"), "max", "min",
                       F.round("q25", 8).alias("q25"), F.round("q75", 8).alias("q75"))
 
 
