@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, langid, toxicity
+from wavelane.llm import bpe, langid, token_files, toxicity
 from wavelane.llm.common import fold, table
 from wavelane.runtime import ship_package
 
@@ -50,3 +50,11 @@ def op6(spark, sf_dir):
     lexicon = toxicity.learn(docs, labels.where(~held_out))
     scored = toxicity.score(docs.select("doc_id", "text"), lexicon, into="score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_token_files")
+def op10(spark, sf_dir):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    read = token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), definition)
+    return read.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
