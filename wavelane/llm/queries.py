@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, langid, token_files, toxicity
+from wavelane.llm import bpe, jaccard_join, langid, token_files, toxicity
 from wavelane.llm.common import fold, table
 from wavelane.runtime import ship_package
 
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_jaccard_join")
+def op1(spark, sf_dir):
+    return jaccard_join.classes_and_links(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 @query("op4_bpe")
 def op4(spark, sf_dir):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
