@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, jaccard_join, langid, token_files, toxicity
+from wavelane.llm import bpe, decontaminate, jaccard_join, langid, token_files, toxicity, url_graph
 from wavelane.llm.common import fold, table
 from wavelane.runtime import ship_package
 
@@ -33,6 +33,15 @@ def op1(spark, sf_dir):
     return jaccard_join.classes_and_links(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+# The rules of the query.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op3_url_filter", url_graph.twin(URL_RULES))
+def op3(spark, sf_dir):
+    return url_graph.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op4_bpe")
 def op4(spark, sf_dir):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -63,3 +72,8 @@ def op10(spark, sf_dir):
         definition = file.read()
     read = token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), definition)
     return read.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op8_decontamination", decontaminate.twin())
+def op8(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from wavelane.llm.common import free_name, thin
+from wavelane.runtime import write_through
 
 ROWS_PER_CLASS = 15_000  # bound of the training sample, for toxic and for clean rows each
 
@@ -150,16 +151,14 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     toxic, clean = classes["t"] or 0, classes["c"] or 0
     if not toxic or not clean:
         return Lexicon()
-    tally = _tally(rows, _words)
+    tally = write_through(_tally(rows, _words))  # vocabulary of the bounded sample
     n, share = F.col("t") + F.col("c"), toxic / (toxic + clean)
     p = F.col("t") / n
     rare = n * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
-    candidates = tally.where((F.col("t") >= 3) & (p >= 0.5) & (p > share)).withColumn("rare", rare).where(F.col("rare") > 8)
-    vocabulary = tally.agg(F.count(F.lit(1)).alias("n")).crossJoin(  # one row each
-        candidates.agg(F.collect_list(F.struct("term", "t", "c", "rare")).alias("terms"))).first()
-    least = np.log(max(vocabulary["n"], 1) / chance)
+    candidates = tally.where((F.col("t") >= 3) & (p >= 0.5) & (p > share)).withColumn("rare", rare)
+    least = np.log(max(tally.count(), 1) / chance)
     odds = lambda t, c: float(np.clip(np.log((t + 0.5) / (toxic - t + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5)), 0.5, 8))
-    kept = [r for r in vocabulary["terms"] if r["rare"] > least]
+    kept = candidates.where(F.col("rare") > float(least)).collect()  # words that stand out
     lexicon = Lexicon({r["term"]: odds(r["t"], r["c"]) for r in kept})
     if not kept:
         return lexicon
