@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, decontaminate, jaccard_join, langid, token_files, toxicity, url_graph
+from wavelane.llm import bpe, cover_tree, decontaminate, jaccard_join, langid, token_files, toxicity, url_graph
 from wavelane.llm.common import fold, table
 from wavelane.runtime import ship_package
 
@@ -74,6 +74,11 @@ def op10(spark, sf_dir):
     return read.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op7_embedding_near_duplicates")
+def op7(spark, sf_dir):
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_decontamination", decontaminate.twin())
 def op8(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
