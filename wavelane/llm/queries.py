@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, cover_tree, decontaminate, jaccard_join, langid, token_files, toxicity, url_graph
+from wavelane.llm import bpe, cover_tree, decontaminate, html_text, jaccard_join, langid, token_files, toxicity, url_graph
 from wavelane.llm.common import fold, table
 from wavelane.runtime import ship_package
 
@@ -66,6 +66,11 @@ def op6(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op9_html_text")
+def op9(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op10_token_files")
 def op10(spark, sf_dir):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
