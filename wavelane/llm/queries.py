@@ -7,7 +7,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wavelane.llm import bpe, cover_tree, decontaminate, html_text, jaccard_join, langid, token_files, toxicity, url_graph
+import corpus_pipeline
+from wavelane.llm import bpe, cover_tree, decontaminate, html_text, jaccard_join, langid, licenses, token_files, toxicity, url_graph
 from wavelane.llm.common import fold, table
 from wavelane.runtime import ship_package
 
@@ -33,6 +34,11 @@ def op1(spark, sf_dir):
     return jaccard_join.classes_and_links(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    return licenses.license_spans(table(spark, sf_dir, "documents")).drop("matched")
+
+
 # The rules of the query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -87,3 +93,8 @@ def op7(spark, sf_dir):
 @query("op8_decontamination", decontaminate.twin())
 def op8(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
