@@ -46,15 +46,6 @@ def test_search_matches_loops_in_both_forms(spark, series_of, method, metric):
         assert got[0]["values"] == pytest.approx(rows[want[0][2]][2][want[0][3]:want[0][3] + want[0][4]].tolist())
 
 
-def test_running_sum_search(spark, series_of, monkeypatch):
-    rows, series = small(series_of)
-    plain = E.discover_fast(series, lengths=[4, 5], n=6).collect()
-    monkeypatch.setattr(E, "sums_pay_off", lambda points, lengths: True)
-    sums = E.discover_fast(series, lengths=[4, 5], n=6).collect()
-    assert [r[:3] for r in sums] == [r[:3] for r in plain]
-    assert [r.gain for r in sums] == [r.gain for r in plain]
-
-
 def test_ragged_search(spark, series_of):
     rng = np.random.default_rng(6)
     rows = [(i, i % 2, rng.normal(size=int(rng.integers(4, 9)))) for i in range(8)]
@@ -63,16 +54,6 @@ def test_ragged_search(spark, series_of):
     assert [(r.series_id, r.start, r.length) for r in got] == [w[2:] for w in want]
 
 
-def test_correlation_kernel_equals_product_form():
-    rng = np.random.default_rng(7)
-    x, others = rng.normal(size=15), kernels.Ragged.from_lists([rng.normal(size=12), np.ones(12), rng.normal(size=15)])
-    sums = kernels.correlation_distances(x, others, [4, 7])
-    for l, dist in sums.items():
-        s = np.lib.stride_tricks.sliding_window_view(x, l)
-        want = kernels.ragged_match(others, kernels.Ragged.from_lists(list(s)), "corr")[0].T
-        assert np.allclose(dist, want, atol=1e-7)
-
-
 def test_collisions_match_loops(spark, series_of):
     rng = np.random.default_rng(8)
     rows = [(i, i % 2, rng.integers(0, 4, 12).astype(float)) for i in range(7)]

@@ -18,12 +18,12 @@ def z_norm(rows: np.ndarray) -> np.ndarray:
     return np.where(flat, 0.0, centred / np.where(flat | (std == 0), 1.0, std))
 
 
-def _match_block(x, s, metric, want_pos):
-    """Best match of every row of ``s`` (k, l) in every row of ``x`` (r, n)."""
-    r, n = x.shape
-    k, l = s.shape
-    w = n - l + 1
-    win = np.ascontiguousarray(sliding_window_view(x, l, axis=1).reshape(r * w, l))
+def _match_offsets(x, s, metric, first, last):
+    """Squared distances of offsets [first, last) of every row of ``x`` to every row of ``s``: (r, w, k), and the windows."""
+    l = s.shape[1]
+    win = sliding_window_view(x[:, first:last + l - 1], l, axis=1)
+    r, w = win.shape[:2]
+    win = np.ascontiguousarray(win.reshape(r * w, l))
     if metric != "raw":
         win = z_norm(win)
     dot = win @ s.T
@@ -31,44 +31,77 @@ def _match_block(x, s, metric, want_pos):
         d2 = 2.0 * (1.0 - np.minimum(dot / l, 1.0))
     else:
         d2 = (win * win).sum(1)[:, None] + (s * s).sum(1)[None, :] - 2.0 * dot
-    d2 = d2.reshape(r, w, k)
-    best = d2.min(axis=1)
-    scale = float(np.abs(win).max(initial=0.0) + np.abs(s).max(initial=0.0)) ** 2 * l + 1e-300
-    # The product form loses digits where the distance is near zero, and cannot
-    # order near ties. Redo exactly those windows from the differences.
+    return d2.reshape(r, w, -1), win
+
+
+def _exact(win, s, at, j, metric, product):
+    """Squared distances of listed (window, shapelet) pairs from their differences."""
+    l = s.shape[1]
+    exact = np.empty(len(at))
+    step = max(1, BLOCK_CELLS // l)
+    for a in range(0, len(at), step):
+        e = slice(a, a + step)
+        diff = win[at[e]] - s[j[e]]
+        exact[e] = np.einsum("ij,ij->i", diff, diff)
+        if metric == "corr":  # equal only when both sides have unit variance
+            unit = (win[at[e]] != 0).any(axis=1) & (s[j[e]] != 0).any(axis=1)
+            exact[e] = np.where(unit, exact[e] / l, product[e])
+    return exact
+
+
+def _match_block(x, s, metric, want_pos):
+    """Best match of every row of ``s`` (k, l) in every row of ``x`` (r, n), a run of offsets at a time.
+
+    The product form loses digits where the distance is near zero and cannot order near ties, so windows within its
+    rounding bound of the best are measured from the differences. The bound depends on the row and the shapelet alone.
+    """
+    (r, n), (k, l) = x.shape, s.shape
+    offsets = n - l + 1
     if metric == "corr":
-        scale = float(l)
+        scale = np.full((r, k), float(l))
+    elif metric == "raw":
+        scale = (np.abs(x).max(axis=1)[:, None] + np.abs(s).max(axis=1)[None, :]) ** 2 * l + 1e-300
+    else:  # normalised values are at most sqrt(l)
+        scale = np.full((r, k), 4.0 * l * l)
     slack = 1e-11 * scale
-    close = d2 <= (best + slack)[:, None, :]
-    if not want_pos:
-        close &= (best <= 1e-4 * scale)[:, None, :]
-    i, v, j = np.nonzero(close)
-    if len(i):
-        exact = np.empty(len(i))
-        step = max(1, BLOCK_CELLS // l)
-        for a in range(0, len(i), step):
-            e = slice(a, a + step)
-            diff = win[i[e] * w + v[e]] - s[j[e]]
-            exact[e] = np.einsum("ij,ij->i", diff, diff)
-        if metric == "corr":
-            # equal only when both sides have unit variance
-            unit = (win[i * w + v] != 0).any(axis=1) & (s[j] != 0).any(axis=1)
-            exact = np.where(unit, exact / l, d2[i, v, j])
+    run = max(1, min(offsets, BLOCK_CELLS // max(r * max(l, k), 1)))
+    best = np.full((r, k), np.inf)
+    pos = np.zeros((r, k), dtype=np.int64) if want_pos else None
+    least = np.full((r, k), np.inf)  # of the product form
+    for first in range(0, offsets, run):
+        last = min(first + run, offsets)
+        d2, win = _match_offsets(x, s, metric, first, last)
+        w = last - first
+        low = d2.min(axis=1)
+        np.minimum(least, low, out=least)
+        close = d2 <= (least + slack)[:, None, :]
+        if not want_pos:
+            close &= (least <= 1e-4 * scale)[:, None, :]
+            np.minimum(best, np.where(least <= 1e-4 * scale, np.inf, low), out=best)
+        i, v, j = np.nonzero(close)
+        if not len(i):
+            continue
+        exact = _exact(win, s, i * w + v, j, metric, d2[i, v, j])
+        low = np.full(r * k, np.inf)
         cell = i * k + j
-        flat = best.reshape(-1)
-        flat[cell] = np.inf
-        np.minimum.at(flat, cell, exact)
+        np.minimum.at(low, cell, exact)
+        low = low.reshape(r, k)
         if want_pos:
-            pos = np.full(r * k, w, dtype=np.int64)
             # equal up to rounding counts as a tie, and the earliest offset wins
-            first = exact <= flat[cell] * (1 + 1e-12) + 1e-24 * scale
-            np.minimum.at(pos, cell[first], v[first])
-            return np.sqrt(np.maximum(flat, 0.0)).reshape(r, k), pos.reshape(r, k)
-    return np.sqrt(np.maximum(best, 0.0)), np.zeros((r, k), dtype=np.int64)
+            tie = exact <= low.reshape(-1)[cell] * (1 + 1e-12) + 1e-24 * scale.reshape(-1)[cell]
+            at = np.full(r * k, offsets, dtype=np.int64)
+            np.minimum.at(at, cell[tie], first + v[tie])
+            better = low < best * (1 - 1e-12) - 1e-24 * scale
+            pos = np.where(better | np.isinf(best), at.reshape(r, k), pos)
+            best = np.where(better | np.isinf(best), low, best)
+        else:
+            best = np.minimum(best, low)
+    best = np.where(np.isinf(best), least, best)
+    return np.sqrt(np.maximum(best, 0.0)), pos
 
 
 def best_match(x, s, metric="raw", want_pos=False):
-    """Distances (r, k) and first best offsets (r, k), blocked to bounded memory.
+    """Distances (r, k) and, if wanted, first best offsets (r, k), blocked to bounded memory.
 
     ``x`` is (r, n), ``s`` is (k, l), l <= n. ``metric``: raw, znorm or corr.
     """
@@ -78,15 +111,16 @@ def best_match(x, s, metric="raw", want_pos=False):
         s = z_norm(s)
     (r, n), (k, l) = x.shape, s.shape
     w = n - l + 1
-    kk = max(1, min(k, BLOCK_CELLS // max(w, 1)))
+    kk = max(1, min(k, max(BLOCK_CELLS // max(w, 1), 64)))
     rr = max(1, min(r, BLOCK_CELLS // (w * max(l, kk))))
     dist = np.empty((r, k))
-    pos = np.zeros((r, k), dtype=np.int64)
+    pos = np.zeros((r, k), dtype=np.int64) if want_pos else None
     for a in range(0, r, rr):
         for b in range(0, k, kk):
             d, p = _match_block(x[a:a + rr], s[b:b + kk], metric, want_pos)
             dist[a:a + rr, b:b + kk] = d
-            pos[a:a + rr, b:b + kk] = p
+            if want_pos:
+                pos[a:a + rr, b:b + kk] = p
     return dist, pos
 
 
@@ -144,7 +178,7 @@ def ragged_match(series: Ragged, shapelets: Ragged, metric="raw", on_short="inf"
     """
     r, k = len(series), len(shapelets)
     dist = np.full((r, k), np.inf)
-    pos = np.zeros((r, k), dtype=np.int64)
+    pos = np.zeros((r, k), dtype=np.int64) if want_pos else None
     pools = list(shapelets.groups())
     for n, rows, x in series.groups():
         for l, cols, s in pools:
@@ -154,11 +188,12 @@ def ragged_match(series: Ragged, shapelets: Ragged, metric="raw", on_short="inf"
                 d, p = best_match(x, s, metric, want_pos)
             elif on_short == "swap":
                 d, p = best_match(s, x, metric, want_pos)
-                d, p = d.T, p.T
+                d, p = d.T, p.T if want_pos else None
             else:
                 continue
             dist[np.ix_(rows, cols)] = d
-            pos[np.ix_(rows, cols)] = p
+            if want_pos:
+                pos[np.ix_(rows, cols)] = p
     return dist, pos
 
 
@@ -220,51 +255,37 @@ def prefix_sums(rows: np.ndarray):
     return np.pad(np.cumsum(rows, -1), pad), np.pad(np.cumsum(rows * rows, -1), pad)
 
 
-def window_moments(s1, s2, l):
-    """Mean and deviation of every window of length l; 0 or invalid deviation is 1."""
+def window_moments(rows: np.ndarray, l: int):
+    """Mean, deviation and reliability of every window of length l, for rows of unit scale.
+
+    A constant window (minimum = maximum) has deviation 1, so its covariances give correlation 0. Windows whose deviation
+    is too small against the row for running sums are marked as not reliable.
+    """
+    s1, s2 = prefix_sums(rows)
     mean = (s1[..., l:] - s1[..., :-l]) / l
-    square = (s2[..., l:] - s2[..., :-l]) / l
-    var = square - mean * mean
-    # Differences of running sums leave rounding dust on constant windows.
-    dust = 1e-13 * (1.0 + np.abs(s2[..., -1:]) / l)
-    return mean, np.where(var > dust, np.sqrt(np.maximum(var, 0.0)), 1.0)
+    var = (s2[..., l:] - s2[..., :-l]) / l - mean * mean
+    windows = sliding_window_view(rows, l, axis=-1)
+    flat = windows.max(axis=-1) == windows.min(axis=-1)
+    sure = flat | (var > 1e-5)
+    return mean, np.where(flat | ~sure, 1.0, np.sqrt(np.maximum(var, 1e-300))), flat, sure
 
 
 def window_correlations(x: np.ndarray, y: np.ndarray, l: int) -> np.ndarray:
-    """Correlation of every window of x with every window of y, by running sums."""
-    x, y = x - x.mean(), y - y.mean()
-    cross = cross_prefix(x, y)[0]
-    mx, dx = window_moments(*prefix_sums(x), l)
-    my, dy = window_moments(*prefix_sums(y), l)
-    cov = cross[l:, l:] - cross[:-l, :-l] - l * np.outer(mx, my)
-    return np.minimum(1.0, cov / (l * np.outer(dx, dy)))
-
+    """Correlation of every window of x with every window of y, by running sums.
 
-def correlation_distances(x: np.ndarray, others: Ragged, lengths):
-    """For each length, distances (windows of x, rows of others) by running sums.
-
-    Correlation distance sqrt(2(1-corr)), minimised over the offsets of each row.
-    A row shorter than the length gets +inf.
+    Both series are scaled to unit deviation first, so amplitude and offset do not matter; windows that hardly vary against
+    their series are correlated from their own values.
     """
-    x = x - x.mean() if len(x) else x
-    lengths = [l for l in lengths if l <= len(x)]
-    out = {l: np.full((len(x) - l + 1, len(others)), np.inf) for l in lengths}
-    sx1, sx2 = prefix_sums(x)
-    for m, rows, y in others.groups():
-        step = max(1, BLOCK_CELLS // ((len(x) + 1) * (m + 1)))
-        for a in range(0, len(rows), step):
-            part = y[a:a + step]
-            part = part - part.mean(axis=1, keepdims=True)
-            cross = cross_prefix(x, part)
-            sy1, sy2 = prefix_sums(part)
-            for l in lengths:
-                if l > m:
-                    continue
-                mx, dx = window_moments(sx1, sx2, l)
-                my, dy = window_moments(sy1, sy2, l)
-                xy = cross[:, l:, l:] - cross[:, :-l, :-l]
-                cov = xy - l * mx[None, :, None] * my[:, None, :]
-                corr = np.minimum(1.0, cov / (l * dx[None, :, None] * dy[:, None, :]))
-                d = np.sqrt(2.0 * (1.0 - corr.max(axis=2)))
-                out[l][:, rows[a:a + step]] = d.T
-    return out
+    x, y = z_norm(x), z_norm(y)
+    cross = cross_prefix(x, y)[0]
+    mx, dx, flat_x, sure_x = window_moments(x, l)
+    my, dy, flat_y, sure_y = window_moments(y, l)
+    cov = cross[l:, l:] - cross[:-l, :-l] - l * np.outer(mx, my)
+    corr = cov / (l * np.outer(dx, dy))
+    if not (sure_x.all() and sure_y.all()):
+        wx, wy = z_norm(sliding_window_view(x, l)), z_norm(sliding_window_view(y, l))
+        corr[~sure_x] = wx[~sure_x] @ wy.T / l
+        corr[:, ~sure_y] = wx @ wy[~sure_y].T / l
+    corr[flat_x] = 0.0
+    corr[:, flat_y] = 0.0
+    return np.minimum(1.0, corr)

@@ -36,7 +36,7 @@ def penalised(loss, grad, w):
 
 
 def minimise(classes: int, moments: np.ndarray, tol: float = 1e-4, max_passes: int = 100, memory: int = 10):
-    """Limited-memory quasi-Newton steps; yields weights, receives (loss, grad), returns weights.
+    """Limited-memory quasi-Newton steps; yields weights, receives (loss, grad), returns whether they settled.
 
     Starts from the curvature bound 0.5 * moments + penalty, which makes the step scale-free.
     """
@@ -51,7 +51,9 @@ def minimise(classes: int, moments: np.ndarray, tol: float = 1e-4, max_passes: i
     f, g = yield w
     pairs: list = []
     passes = 1
-    while passes < max_passes and np.abs(g).max() > tol:
+    while np.abs(g).max() > tol:
+        if passes >= max_passes:
+            return False
         q, used = g.copy(), []
         for s, y, rho in reversed(pairs):
             a = rho * float((s * q).sum())
@@ -74,7 +76,7 @@ def minimise(classes: int, moments: np.ndarray, tol: float = 1e-4, max_passes: i
                 break
             t *= 0.3
         if not moved:
-            break
+            return passes < max_passes  # no better point along the step: as near as doubles tell
         s, y = trial - w, gt - g
         sy = float((s * y).sum())
         if sy > 1e-12:
@@ -83,16 +85,16 @@ def minimise(classes: int, moments: np.ndarray, tol: float = 1e-4, max_passes: i
         w, f, g = trial, ft, gt
         if done:
             break
-    return w
+    return True
 
 
 def fit_many(problems: dict, evaluate, classes: int, tol: float, max_passes: int) -> dict:
     """Fit all problems together: one call of ``evaluate`` per round for those still open.
 
     problems: id -> moment matrix. evaluate: {id: weights} -> {id: (loss, grad, hits)}.
-    Returns id -> (weights, loss, hits) at the last point.
+    Returns id -> (weights, loss, hits, passes, converged) at the best point.
     """
-    runs, asks, last = {}, {}, {}
+    runs, asks, last, passes, settled = {}, {}, {}, dict.fromkeys(problems, 0), {}
     for key, moments in problems.items():
         runs[key] = minimise(classes, moments, tol, max_passes)
         asks[key] = next(runs[key])
@@ -101,11 +103,12 @@ def fit_many(problems: dict, evaluate, classes: int, tol: float, max_passes: int
         nxt = {}
         for key, w in asks.items():
             loss, grad, hits = sums[key]
+            passes[key] += 1
             if key not in last or penalised(loss, grad, w)[0] <= last[key][3]:
                 last[key] = (w, loss, hits, penalised(loss, grad, w)[0])
             try:
                 nxt[key] = runs[key].send(penalised(loss, grad, w))
-            except StopIteration:
-                pass
+            except StopIteration as end:
+                settled[key] = bool(end.value)
         asks = nxt
-    return {key: value[:3] for key, value in last.items()}
+    return {key: (*value[:3], passes[key], settled[key]) for key, value in last.items()}

@@ -156,27 +156,56 @@ def voting_hard(votes: DataFrame, weights: DataFrame) -> DataFrame:
 KNN_BLOCK = 4096
 
 
-def _nearest(x, y, k):
-    """Rows and distances of the k nearest rows of y for every row of x."""
-    out_i, out_d = [], []
+def _gaps(x, y):
+    """Euclidean distances of paired rows; equal infinities do not differ, unequal ones are infinitely far."""
+    with np.errstate(invalid="ignore"):
+        diff = np.where(x == y, 0.0, x - y)
+        return np.sqrt((diff * diff).sum(axis=-1))
+
+
+def _nearest(x, y, ids, k, digits):
+    """(row of x, row of y, distance) of the k nearest rows of y for every row of x, nearest first, ties by id.
+
+    The product form of centred values only preselects: every row within its rounding bound of the k-th value is measured
+    from the differences, however many there are. Infinite features are measured directly.
+    """
+    k = min(k, len(y))
+    out = []
+    finite = np.isfinite(x).all() and np.isfinite(y).all()
+    centre = y.mean(axis=0) if finite else 0.0
+    yc = y - centre
+    square = (yc * yc).sum(1)
     step = max(1, kernels.BLOCK_CELLS // max(len(y), 1))
     for a in range(0, len(x), step):
         part = x[a:a + step]
-        d2 = (part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * part @ y.T
-        # the product form only preselects; kept rows are measured exactly, with a margin for ties
-        m = min(len(y), k + 16)
-        near = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < len(y) else np.tile(np.arange(len(y)), (len(part), 1))
-        exact = np.sqrt(((part[:, None, :] - y[near]) ** 2).sum(2))
-        out_i.append(near)
-        out_d.append(exact)
-    return np.vstack(out_i), np.vstack(out_d)
+        if finite:
+            pc = part - centre
+            own = (pc * pc).sum(1)
+            d2 = own[:, None] + square[None, :] - 2 * pc @ yc.T
+            error = 8e-16 * (x.shape[1] + 8) * (own[:, None] + square[None, :])
+            upper = np.partition(d2 + error, k - 1, axis=1)[:, k - 1]
+            reach = (np.sqrt(np.maximum(upper, 0)) + 10.0 ** -digits) ** 2
+            i, j = np.nonzero(d2 - error <= reach[:, None])
+        else:
+            i, j = np.divmod(np.arange(len(part) * len(y)), len(y))
+        exact = np.empty(len(i))
+        rows = max(1, kernels.BLOCK_CELLS // max(x.shape[1], 1))
+        for b in range(0, len(i), rows):
+            exact[b:b + rows] = _gaps(part[i[b:b + rows]], y[j[b:b + rows]])
+        exact = np.round(exact, digits)
+        order = np.lexsort((ids[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = rank < k
+        out.append((i[keep] + a, j[keep], exact[keep]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
 def knn_join(test: DataFrame, train: DataFrame, k: int, broadcast_points: int | None = None, digits: int = 9) -> DataFrame:
     """(series_id, rank, train_id, label, dist): k nearest training rows in distance space.
 
-    Both sides have (series_id, features array); train has label. Only the nearest
-    candidates of a block leave a task, never all pairs. Ties go to the smaller train id.
+    Both sides have (series_id, features array); train has label. Only the k nearest of a block leave a task, never all
+    pairs. Ties after rounding to ``digits`` go to the smaller train id, however many rows tie.
     """
     sized = train.select(F.col("series_id").alias("train_id"), F.col("label").cast("long").alias("label"),
                          F.col("features").alias("_f"))
@@ -187,15 +216,9 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, broadcast_points: int |
     names = ["series_id", "train_id", "label", "dist"]
 
     def emit(left_ids, x, tids, labels, y):
-        width = min(len(y), k + 16)
-        near, dist = _nearest(x, y, k)
-        d = np.round(dist, digits)
-        order = np.lexsort((np.asarray(tids)[near], d), axis=1)[:, :k]
-        rows = np.arange(len(x))[:, None]
-        pick, far = near[rows, order].reshape(-1), d[rows, order].reshape(-1)
-        take = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
-        assert order.shape[1] <= width
-        return [left_ids.take(take), pa.array(np.asarray(tids)[pick]), pa.array(np.asarray(labels)[pick]), pa.array(far)]
+        tids, labels = np.asarray(tids), np.asarray(labels)
+        i, j, dist = _nearest(x, y, tids, k, digits)
+        return [left_ids.take(pa.array(i)), pa.array(tids[j]), pa.array(labels[j]), pa.array(dist)]
 
     def matrix(column):
         own = kernels.Ragged.from_arrow(column)

@@ -62,16 +62,6 @@ def _spread_tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(tasks, "series_id")
 
 
-def sums_pay_off(points: int, lengths: list[int]) -> bool:
-    """Whether running sums beat one matrix product per length on series of this size.
-
-    Running sums cost a few memory-bound passes per pair of windows whatever the length; products
-    cost a multiply-add per point, some sixteen times cheaper each.
-    """
-    spans = [(points - l + 1, l) for l in lengths if l <= points]
-    return 6 * points ** 2 + 6 * sum(w * w for w, _ in spans) < sum(w * w * l for w, l in spans) / 16
-
-
 def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digits: int = 9,
                          by: str | None = None) -> DataFrame:
     """Gain of every window, computed beside a shared copy of all (size-checked) series.
@@ -85,8 +75,6 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
     classes = max(int(y.max()) for y, _ in groups.values()) + 1
     shared = series.sparkSession.sparkContext.broadcast(groups)
     lead = [by] if by else []
-    longest = max(int(pool.lengths.max()) for _, pool in groups.values())
-    running = fast and sums_pay_off(longest, lengths)
     metric, on_short = ("corr", "inf") if fast else ("znorm", "swap")
     schema = T.StructType([series.schema[c] for c in (*lead, "series_id")] + [
         T.StructField("length", T.IntegerType()), T.StructField("start", T.IntegerType()),
@@ -108,7 +96,8 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
                 if length > n:
                     continue
                 count = n - length + 1
-                step = max(1, CANDIDATE_BLOCK // count)
+                # distances of one step: candidates x series of the group
+                step = max(1, min(CANDIDATE_BLOCK, kernels.BLOCK_CELLS // max(len(pool), 1)) // count)
                 for a in range(0, len(part_rows), step):
                     part = part_rows[a:a + step]
                     cand = np.lib.stride_tricks.sliding_window_view(
@@ -118,22 +107,14 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
                     yield emit(batch, np.repeat(part, count), length, np.tile(np.arange(count), len(part)),
                                kernels.split_scores(dist, label, classes, digits))
 
-    def by_series(batch, own, rows, label, pool):
-        for i in rows:
-            x = own.flat[own.starts[i]:own.starts[i] + own.lengths[i]]
-            for length, dist in kernels.correlation_distances(x, pool, lengths).items():
-                yield emit(batch, np.full(len(dist), i), length, np.arange(len(dist)),
-                           kernels.split_scores(dist, label, classes, digits))
-
     def run(batches):
         groups = shared.value
-        score = by_series if running else by_length
         for batch in batches:
             own = kernels.Ragged.from_arrow(batch.column("values"))
             keys = np.array(batch.column(by).to_pylist()) if by else np.zeros(len(own), dtype=int)
             for g in np.unique(keys):
                 label, pool = groups[g.item()]
-                yield from score(batch, own, np.flatnonzero(keys == g), label, pool)
+                yield from by_length(batch, own, np.flatnonzero(keys == g), label, pool)
 
     rows = sum(len(y) for y, _ in groups.values())
     own = series.select(*lead, "series_id", F.col("values").cast("array<double>").alias("values"))
@@ -197,7 +178,7 @@ def discover_exhaustive(series: DataFrame, min_len: int | None = None, max_len:
 def discover_fast(series: DataFrame, min_len: int | None = None, max_len: int | None = None, n: int = 1,
                   metric: str = "ig", lengths: list[int] | None = None, digits: int = 9,
                   by: str | None = None, broadcast_points: int | None = None) -> DataFrame:
-    """The same candidates by correlation distance; running sums are shared by all lengths."""
+    """The same candidates by correlation distance."""
     lengths = default_lengths(series, min_len, max_len, lengths)
     return _discover(series, lengths, n, metric, True, digits, broadcast_points, by)
 

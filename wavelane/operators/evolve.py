@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wavelane.functions import breeding as B
 from wavelane.operators import distance as D, fitness as Fit, metrics as M, prep as P, ranking as R
-from wavelane.runtime import BROADCAST_POINTS, attach_row, table_size, write_through
+from wavelane.runtime import BROADCAST_POINTS, table_size, write_through
 
-SAMPLE_ROWS = 4096  # rows random windows are drawn from, re-sampled for every use
 POPULATION = "ind_id long, pos int, values array<double>"
 
 
@@ -28,53 +27,52 @@ def _uniform(seed, *keys):
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
 
 
-def _sampled_rows(series: DataFrame, seed: int, rows: int = SAMPLE_ROWS) -> tuple[DataFrame, int]:
-    """Up to ``rows`` random series numbered from 0; only their ids meet in one task."""
-    ids = series.select("series_id").orderBy(P.random_key(seed, "series_id"), "series_id").limit(rows)
-    numbered = ids.withColumn("_i", F.row_number().over(
-        Window.orderBy(P.random_key(seed, "series_id"), "series_id")) - 1)
-    sample = series.select("series_id", "values").join(numbered, "series_id").persist()
-    return sample, sample.count()
+def _numbered_rows(series: DataFrame, seed: int, rows: int) -> DataFrame:
+    """(series_id, _i): the first ``rows`` series of a random order; ``rows`` is a number of draws, so only that many ids meet."""
+    key = P.random_key(seed, "series_id")
+    ids = series.select("series_id").orderBy(key, "series_id").limit(rows)
+    return ids.withColumn("_i", F.row_number().over(Window.orderBy(key, "series_id")) - 1)
 
 
 def random_windows(series: DataFrame, draws: DataFrame, seed: int, min_len: int, max_len: int,
-                   lengths: DataFrame | None = None, sample: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """A random window for every row of ``draws`` (ind_id, pos): adds values.
+                   lengths: DataFrame | None = None) -> DataFrame:
+    """A random window of any series for every row of ``draws`` (ind_id, pos): adds values.
 
-    length U[4, min(min_len, max_len)), start U[0, min_len - length). With ``lengths``
-    (ind_id, length) the windows of one set share a length. ``sample`` reuses a drawn
-    sample of rows.
+    length U[4, min(min_len, max_len)), start U[0, min_len - length). With ``lengths`` (ind_id, length) the windows of one
+    set share a length. A draw is a place U[0, n) in a random order of all series. Only as many series as there are
+    distinct places are read: the places are numbered, and the order begins with that many random series.
     """
-    sample, n = sample or _sampled_rows(series, seed)
+    n, wanted = series.count(), draws.count()
     top = min(min_len, max_len)
-    keys = ("ind_id", "pos")
+    keys = tuple(draws.columns)
     if lengths is None:
         picked = draws.withColumn("length", (4 + F.floor(_uniform(seed + 1, *keys) * max(top - 4, 1))).cast("int"))
     else:
         picked = draws.join(lengths, "ind_id")
-    picked = picked.withColumn("_i", F.floor(_uniform(seed + 2, *keys) * n).cast("int")).withColumn(
-        "start", F.floor(_uniform(seed + 3, *keys) * (min_len - F.col("length"))).cast("int"))
+    picked = picked.withColumn("_place", F.floor(_uniform(seed + 2, *keys) * n)).withColumn(
+        "start", F.floor(_uniform(seed + 3, *keys) * (min_len - F.col("length"))).cast("int")).withColumn(
+        "_i", F.dense_rank().over(Window.orderBy("_place")) - 1)  # one row per draw
+    sample = series.select("series_id", "values").join(_numbered_rows(series, seed, min(wanted, n)), "series_id")
     out = picked.join(sample, "_i")
     return out.select(*draws.columns, F.slice("values", F.col("start") + 1, F.col("length")).alias("values"))
 
 
-def init_random(series, individuals: DataFrame, seed, min_len, max_len, sample=None) -> DataFrame:
+def init_random(series, individuals: DataFrame, seed, min_len, max_len) -> DataFrame:
     """individuals: (ind_id, k). One random window per shapelet."""
     draws = individuals.select("ind_id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("pos"))
-    return random_windows(series, draws, seed, min_len, max_len, sample=sample).select("ind_id", "pos", "values")
+    return random_windows(series, draws, seed, min_len, max_len).select("ind_id", "pos", "values")
 
 
-def init_kmeans(series, individuals: DataFrame, seed, min_len, max_len, sample=None) -> DataFrame:
+def init_kmeans(series, individuals: DataFrame, seed, min_len, max_len) -> DataFrame:
     """k centroids of max(k, sqrt(n)) windows of one common length; k = 1 draws at random."""
     n = series.count()
-    sample = sample or _sampled_rows(series, seed)
-    single = init_random(series, individuals.where("k = 1"), seed, min_len, max_len, sample)
+    single = init_random(series, individuals.where("k = 1"), seed, min_len, max_len)
     many = individuals.where("k > 1")
     draw = F.greatest(F.col("k"), F.lit(int(np.sqrt(n))))
     draws = many.select("ind_id", "k", F.explode(F.sequence(F.lit(0), draw - 1)).alias("pos"))
     top = min(min_len, max_len)
     lengths = many.select("ind_id", (4 + F.floor(_uniform(seed + 4, "ind_id") * max(top - 4, 1))).cast("int").alias("length"))
-    windows = random_windows(series, draws, seed + 5, min_len, max_len, lengths, sample)
+    windows = random_windows(series, draws, seed + 5, min_len, max_len, lengths)
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         ind, k = int(frame["ind_id"].iloc[0]), int(frame["k"].iloc[0])
@@ -96,8 +94,7 @@ def initial_population(series, size, max_shaps, seed, min_len, max_len, init_ops
          2 + F.floor(_uniform(seed, "ind_id", F.lit("k")) * max(max_shaps - 2, 1))).cast("int")
     table = spark.range(size).select(F.col("id").alias("ind_id")).withColumn("k", k).withColumn(
         "_op", F.floor(_uniform(seed, "ind_id", F.lit("op")) * len(init_ops)))
-    sample = _sampled_rows(series, seed)
-    parts = [op(series, table.where(F.col("_op") == i).drop("_op"), seed + 10 * (i + 1), min_len, max_len, sample)
+    parts = [op(series, table.where(F.col("_op") == i).drop("_op"), seed + 10 * (i + 1), min_len, max_len)
              for i, op in enumerate(init_ops)]
     out = parts[0]
     for p in parts[1:]:
@@ -141,10 +138,10 @@ def score_population(series: DataFrame, population: DataFrame, classes: int, fit
     """(ind_id, score, points) of every set; equal shapelets share one distance column."""
     keyed = population.withColumn("shapelet_id", F.xxhash64("values"))
     pool = keyed.select("shapelet_id", "values").dropDuplicates(["shapelet_id"]).persist()
-    order = pool.agg(F.sort_array(F.collect_list("shapelet_id")).alias("_ids"))
-    members = attach_row(keyed, order).groupBy("ind_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", (F.array_position("_ids", F.col("shapelet_id")) - 1).alias("s")))).alias("_m"),
-        F.sum(F.size("values")).alias("points")).select(
+    # distinct shapelets of a population, numbered in the order of the feature columns
+    slots = pool.select("shapelet_id", (F.row_number().over(Window.orderBy("shapelet_id")) - 1).alias("s"))
+    members = keyed.join(slots, "shapelet_id").groupBy("ind_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("_m"), F.sum(F.size("values")).alias("points")).select(
         "ind_id", F.transform("_m", lambda e: e["s"]).alias("slots"), "points").persist()
     # read by every training pass; recomputed from the series if an executor is lost
     features = D.distance_features(series, pool, "znorm" if normed else "raw", "swap" if normed else "inf",
@@ -194,10 +191,17 @@ def discover_genetic(series: DataFrame, population_size: int = 50, iterations: i
     population = write_through(initial_population(encoded, population_size, max_shaps, seed, min_len, max_len,
                                                   init_ops, n_shapelets))
     scores = {i: (s, p) for i, s, p in score(population)}
-    best_score, best, best_it, it, history = float("-inf"), None, 1, 1, []
-    while it <= iterations and it - best_it < wait:
-        spare = spark.range(population_size).select(F.col("id").alias("ind_id"), F.lit(0).alias("pos"))
-        fresh = random_windows(encoded, spare, seed + 1000 * it, min_len, max_len)
+    # Spare windows of all generations at once, so that a generation reads no series for them.
+    spares = write_through(random_windows(encoded, spark.range(population_size).select(
+        F.col("id").alias("ind_id"), F.lit(0).alias("pos"), F.explode(F.sequence(F.lit(1), F.lit(max(iterations, 1)))).alias("generation")),
+        seed + 1000, min_len, max_len))
+    rank = lambda item: (item[1][0], -item[1][1])
+    leader = max(scores.items(), key=rank)
+    best_score, best, idle, history = float("-inf"), population.where(F.col("ind_id") == leader[0]), 0, []
+    for it in range(1, iterations + 1):
+        if idle >= wait:
+            break
+        fresh = spares.where(F.col("generation") == it).drop("generation")
         bred = write_through(breed_population(population, fresh, seed, it, cx_ops, mut_ops, crossover_prob, mutation_prob))
         changed = bred.where("changed")
         offspring = dict(scores)
@@ -209,7 +213,6 @@ def discover_genetic(series: DataFrame, population_size: int = 50, iterations: i
         winners = [(r["slot"], r["ind_id"]) for r in R.tournament(
             table, R.tournament_draws(spark, population_size - 1, population_size, seed + it)).orderBy("slot").collect()]
         # best of parents and offspring; a parent wins only when strictly better
-        rank = lambda item: (item[1][0], -item[1][1])
         top_child, top_parent = max(offspring.items(), key=rank), max(scores.items(), key=rank)
         elite_from_parent = rank(top_parent) > rank(top_child)
         elite = top_parent if elite_from_parent else top_child
@@ -228,11 +231,13 @@ def discover_genetic(series: DataFrame, population_size: int = 50, iterations: i
         top = max(s for s, _ in scores.values())
         if verbose:
             print(f"generation {it}: best {top:.6f}")
+        idle += 1
         if top > best_score:
-            best_score, best_it = top, it
+            best_score, idle = top, 0
             best = population.where(F.col("ind_id") == population_size - 1)
-        it += 1
     encoded.unpersist()
+    if not history:
+        best_score, history = leader[1][0], [(0, s) for s, _ in scores.values()]
     from wavelane.operators.reports import generation_stats
     stats = generation_stats(spark.createDataFrame(history, "generation int, score double"), ["generation"])
     shapelets = best.select(F.col("pos").cast("long").alias("shapelet_id"), "values")
@@ -250,7 +255,7 @@ def init_motif(series: DataFrame, length: int, draws: int = 100, seed: int = 0)
 
     Windows within half a length of each other are not compared. ``draws`` bounds the sample.
     """
-    sample, n = _sampled_rows(series, seed, draws)
+    sample = series.select("series_id", "values").join(_numbered_rows(series, seed, draws), "series_id")
     if table_size(sample)[1] > BROADCAST_POINTS:
         raise ValueError("the sampled series are too long to join; use fewer draws")
     rows = sample.orderBy("_i").select("_i", "values").collect()  # at most ``draws`` series

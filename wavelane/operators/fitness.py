@@ -9,6 +9,7 @@ is as large as the population.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,7 +47,7 @@ def _sum_by_slot(features: DataFrame, width: int, fn) -> dict:
 
 def fit_sets(features: DataFrame, members: DataFrame, classes: int, max_passes: int = 100,
              tol: float = 1e-4, shared_cells: int = SHARED_CELLS) -> DataFrame:
-    """Fit one model per shapelet set: (ind_id, rows, loss, hits, weights).
+    """Fit one model per shapelet set: (ind_id, rows, loss, hits, passes, converged, weights).
 
     A feature table within ``shared_cells`` is shipped to the tasks, which fit whole sets in
     parallel. Otherwise every pass over the table serves all sets still open, and only summed
@@ -55,7 +56,7 @@ def fit_sets(features: DataFrame, members: DataFrame, classes: int, max_passes:
     spark = features.sparkSession
     shape = features.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
     n, width = shape["n"], shape["d"] or 0
-    schema = "ind_id long, rows long, loss double, hits double, weights array<double>"
+    schema = "ind_id long, rows long, loss double, hits double, passes int, converged boolean, weights array<double>"
     if n * width <= shared_cells:
         table = features.select("label_index", "features").toArrow().combine_chunks()
         x, y = _batch(table.to_batches()[0], width)
@@ -69,9 +70,9 @@ def fit_sets(features: DataFrame, members: DataFrame, classes: int, max_passes:
                     own = x[:, np.asarray(slots, dtype=np.int64)]
                     done = logistic.fit_many({0: logistic.gram(own)}, lambda asks: {
                         0: logistic.softmax_sums(own, y, asks[0])}, classes, tol, max_passes)
-                    w, loss, hits = done[0]
-                    out.append((ind, len(y), loss, hits, w.reshape(-1).tolist()))
-                yield __import__("pandas").DataFrame(out, columns=["ind_id", "rows", "loss", "hits", "weights"])
+                    w, loss, hits, passes, converged = done[0]
+                    out.append((ind, len(y), loss, hits, passes, converged, w.reshape(-1).tolist()))
+                yield pd.DataFrame(out, columns=["ind_id", "rows", "loss", "hits", "passes", "converged", "weights"])
 
         tasks = spark.sparkContext.defaultParallelism
         return members.select("ind_id", "slots").repartition(tasks, "ind_id").mapInPandas(fit, schema)
@@ -96,8 +97,8 @@ def fit_sets(features: DataFrame, members: DataFrame, classes: int, max_passes:
         return {i: (v[0], v[2:].reshape(asks[i].shape), v[1]) for i, v in got.items()}
 
     done = logistic.fit_many(problems, evaluate, classes, tol, max_passes)
-    return spark.createDataFrame([(int(i), int(n), float(loss), float(hits), w.reshape(-1).tolist())
-                                  for i, (w, loss, hits) in done.items()], schema)
+    return spark.createDataFrame([(int(i), int(n), float(loss), float(hits), int(passes), converged, w.reshape(-1).tolist())
+                                  for i, (w, loss, hits, passes, converged) in done.items()], schema)
 
 
 def logloss_fitness(features, members, classes, max_passes, verbose):

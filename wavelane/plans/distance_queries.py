@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavelane.operators import distance as D, segments as G
-from wavelane.plans.registry import EMB_POOL, USER_POOL, query
+from wavelane.plans.registry import CUSTOMERS, EMB_POOL, USER_POOL, query
 from wavelane.runtime import spread_small_input
 from wavelane.sources import pools, tables
 
@@ -74,6 +74,20 @@ def min_distance_location(spark, folder):
         "series_id", "shapelet_id", finite("dist").alias("dist"), F.round("loc", 6).alias("loc"))
 
 
+@query("min_distance_location_mixed", f"""WITH {USER_POOL}, {CUSTOMERS},
+mixed AS (SELECT series_id, label, v FROM users UNION ALL SELECT -1 - series_id, label, v FROM customers),
+{RAW.format(src='mixed')}
+SELECT series_id, shapelet_id, CASE WHEN l <= n THEN round(list_min(d), 6) END AS dist,
+  round(CASE WHEN l < n THEN (list_position(list_transform(d, lambda x: round(x, 9)), round(list_min(d), 9)) - 1) / (n - l)
+        ELSE 0.0 END, 6) AS loc FROM dists""")
+def min_distance_location_mixed(spark, folder):
+    """Series whose values differ by a factor of ten thousand in one table: neighbours do not change a location."""
+    series, pool = _users(spark, folder)
+    customers = tables.customer_series(spark, folder).withColumn("series_id", -1 - F.col("series_id"))
+    return D.min_distance(series.unionByName(customers), pool, location=True).select(
+        "series_id", "shapelet_id", finite("dist").alias("dist"), F.round("loc", 6).alias("loc"))
+
+
 @query("min_distance_expr", f"""WITH {EMB_POOL}, {RAW.format(src='emb')}
 SELECT series_id, shapelet_id, round(list_min(d), 6) AS dist,
   round((list_position(d, list_min(d)) - 1) / (n - l), 6) AS loc FROM dists""")

@@ -309,6 +309,29 @@ def knn_join_block(spark, folder):
         "series_id", F.col("rank").cast("long").alias("rank"), "train_id", "dist")
 
 
+def _nearest_sql(rows: str) -> str:
+    """Five nearest rows of a table f (series_id, f) by distance rounded to six digits, then id."""
+    return f"""WITH {rows}
+SELECT a.series_id, b.series_id AS train_id, round(list_distance(a.f, b.f), 6) AS dist,
+  row_number() OVER (PARTITION BY a.series_id ORDER BY round(list_distance(a.f, b.f), 6), b.series_id) AS rank
+FROM f a, f b QUALIFY rank <= 5"""
+
+
+@query("knn_join_ties", _nearest_sql("f AS (SELECT p_partkey AS series_id, [p_size::DOUBLE, 0.0] AS f FROM part)"))
+def knn_join_ties(spark, folder):
+    """Parts by size: far more rows at one distance than neighbours wanted."""
+    rows = tables.read(spark, folder, "part").select(
+        F.col("p_partkey").alias("series_id"), F.lit(0).alias("label"), F.array(F.col("p_size").cast("double"), F.lit(0.0)).alias("features"))
+    return C.knn_join(rows, rows, 5, digits=6).select("series_id", F.col("rank").cast("long").alias("rank"), "train_id", "dist")
+
+
+@query("knn_join_offset", _nearest_sql("f AS (SELECT vec_id AS series_id, list_transform(embedding, lambda x: x::DOUBLE + 1e8) AS f FROM embeddings)"))
+def knn_join_offset(spark, folder):
+    """Embeddings far from the origin, where squares of the values lose the differences."""
+    rows = tables.emb_series(spark, folder).select("series_id", "label", F.transform("values", lambda x: x + F.lit(1e8)).alias("features"))
+    return C.knn_join(rows, rows, 5, digits=6).select("series_id", F.col("rank").cast("long").alias("rank"), "train_id", "dist")
+
+
 @query("knn_grid", f"""WITH {DIST},
 f AS (SELECT series_id, any_value(label) AS label, list(dist ORDER BY shapelet_id) AS f, series_id % 3 AS fold FROM (SELECT series_id, label, shapelet_id, list_min(d) AS dist FROM dists) GROUP BY series_id),
 nn AS (SELECT a.series_id, a.label AS truth, b.label, round(list_distance(a.f, b.f), 6) AS dist,

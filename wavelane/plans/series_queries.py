@@ -358,6 +358,14 @@ def window_correlation(spark, folder):
     return W.window_correlation(pairs, 6).withColumn("corr", F.round("corr", 6))
 
 
+@query("window_correlation_small", f"WITH {CORR_SQL} SELECT series_id, u, v, round(corr, 6) AS corr FROM c")
+def window_correlation_small(spark, folder):
+    """Correlations do not depend on the amplitude: the same pairs scaled by 1e-7."""
+    small = lambda c: F.transform(c, lambda x: x * F.lit(1e-7)).alias(c)
+    pairs = label_mean_pairs(tables.customer_series(spark, folder)).select("series_id", small("x"), small("y"))
+    return W.window_correlation(pairs, 6).withColumn("corr", F.round("corr", 6))
+
+
 @query("correlation_distance", f"""WITH {CORR_SQL}
 SELECT series_id, u, round(min(sqrt(2 * (1 - corr))), 4) AS dist FROM c GROUP BY series_id, u""")
 def correlation_distance(spark, folder):
