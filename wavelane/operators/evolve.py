@@ -22,11 +22,6 @@ from wavelane.runtime import BROADCAST_POINTS, table_size, write_through
 POPULATION = "ind_id long, pos int, values array<double>"
 
 
-def _uniform(seed, *keys):
-    """Repeatable draw in [0, 1) from a seed and row keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
-
-
 def _numbered_rows(series: DataFrame, seed: int, rows: int) -> DataFrame:
     """(series_id, _i): the first ``rows`` series of a random order; ``rows`` is a number of draws, so only that many ids meet."""
     key = P.random_key(seed, "series_id")
@@ -46,11 +41,11 @@ def random_windows(series: DataFrame, draws: DataFrame, seed: int, min_len: int,
     top = min(min_len, max_len)
     keys = tuple(draws.columns)
     if lengths is None:
-        picked = draws.withColumn("length", (4 + F.floor(_uniform(seed + 1, *keys) * max(top - 4, 1))).cast("int"))
+        picked = draws.withColumn("length", (4 + F.floor(P.uniform(seed + 1, *keys) * max(top - 4, 1))).cast("int"))
     else:
         picked = draws.join(lengths, "ind_id")
-    picked = picked.withColumn("_place", F.floor(_uniform(seed + 2, *keys) * n)).withColumn(
-        "start", F.floor(_uniform(seed + 3, *keys) * (min_len - F.col("length"))).cast("int")).withColumn(
+    picked = picked.withColumn("_place", F.floor(P.uniform(seed + 2, *keys) * n)).withColumn(
+        "start", F.floor(P.uniform(seed + 3, *keys) * (min_len - F.col("length"))).cast("int")).withColumn(
         "_i", F.dense_rank().over(Window.orderBy("_place")) - 1)  # one row per draw
     sample = series.select("series_id", "values").join(_numbered_rows(series, seed, min(wanted, n)), "series_id")
     out = picked.join(sample, "_i")
@@ -71,7 +66,7 @@ def init_kmeans(series, individuals: DataFrame, seed, min_len, max_len) -> DataF
     draw = F.greatest(F.col("k"), F.lit(int(np.sqrt(n))))
     draws = many.select("ind_id", "k", F.explode(F.sequence(F.lit(0), draw - 1)).alias("pos"))
     top = min(min_len, max_len)
-    lengths = many.select("ind_id", (4 + F.floor(_uniform(seed + 4, "ind_id") * max(top - 4, 1))).cast("int").alias("length"))
+    lengths = many.select("ind_id", (4 + F.floor(P.uniform(seed + 4, "ind_id") * max(top - 4, 1))).cast("int").alias("length"))
     windows = random_windows(series, draws, seed + 5, min_len, max_len, lengths)
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
@@ -91,9 +86,9 @@ def initial_population(series, size, max_shaps, seed, min_len, max_len, init_ops
     init_ops = init_ops or INITIALISERS
     spark = series.sparkSession
     k = (F.lit(n_shapelets) if n_shapelets else
-         2 + F.floor(_uniform(seed, "ind_id", F.lit("k")) * max(max_shaps - 2, 1))).cast("int")
+         2 + F.floor(P.uniform(seed, "ind_id", F.lit("k")) * max(max_shaps - 2, 1))).cast("int")
     table = spark.range(size).select(F.col("id").alias("ind_id")).withColumn("k", k).withColumn(
-        "_op", F.floor(_uniform(seed, "ind_id", F.lit("op")) * len(init_ops)))
+        "_op", F.floor(P.uniform(seed, "ind_id", F.lit("op")) * len(init_ops)))
     parts = [op(series, table.where(F.col("_op") == i).drop("_op"), seed + 10 * (i + 1), min_len, max_len)
              for i, op in enumerate(init_ops)]
     out = parts[0]
@@ -297,13 +292,13 @@ def discover_swarm(series: DataFrame, particles: int = 50, iterations: int = 25,
     max_len = max_len or low
     columns = ("gain", "gap") if metric == "ig" else ("score",)
     draws = spark.range(particles).select(F.col("id").alias("ind_id"), F.lit(0).alias("pos"))
-    lengths = draws.select("ind_id", (min_len + F.floor(_uniform(seed + 7, "ind_id") * max(min(max_len, low) - min_len, 1))).cast("int").alias("length"))
+    lengths = draws.select("ind_id", (min_len + F.floor(P.uniform(seed + 7, "ind_id") * max(min(max_len, low) - min_len, 1))).cast("int").alias("length"))
     start = random_windows(encoded, draws, seed, low, max_len, lengths)
     state = "particle_id long, position array<double>, velocity array<double>, best array<double>, score array<double>"
 
     swarm = write_through(start.select(
         F.col("ind_id").alias("particle_id"), F.col("values").alias("position"),
-        F.transform("values", lambda x, i: smin + (smax - smin) * _uniform(seed + 8, F.col("ind_id"), i)).alias("velocity"),
+        F.transform("values", lambda x, i: smin + (smax - smin) * P.uniform(seed + 8, F.col("ind_id"), i)).alias("velocity"),
         F.lit(None).cast("array<double>").alias("best"), F.lit(None).cast("array<double>").alias("score")))
     best, best_score, idle, history = None, None, 0, []
     for it in range(iterations):

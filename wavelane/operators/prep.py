@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wavelane.functions import arrays as A
@@ -69,9 +67,18 @@ def checked_limits(series: DataFrame) -> tuple[int, int, int]:
     return row["min_len"], row["max_len"], row["max_shaps"]
 
 
-def random_key(seed: int, *keys: str):
-    """Repeatable random order key in [0, 2^53): a hash of the seed and the row's key."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53))
+DRAW_BITS = 52
+
+
+def random_key(seed: int, *keys):
+    """Repeatable random order key in [0, 2^52): the head of the MD5 hash of the seed and the row's keys, as other engines have it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+def uniform(seed: int, *keys):
+    """Repeatable draw in [0, 1) from a seed and row keys."""
+    return random_key(seed, *keys) / F.lit(float(1 << DRAW_BITS))
 
 
 def stratified_split(rows: DataFrame, share: float, key: str = "series_id", label: str = "label",
@@ -81,7 +88,7 @@ def stratified_split(rows: DataFrame, share: float, key: str = "series_id", labe
     A label may hold most rows, so ranks come from range buckets of the random key:
     bucket totals first, then ranks inside one bucket.
     """
-    sized = rows.withColumn("_r", random_key(seed, key)).withColumn("_b", F.shiftright("_r", 43))
+    sized = rows.withColumn("_r", random_key(seed, key)).withColumn("_b", F.shiftright("_r", DRAW_BITS - 10))
     counts = sized.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     by = Window.partitionBy(label)
     offsets = counts.select(label, "_b", F.sum("_n").over(by).alias("_all"),
@@ -94,9 +101,9 @@ def stratified_split(rows: DataFrame, share: float, key: str = "series_id", labe
 
 def split_by_index(rows: DataFrame, test_index: DataFrame, key: str) -> DataFrame:
     """Adds ``split``: rows whose key is in the saved index are test, the rest train."""
-    test = rows.join(test_index.select(key), key, "left_semi").withColumn("split", F.lit("test"))
-    train = rows.join(test_index.select(key), key, "left_anti").withColumn("split", F.lit("train"))
-    return train.unionByName(test)
+    marked = test_index.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    return rows.join(marked, rows[key] == marked["_key"], "left").withColumn(
+        "split", F.when(F.col("_key").isNotNull(), "test").otherwise("train")).drop("_key")
 
 
 def sample_series(series: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -116,7 +123,3 @@ def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:
 def index_difference(all_rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     """Distinct keys of ``all_rows`` that are not in ``taken``."""
     return all_rows.select(key).subtract(taken.select(key))
-
-
-def default_shapelet_count(min_len: int) -> int:
-    return int(math.sqrt(min_len)) + 1

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wavelane.operators import prep as P
+
 
 def top_shapelets(scored: DataFrame, n: int, score: tuple[str, ...] = ("gain", "gap"),
                   tie: tuple[str, ...] = ("series_id", "start", "length")) -> DataFrame:
@@ -30,7 +32,7 @@ def select_best(scored: DataFrame, score: str = "score", size: str = "points", n
 def tournament_draws(spark, slots: int, individuals: int, seed: int, size: int = 3) -> DataFrame:
     """(slot, ind_id): ``size`` random individuals per slot, from 0 to individuals - 1."""
     return spark.range(slots).select(F.col("id").alias("slot"), F.explode(F.array(*[
-        F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(i)), F.lit(individuals)) for i in range(size)])).alias("ind_id"))
+        F.pmod(P.random_key(seed, "id", F.lit(i)), F.lit(individuals)) for i in range(size)])).alias("ind_id"))
 
 
 def tournament(scored: DataFrame, draws: DataFrame, score: str = "score", points: str = "points") -> DataFrame:

@@ -13,9 +13,9 @@ from wavelane.ml.estimators import GeneticShapelets, ShapeletModel, ShapeletTran
 from wavelane.operators import distance as D, evolve as V, fitness as Fit, prep as P, ranking as R, reports as Z, tree as T
 from wavelane.plans.distance_queries import RAW, _emb
 from wavelane.plans.metric_queries import DIST, FOUND, candidates_sql, distances, splits_sql
-from wavelane.plans.registry import EMB, EMB_POOL, PARTS, query
+from wavelane.plans.registry import EMB, EMB_POOL, PARTS, draw_key_sql, query, uniform_sql
 from wavelane.plans.series_queries import label_mean_pairs
-from wavelane.runtime import scratch_folder
+from wavelane.runtime import attach_row, scratch_folder
 from wavelane.sources import pools, tables
 
 
@@ -43,11 +43,18 @@ def _population(spark, folder, size=6):
     return series, V.write_through(V.initial_population(series, size, 5, 11, 64, 32))
 
 
-@query("init_random")
+@query("init_random", f"""WITH {EMB},
+draws AS (SELECT ind_id, pos, 4 + floor({uniform_sql(2, 'ind_id', 'pos')} * 28)::INT AS len,
+    floor({uniform_sql(3, 'ind_id', 'pos')} * (SELECT count(*) FROM emb)) AS place FROM range(8) a(ind_id), range(3) b(pos)),
+picked AS (SELECT *, dense_rank() OVER (ORDER BY place) - 1 AS i, floor({uniform_sql(4, 'ind_id', 'pos')} * (64 - len))::INT AS start FROM draws),
+ordered AS (SELECT v, row_number() OVER (ORDER BY {draw_key_sql(1, 'series_id')}, series_id) - 1 AS i FROM emb),
+windows AS (SELECT ind_id, pos, v[start + 1:start + len] AS w FROM picked JOIN ordered USING (i))
+SELECT ind_id, pos, unnest(range(0, len(w))) AS point, unnest(list_transform(w, lambda x: round(x, 6))) AS x FROM windows""")
 def init_random(spark, folder):
     series = tables.emb_series(spark, folder)
     sets = spark.range(8).select(F.col("id").alias("ind_id"), F.lit(3).alias("k"))
-    return V.init_random(series, sets, 1, 64, 32).select("ind_id", "pos", F.size("values").alias("n"))
+    drawn = V.init_random(series, sets, 1, 64, 32).select("ind_id", F.col("pos").cast("long").alias("pos"), F.posexplode("values").alias("point", "x"))
+    return drawn.select("ind_id", "pos", F.col("point").cast("long").alias("point"), F.round("x", 6).alias("x"))
 
 
 @query("init_kmeans")
@@ -63,23 +70,106 @@ def init_motif(spark, folder):
     return found.select("shapelet_id", F.size("values").alias("n"), "profile")
 
 
-def _breeding(name, crossovers, mutations):
-    @query(name)
-    def run(spark, folder):
-        series, population = _population(spark, folder)
-        spare = spark.range(6).select(F.col("id").alias("ind_id"), F.lit(0).alias("pos"))
-        fresh = V.random_windows(series, spare, 5, 64, 32)
-        bred = V.breed_population(population, fresh, 3, 1, crossovers, mutations, 1.0, 1.0)
-        return bred.select("ind_id", "pos", F.size("values").alias("n"), "changed")
-    return run
+def _bred(spark, folder, crossovers, mutations):
+    """The label sets (four 16-point shapelets each) as sources, and what one sure step makes of them."""
+    pool = pools.emb_pool(tables.emb_series(spark, folder))
+    source = pool.select(F.floor(F.col("shapelet_id") / 4).cast("long").alias("ind_id"),
+                         (F.col("shapelet_id") % 4).cast("int").alias("pos"), "values")
+    fresh = source.where("pos = 0").withColumn("ind_id", (F.col("ind_id") + 3) % 10)
+    bred = V.write_through(V.breed_population(source, fresh, 3, 1, crossovers, mutations, 1.0, 1.0))
+    return source, bred
 
 
-for _name, _cx, _mut in (
-        ("mutate_noise", [], [B.mutate_noise]), ("mutate_add", [], [B.mutate_add]),
-        ("mutate_remove", [], [B.mutate_remove]), ("mutate_mask", [], [B.mutate_mask]),
-        ("cross_merge", [B.cross_merge], []), ("cross_random_merge", [B.cross_random_merge], []),
-        ("cross_points", [B.cross_points], []), ("cross_shapelet_points", [B.cross_shapelet_points], [])):
-    _breeding(_name, _cx, _mut)
+def _is_part(whole, part):
+    """Whether an array is a run of another, as a column."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(whole) - F.size(part), F.lit(0)))
+    return F.exists(starts, lambda k: F.slice(whole, k + 1, F.size(part)) == part)
+
+
+def _kept(spark, folder, mutation):
+    """Per set: shapelets afterwards, how many of them are sources, and how many are runs of a source of any set."""
+    source, bred = _bred(spark, folder, [], [mutation])
+    sources = source.agg(F.collect_list("values").alias("sources"))  # the pool: four per label
+    told = attach_row(bred, sources).select(
+        "ind_id", F.array_contains("sources", F.col("values")).cast("long").alias("same"),
+        F.exists("sources", lambda s: _is_part(s, F.col("values"))).cast("long").alias("run"))
+    return told.groupBy("ind_id").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("same"), F.sum("run").alias("run"))
+
+
+def _kept_sql(n: int, same: int, run: int) -> str:
+    return f"SELECT DISTINCT label::BIGINT AS ind_id, {n}::BIGINT AS n, {same}::BIGINT AS same, {run}::BIGINT AS run FROM embeddings"
+
+
+@query("mutate_remove", _kept_sql(3, 3, 3))
+def mutate_remove(spark, folder):
+    return _kept(spark, folder, B.mutate_remove)
+
+
+@query("mutate_add", _kept_sql(5, 5, 5))
+def mutate_add(spark, folder):
+    return _kept(spark, folder, B.mutate_add)
+
+
+@query("mutate_mask", _kept_sql(4, 3, 4))
+def mutate_mask(spark, folder):
+    return _kept(spark, folder, B.mutate_mask)
+
+
+@query("mutate_noise", "SELECT DISTINCT label::BIGINT AS ind_id, 4::BIGINT AS n, true AS others_kept, true AS near FROM embeddings")
+def mutate_noise(spark, folder):
+    """At most one shapelet of a set changes, and no point by more than six deviations."""
+    source, bred = _bred(spark, folder, [], [B.mutate_noise])
+    both = bred.join(source.withColumnRenamed("values", "old"), ["ind_id", "pos"]).select(
+        "ind_id", (F.col("values") == F.col("old")).cast("int").alias("same"),
+        F.array_max(F.zip_with("values", "old", lambda a, b: F.abs(a - b))).alias("far"))
+    return both.groupBy("ind_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("same") >= 3).alias("others_kept"), (F.max("far") < 0.6).alias("near"))
+
+
+def _pair_points(rows):
+    """Per pair of sets: shapelets, points, and the sum of the points and of their squares."""
+    points = rows.select(F.floor(F.col("ind_id") / 2).cast("long").alias("pair"), F.posexplode("values").alias("at", "x"))
+    return points.groupBy("pair").agg(F.sum((F.col("at") == 0).cast("long")).alias("n"), F.count(F.lit(1)).alias("points"),
+                                      F.round(F.sum("x"), 5).alias("total"), F.round(F.sum(F.col("x") * F.col("x")), 5).alias("squares"))
+
+
+PAIR_POINTS = f"""WITH {EMB_POOL}, points AS (SELECT shapelet_id // 8 AS pair, shapelet_id, unnest(s) AS x FROM pool)
+SELECT pair, count(DISTINCT shapelet_id) AS n, count(*) AS points, round(sum(x), 5) AS total"""
+
+
+@query("cross_points", f"{PAIR_POINTS}, count(DISTINCT shapelet_id) AS kept FROM points GROUP BY pair")
+def cross_points(spark, folder):
+    """Whole shapelets change sets; none is lost, doubled or altered."""
+    source, bred = _bred(spark, folder, [B.cross_points], [])
+    pair = F.floor(F.col("ind_id") / 2).cast("long").alias("pair")
+    kept = bred.select(pair, "values").distinct().join(source.select(pair, "values").distinct(), ["pair", "values"]).groupBy("pair").agg(
+        F.count(F.lit(1)).alias("kept"))
+    return _pair_points(bred).drop("squares").join(kept, "pair")
+
+
+@query("cross_shapelet_points", f"{PAIR_POINTS}, round(sum(x * x), 5) AS squares FROM points GROUP BY pair")
+def cross_shapelet_points(spark, folder):
+    """Points change shapelets; the points of a pair of sets stay the same."""
+    return _pair_points(_bred(spark, folder, [lambda a, b, rng: B.cross_shapelet_points(a, b, rng, 1.0)], [])[1])
+
+
+@query("cross_random_merge", f"{PAIR_POINTS} FROM points GROUP BY pair")
+def cross_random_merge(spark, folder):
+    """Both segments of a merge become their mean, so the sum of a pair's points stays."""
+    return _pair_points(_bred(spark, folder, [lambda a, b, rng: B.cross_random_merge(a, b, rng, 1.0)], [])[1]).drop("squares")
+
+
+@query("cross_merge", f"""WITH {EMB_POOL}
+SELECT DISTINCT shapelet_id // 8 AS pair, 4::BIGINT AS n, 4::BIGINT AS explained FROM pool""")
+def cross_merge(spark, folder):
+    """Every shapelet of the first set is a source, or the mean of one of each set."""
+    source, bred = _bred(spark, folder, [B.cross_merge], [])
+    pair = F.floor(F.col("ind_id") / 2).cast("long").alias("pair")
+    sets = source.groupBy(pair).agg(F.collect_list(F.when(F.col("ind_id") % 2 == 0, F.col("values"))).alias("one"),
+                                    F.collect_list(F.when(F.col("ind_id") % 2 == 1, F.col("values"))).alias("two"))
+    first = bred.where("ind_id % 2 = 0").select(pair, "values").join(sets, "pair")
+    mean = lambda a, b: F.forall(F.zip_with(F.zip_with(a, b, lambda x, y: (x + y) / 2), F.col("values"), lambda m, v: F.abs(m - v)), lambda d: d < 1e-9)
+    known = F.array_contains("one", F.col("values")) | F.exists("one", lambda a: F.exists("two", lambda b: mean(a, b)))
+    return first.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum(known.cast("long")).alias("explained"))
 
 
 @query("gak_similarity")
@@ -416,7 +506,14 @@ def decision_tree_grid(spark, folder):
     return _predictions(C.decision_tree_grid(rows, leaf_sizes=(1, 5, 13), folds=2, max_depth=7)[0], rows)
 
 
-@query("naive_bayes")
+@query("naive_bayes", f"""WITH {DIST},
+points AS (SELECT series_id, label, shapelet_id, list_min(d) AS x FROM dists),
+eps AS (SELECT 1e-9 * max(v) AS e FROM (SELECT var_pop(x) AS v FROM points GROUP BY shapelet_id)),
+stat AS (SELECT label, shapelet_id, avg(x) AS m, var_pop(x) + (SELECT e FROM eps) AS v FROM points GROUP BY label, shapelet_id),
+prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM embeddings)) AS p FROM embeddings GROUP BY label),
+score AS (SELECT series_id, s.label, sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) + any_value(p) AS s
+  FROM points JOIN stat s USING (shapelet_id) JOIN prior ON prior.label = s.label GROUP BY series_id, s.label)
+SELECT series_id, arg_max(label, s)::BIGINT AS prediction FROM score GROUP BY series_id""")
 def naive_bayes(spark, folder):
     rows = vectors(spark, folder)
     return _predictions(C.naive_bayes(rows), rows)

@@ -61,3 +61,12 @@ user_points AS (SELECT label, unnest(v) AS x, unnest(range(0, len(v))) AS p FROM
 user_mean AS (SELECT label, p, round(avg(x), 6) AS x FROM user_points GROUP BY label, p),
 pool AS (SELECT label || '/' || (p // 12) AS shapelet_id, list(x ORDER BY p) AS s
          FROM user_mean GROUP BY label, p // 12)"""
+
+
+def draw_key_sql(seed: int, *keys: str) -> str:
+    """The SQL twin of ``prep.random_key``."""
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT"
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    return f"({draw_key_sql(seed, *keys)} / 4503599627370496.0::DOUBLE)"

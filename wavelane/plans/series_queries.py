@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavelane.functions import arrays as A
 from wavelane.operators import prep as P, windows as W
-from wavelane.plans.registry import CUSTOMERS, EMB, PARTS, USERS, query
+from wavelane.plans.registry import CUSTOMERS, EMB, PARTS, USERS, draw_key_sql, query
 from wavelane.sources import pools, readers, tables
 
 BP4 = A.sax_breakpoints(4)
@@ -116,14 +116,14 @@ def series_limits(spark, folder):
     return out
 
 
-@query("stratified_split", """
-WITH n AS (SELECT p_brand AS label, count(*) AS n FROM part GROUP BY p_brand)
-SELECT label, 'train' AS split, floor(n * 0.5 + 0.5)::BIGINT AS n FROM n
-UNION ALL SELECT label, 'test', n - floor(n * 0.5 + 0.5)::BIGINT FROM n""")
+@query("stratified_split", f"""
+SELECT p_partkey AS series_id, p_brand AS label,
+  CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY {draw_key_sql(7, 'p_partkey')}, p_partkey)
+       <= floor(count(*) OVER (PARTITION BY p_brand) * 0.5 + 0.5) THEN 'train' ELSE 'test' END AS split FROM part""")
 def stratified_split(spark, folder):
     rows = tables.read(spark, folder, "part").select(
         F.col("p_partkey").alias("series_id"), F.col("p_brand").alias("label"))
-    return P.stratified_split(rows, 0.5, seed=7).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    return P.stratified_split(rows, 0.5, seed=7).select("series_id", "label", "split")
 
 
 @query("split_by_index", """
@@ -134,7 +134,8 @@ def split_by_index(spark, folder):
     return P.split_by_index(docs, tables.read(spark, folder, "labels"), "doc_id")
 
 
-@query("sample_series")
+@query("sample_series", f"""WITH {PARTS}
+SELECT series_id, label FROM parts ORDER BY {draw_key_sql(3, 'series_id')}, series_id LIMIT 10""")
 def sample_series(spark, folder):
     return P.sample_series(tables.part_series(spark, folder).select("series_id", "label"), 10, seed=3)
 
