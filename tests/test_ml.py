@@ -49,6 +49,33 @@ def test_fit_save_load_score(spark, blobs, tmp_path):
         ShapeletModel().transform(blobs)
 
 
+def test_settings_are_saved(spark, blobs, tmp_path):
+    genetic = GeneticShapelets(populationSize=4, iterations=1, wait=7, crossoverProb=0.3, mutationProb=0.2, maxLen=9, maxShaps=3, seed=5, normed=True)
+    genetic.save(str(tmp_path / "g"))
+    again = GeneticShapelets.load(str(tmp_path / "g"))
+    settings = lambda x: {p.name: v for p, v in x.extractParamMap().items()}
+    assert settings(again) == settings(genetic)
+    model = again.fit(blobs)
+    model.save(str(tmp_path / "m"))
+    back = ShapeletModel.load(str(tmp_path / "m"))
+    assert settings(back) == settings(model)
+    assert {k: settings(back)[k] for k in settings(genetic)} == settings(genetic)
+    windows = ShapeletTransformer(method="fast", minLen=5, maxLen=8, nShapelets=2, options={"lengths": [6]})
+    windows.save(str(tmp_path / "w"))
+    loaded = ShapeletTransformer.load(str(tmp_path / "w"))
+    assert settings(loaded) == settings(windows) and loaded.fit(blobs).shapelets.count() == 2
+
+
+def test_voting_ensemble(spark, table):
+    split = table.withColumn("held", F.col("series_id") % 4 == 0)
+    model = C.VotingEnsemble().fit(split.where("NOT held"))
+    weights = {r["member"]: r["weight"] for r in model.weights.collect()}
+    assert set(weights) == {"knn", "bayes", "centroid"} and all(w > 0.8 for w in weights.values())
+    held = split.where("held")
+    for predicted in (model.predict_soft(held), model.predict_hard(held)):
+        assert predicted.count() == held.count() and hit(predicted, table) > 0.85
+
+
 def test_custom_fitness(spark, blobs):
     model = GeneticShapelets(populationSize=4, iterations=1, seed=1, fitness=Fit.f1_fitness, single=True).fit(blobs)
     assert model.shapelets.count() == 1 and model.history.count() == 1

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from wavelane.functions import kernels
 from wavelane.operators import prep as P
-from wavelane.runtime import attach_row, fits_broadcast, table_size
+from wavelane.runtime import attach_row, fits_broadcast, table_size, write_through
 
+# The grid of C.
 C_GRID = [10.0 ** i for i in range(-2, 6)] + [5.0 ** i for i in range(-2, 6)]
 ACCURACY = dict(metricName="accuracy")
 
@@ -117,10 +118,6 @@ def naive_bayes(df: DataFrame, kind: str = "gaussian"):
     return NaiveBayes(modelType=kind).fit(df)
 
 
-def cross_accuracy(df: DataFrame, estimator, folds: int, seed: int = 0) -> float:
-    return _search(df, estimator, [{}], folds, seed)[1]
-
-
 def class_rows(predictions: DataFrame, member: str, classes: int) -> DataFrame:
     """(series_id, member, class, p) from ``probability``, or from softmaxed margins."""
     if "probability" in predictions.columns:
@@ -294,6 +291,103 @@ def knn_grid(train: DataFrame, ks=(1, 3, 5, 7, 13, 25), folds: int = 3, seed: in
     return out.orderBy(F.desc("accuracy"), "k")
 
 
+# ----------------------------------------------------------------- voting ensemble
+# A member is a function of a training table (series_id, label, features array) that gives a function of
+# a table with series_id and features; that one gives rows (series_id, class, p).
+
+
+def knn_member(k: int = 5, digits: int = 9):
+    """Class shares of the k nearest rows, weighted by 1/d; k is at most a fifth of the training rows."""
+    def fit(train: DataFrame):
+        own = max(1, min(k, train.count() // 5))
+
+        def predict(rows: DataFrame) -> DataFrame:
+            near = knn_join(rows.select("series_id", "features"), train, own, digits=digits)
+            exact = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("series_id")) == 1
+            weight = F.when(exact, (F.col("dist") == 0).cast("double")).otherwise(1 / F.col("dist"))
+            votes = near.withColumn("_w", weight).groupBy("series_id", F.col("label").alias("class")).agg(F.sum("_w").alias("_w"))
+            total = votes.groupBy("series_id").agg(F.sum("_w").alias("_t"))
+            return votes.join(total, "series_id").select("series_id", "class", (F.col("_w") / F.col("_t")).alias("p"))
+        return predict
+    return fit
+
+
+def bayes_member():
+    """Gaussian naive Bayes."""
+    def fit(train: DataFrame):
+        vectors = lambda df, *cols: df.select("series_id", *cols, array_to_vector("features").alias("features"))
+        model = naive_bayes(vectors(train, F.col("label").cast("double").alias("label")))
+        return lambda rows: class_rows(model.transform(vectors(rows)), "", model.numClasses).select(
+            "series_id", F.col("class").cast("long").alias("class"), "p")
+    return fit
+
+
+def centroid_member():
+    """Shares of exp(-distance to the mean of a class)."""
+    def fit(train: DataFrame):
+        points = train.select(F.col("label").cast("long").alias("class"), F.posexplode("features").alias("at", "x"))
+        means = points.groupBy("class", "at").agg(F.avg("x").alias("x")).groupBy("class").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("mean"))
+        packed = means.agg(F.collect_list(F.struct("class", "mean")).alias("means"))  # one vector per class
+
+        def predict(rows: DataFrame) -> DataFrame:
+            gap = F.zip_with("features", "m.mean", lambda a, b: (a - b) * (a - b))
+            near = attach_row(rows.select("series_id", "features"), packed).select("series_id", "features", F.explode("means").alias("m")).select(
+                "series_id", F.col("m.class").alias("class"), F.exp(-F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, b: a + b))).alias("e"))
+            total = near.groupBy("series_id").agg(F.sum("e").alias("_t"))
+            return near.join(total, "series_id").select("series_id", "class", (F.col("e") / F.col("_t")).alias("p"))
+        return predict
+    return fit
+
+
+def hard_votes(rows: DataFrame) -> DataFrame:
+    """(series_id, member, prediction): most likely class of each member, the smaller one on ties."""
+    return rows.groupBy("series_id", "member").agg(
+        F.max_by("class", F.struct(F.round("p", 9), -F.col("class"))).alias("prediction"))
+
+
+class VotingEnsemble:
+    """Members weighted by their cross-validated accuracy on the training rows, then fitted on all of them."""
+
+    def __init__(self, members: dict | None = None, folds: int = 3, seed: int = 0):
+        self.members = members or {"knn": knn_member(), "bayes": bayes_member(), "centroid": centroid_member()}
+        self.folds, self.seed = folds, seed
+
+    def _rows(self, fitted: dict, rows: DataFrame) -> DataFrame:
+        out = None
+        for name, predict in fitted.items():
+            part = predict(rows).select("series_id", F.lit(name).alias("member"), "class", "p")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def fit(self, train: DataFrame, fold: str | None = None):
+        """train: series_id, label (long), features. ``fold`` names a column that already numbers the folds.
+
+        Folds are at most the rows of the smallest class.
+        """
+        folds = folds_for(train, self.folds) if fold is None else train.agg(F.max(fold)).first()[0] + 1
+        part_of = F.col(fold) if fold else F.pmod(P.random_key(self.seed, "series_id"), F.lit(folds))
+        rows = write_through(train.select("series_id", F.col("label").cast("long").alias("label"), "features", part_of.cast("int").alias("_fold")))
+        judged = None
+        for i in range(folds):
+            own = rows.where(F.col("_fold") != i)
+            part = hard_votes(self._rows({n: m(own) for n, m in self.members.items()}, rows.where(F.col("_fold") == i)))
+            judged = part if judged is None else judged.unionByName(part)
+        hits = judged.join(rows.select("series_id", "label"), "series_id").groupBy("member").agg(
+            F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("weight"))
+        self.weights = write_through(hits)  # a row per member
+        self.fitted = {n: m(rows) for n, m in self.members.items()}
+        return self
+
+    def predict_soft(self, rows: DataFrame) -> DataFrame:
+        """(series_id, prediction, p) by weighted mean probability."""
+        return voting_soft(self._rows(self.fitted, rows), self.weights)
+
+    def predict_hard(self, rows: DataFrame) -> DataFrame:
+        """(series_id, prediction, weight) by weighted majority."""
+        return voting_hard(hard_votes(self._rows(self.fitted, rows)), self.weights)
+
+
 # ----------------------------------------------------------------- rotation forest
 
 

@@ -304,12 +304,13 @@ def shapelet_transformer(spark, folder):
 @query("transform", f"""WITH {EMB_POOL}, {RAW.format(src='emb')}
 SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY shapelet_id) - 1 AS slot, round(list_min(d), 6) AS x FROM dists""")
 def transform(spark, folder):
-    """A fitted model's projection of series to distance vectors, saved and loaded before use."""
+    """A fitted pipeline's projection of series to distance vectors, saved and loaded before use."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
     series, pool = _emb(spark, folder)
     path = f"{scratch_folder(spark)}/model-{uuid.uuid4().hex}"
-    ShapeletModel(pool).save(path)
-    out = ShapeletModel.load(path).transform(series)
+    PipelineModel([ShapeletModel(pool)]).save(path)
+    out = PipelineModel.load(path).transform(series)
     return out.select("series_id", F.posexplode(vector_to_array("features")).alias("slot", "x")).select(
         "series_id", F.col("slot").cast("long").alias("slot"), F.round("x", 6).alias("x"))
 
@@ -436,40 +437,57 @@ def knn_grid(spark, folder):
     return C.knn_grid(rows, ks=(1, 3, 5, 7, 13, 25), fold="fold", digits=6).withColumn("accuracy", F.round("accuracy", 6))
 
 
+# Three cross-validation runs over the training rows and one run from them to the held-out rows (every fifth id);
+# each run fits every member on its own rows.
 MEMBERS = f"""{DIST},
-near AS (SELECT series_id, shapelet_id % 4 AS member, shapelet_id // 4 AS c, exp(-dist) AS e FROM dist),
-rows AS (SELECT series_id, member, c, e / sum(e) OVER (PARTITION BY series_id, member) AS p FROM near),
-votes AS (SELECT series_id, member, arg_max(c, (round(p, 9), -c)) AS c FROM rows GROUP BY ALL),
-acc AS (SELECT member, avg((c = label)::INT) AS w FROM votes JOIN emb USING (series_id) GROUP BY member)"""
-
-
-def members(spark, folder):
-    """Four members: one per segment position, each with class shares from its distances."""
-    by = F.pmod("shapelet_id", F.lit(4)).cast("string")
-    near = distances(spark, folder).select("series_id", by.alias("member"), F.col("label").alias("truth"),
-                                           F.floor(F.col("shapelet_id") / 4).alias("class"), F.exp(-F.col("dist")).alias("e"))
-    total = near.groupBy("series_id", "member").agg(F.sum("e").alias("s"))
-    rows = near.join(total, ["series_id", "member"]).select("series_id", "member", "truth", "class", (F.col("e") / F.col("s")).alias("p"))
-    votes = rows.groupBy("series_id", "member", "truth").agg(
-        F.max_by("class", F.struct(F.round("p", 9), -F.col("class"))).alias("prediction"))
-    weights = votes.groupBy("member").agg(F.avg((F.col("prediction") == F.col("truth")).cast("int")).alias("weight"))
-    return rows, votes, weights
+f AS (SELECT series_id, any_value(label) AS label, list(x ORDER BY shapelet_id) AS f, series_id % 5 = 0 AS held, series_id % 3 AS fold
+  FROM (SELECT series_id, label, shapelet_id, list_min(d) AS x FROM dists) GROUP BY series_id),
+tr AS (SELECT run, f.* FROM f, range(4) r(run) WHERE NOT held AND (run = 3 OR fold <> run)),
+te AS (SELECT run, f.* FROM f, range(4) r(run) WHERE CASE WHEN run = 3 THEN held ELSE NOT held AND fold = run END),
+nn AS (SELECT te.run, te.series_id, tr.label, round(list_distance(te.f, tr.f), 6) AS dist FROM te JOIN tr ON te.run = tr.run
+  QUALIFY row_number() OVER (PARTITION BY te.run, te.series_id ORDER BY round(list_distance(te.f, tr.f), 6), tr.series_id) <= 5),
+knn AS (SELECT run, series_id, label AS c, sum(1 / dist) / sum(sum(1 / dist)) OVER (PARTITION BY run, series_id) AS p
+  FROM nn GROUP BY run, series_id, label),
+tp AS (SELECT run, label, unnest(f) AS x, unnest(range(0, len(f))) AS slot FROM tr),
+ep AS (SELECT run, series_id, unnest(f) AS x, unnest(range(0, len(f))) AS slot FROM te),
+eps AS (SELECT run, 1e-9 * max(v) AS e FROM (SELECT run, var_pop(x) AS v FROM tp GROUP BY run, slot) GROUP BY run),
+stat AS (SELECT tp.run, label, slot, avg(x) AS m, var_pop(x) + any_value(e) AS v FROM tp JOIN eps USING (run) GROUP BY tp.run, label, slot),
+prior AS (SELECT run, label, ln(count(*) / sum(count(*)) OVER (PARTITION BY run)) AS lp FROM tr GROUP BY run, label),
+score AS (SELECT ep.run, series_id, s.label, sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) + any_value(lp) AS s
+  FROM ep JOIN stat s ON s.run = ep.run AND s.slot = ep.slot JOIN prior ON prior.run = ep.run AND prior.label = s.label GROUP BY ep.run, series_id, s.label),
+shifted AS (SELECT run, series_id, label, exp(s - max(s) OVER (PARTITION BY run, series_id)) AS e FROM score),
+bayes AS (SELECT run, series_id, label AS c, e / sum(e) OVER (PARTITION BY run, series_id) AS p FROM shifted),
+gaps AS (SELECT ep.run, series_id, s.label, exp(-sqrt(sum((x - m) * (x - m)))) AS e FROM ep JOIN stat s ON s.run = ep.run AND s.slot = ep.slot
+  GROUP BY ep.run, series_id, s.label),
+centroid AS (SELECT run, series_id, label AS c, e / sum(e) OVER (PARTITION BY run, series_id) AS p FROM gaps),
+rows AS (SELECT 'knn' AS member, * FROM knn UNION ALL SELECT 'bayes', * FROM bayes UNION ALL SELECT 'centroid', * FROM centroid),
+votes AS (SELECT run, series_id, member, arg_max(c, (round(p, 9), -c)) AS c FROM rows GROUP BY run, series_id, member),
+acc AS (SELECT member, avg((c = label)::INT) AS w FROM votes JOIN f USING (series_id) WHERE run < 3 GROUP BY member)"""
+
+
+def ensemble(spark, folder):
+    """The ensemble fitted on the training rows, and the held-out rows."""
+    rows = features(spark, folder).withColumn("label", F.col("label").cast("long")).withColumn("fold", F.col("series_id") % 3)
+    index = rows.where(F.col("series_id") % 5 == 0).select("series_id")
+    split = V.write_through(P.split_by_index(rows, index, "series_id"))
+    members = {"knn": C.knn_member(5, digits=6), "bayes": C.bayes_member(), "centroid": C.centroid_member()}
+    return C.VotingEnsemble(members).fit(split.where("split = 'train'"), fold="fold"), split.where("split = 'test'")
 
 
 @query("voting_soft", f"""WITH {MEMBERS},
-mix AS (SELECT series_id, c, sum(p * w / (SELECT sum(w) FROM acc)) AS p FROM rows JOIN acc USING (member) GROUP BY series_id, c)
-SELECT series_id, arg_max(c, (round(p, 9), -c)) AS prediction, round(max(p), 6) AS p FROM mix GROUP BY series_id""")
+mix AS (SELECT series_id, c, sum(p * w / (SELECT sum(w) FROM acc)) AS p FROM rows JOIN acc USING (member) WHERE run = 3 GROUP BY series_id, c)
+SELECT series_id, arg_max(c, (round(p, 9), -c))::BIGINT AS prediction, round(max(p), 6) AS p FROM mix GROUP BY series_id""")
 def voting_soft(spark, folder):
-    rows, _, weights = members(spark, folder)
-    return C.voting_soft(rows, weights).withColumn("p", F.round("p", 6))
+    model, rows = ensemble(spark, folder)
+    return model.predict_soft(rows).withColumn("p", F.round("p", 6))
 
 
 @query("voting_hard", f"""WITH {MEMBERS},
-mix AS (SELECT series_id, c, sum(w) AS w FROM votes JOIN acc USING (member) GROUP BY series_id, c)
-SELECT series_id, arg_max(c, (round(w, 9), -c)) AS prediction, round(max(w), 6) AS weight FROM mix GROUP BY series_id""")
+mix AS (SELECT series_id, c, sum(w) AS w FROM votes JOIN acc USING (member) WHERE run = 3 GROUP BY series_id, c)
+SELECT series_id, arg_max(c, (round(w, 9), -c))::BIGINT AS prediction, round(max(w), 6) AS weight FROM mix GROUP BY series_id""")
 def voting_hard(spark, folder):
-    _, votes, weights = members(spark, folder)
-    return C.voting_hard(votes, weights).withColumn("weight", F.round("weight", 6))
+    model, rows = ensemble(spark, folder)
+    return model.predict_hard(rows).withColumn("weight", F.round("weight", 6))
 
 
 def _predictions(model, rows):
