@@ -19,6 +19,7 @@ from wavelane.runtime import attach_row, fits_broadcast, table_size
 
 SERIES_BLOCK = 4096
 SHAPELET_BLOCK = 2048
+BLOCK_POINTS = 4 * 1024 * 1024  # of a block, in the mean
 OUT_ROWS = 500_000  # pairs per emitted Arrow batch
 
 
@@ -110,9 +111,9 @@ def min_distance(series: DataFrame, shapelets: DataFrame, metric: str = "raw",
 
 def _block_join(series, shapelets, n_shapelets, schema, metric, on_short, location, carry, by=None):
     """Block nested loop: both sides hashed to blocks, one task per block pair."""
-    n_series = series.count()
-    sb = max(1, math.ceil(n_series / SERIES_BLOCK))
-    kb = max(1, math.ceil(n_shapelets / SHAPELET_BLOCK))
+    n_series, points = table_size(series)
+    sb = max(1, math.ceil(n_series / SERIES_BLOCK), math.ceil(points / BLOCK_POINTS))
+    kb = max(1, math.ceil(n_shapelets / SHAPELET_BLOCK), math.ceil(table_size(shapelets)[1] / BLOCK_POINTS))
     left = series.withColumn("_sb", F.pmod(F.xxhash64("series_id"), F.lit(sb))).withColumn(
         "_kb", F.explode(F.sequence(F.lit(0), F.lit(kb - 1)).cast("array<bigint>")))
     right = shapelets.withColumn("_kb", F.pmod(F.xxhash64("shapelet_id"), F.lit(kb))).withColumn(
@@ -168,7 +169,8 @@ def distance_features(series: DataFrame, shapelets: DataFrame, metric: str = "ra
 
     def project(batches):
         pool = shared.value
-        for batch in batches:
+        rows = max(1, kernels.BLOCK_CELLS // max(len(pool), 1))
+        for batch in (whole.slice(a, rows) for whole in batches for a in range(0, whole.num_rows, rows)):
             own = kernels.Ragged.from_arrow(batch.column("_values"))
             dist, pos = kernels.ragged_match(own, pool, metric, on_short, location)
             if location:

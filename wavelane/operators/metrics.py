@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wavelane.runtime import write_through
+
 SPREAD = 1024  # buckets per power of two
 GROUP_ROWS = 1_000_000  # largest group ordered by one task
 
@@ -78,8 +80,14 @@ def distance_counts(distances: DataFrame, keys: list[str], digits: int = 9) -> D
         *keys, F.round("dist", digits).alias("dist"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _class_runs(distances, keys, digits, spread) -> DataFrame:
+def _counted_once(distances, keys, digits, spread) -> DataFrame:
+    """Collapsed distances; the bucketed forms read them several times, so there they are written and the join runs once."""
     counts = distance_counts(distances, keys, digits)
+    return write_through(counts) if spread else counts
+
+
+def _class_runs(distances, keys, digits, spread) -> DataFrame:
+    counts = _counted_once(distances, keys, digits, spread)
     return running_sums(counts, [*keys, "label"], "dist", ["n"], spread, cluster=keys)
 
 
@@ -142,30 +150,32 @@ def split_gains(distances: DataFrame, keys=("shapelet_id",), digits: int = 9,
         F.when(hi > 0, (F.col("dist") + F.col("next_order")) / 2).alias("threshold"))
 
 
-def ig_score(distances: DataFrame, keys=("shapelet_id",), digits: int = 9,
-             spread: int = SPREAD) -> DataFrame:
-    """Best split per key: gain, gap and threshold; larger gap, then smaller distance, on ties.
-
-    -inf where all distances are equal, null where there are fewer than two rows.
-    """
-    keys = list(keys)
+def _best_splits(distances, keys, digits, spread) -> DataFrame:
+    """Best split per key, with the smallest distance."""
     splits = split_gains(distances, keys, digits, spread)
     best = splits.groupBy(*keys).agg(
-        F.max("rows").alias("_rows"),
+        F.max("rows").alias("_rows"), F.min("dist").alias("_low"),
         F.max(F.when(F.col("gain").isNotNull(), F.struct(
             "gain", "gap", (-F.col("dist")).alias("_d"), "threshold"))).alias("_b"))
     none = F.when(F.col("_rows") >= 2, F.lit(float("-inf")))
     return best.select(*keys, F.coalesce("_b.gain", none).alias("gain"),
-                       F.coalesce("_b.gap", none).alias("gap"), F.col("_b.threshold").alias("threshold"))
+                       F.coalesce("_b.gap", none).alias("gap"), F.col("_b.threshold").alias("threshold"), "_low")
+
+
+def ig_score(distances: DataFrame, keys=("shapelet_id",), digits: int = 9,
+             spread: int = SPREAD) -> DataFrame:
+    """Best split per key: gain, gap and threshold; larger gap, then smaller distance, on ties.
+
+    -inf where all distances are equal, null where there are fewer than two rows.
+    """
+    return _best_splits(distances, list(keys), digits, spread).drop("_low")
 
 
 def ig_threshold(distances: DataFrame, keys=("shapelet_id",), digits: int = 9,
                  spread: int = SPREAD) -> DataFrame:
     """Midpoint of the best split; the common distance where all are equal."""
     keys = list(keys)
-    best = ig_score(distances, keys, digits, spread)
-    low = distances.groupBy(*keys).agg(F.min(F.round("dist", digits)).alias("_low"))
-    return best.join(low, keys).select(
+    return _best_splits(distances, keys, digits, spread).select(
         *keys, F.when(F.col("gain").isNotNull(), F.coalesce("threshold", "_low")).alias("threshold"))
 
 
@@ -201,20 +211,26 @@ def kruskal_score(distances: DataFrame, keys=("shapelet_id",), digits: int = 9,
                   spread: int = SPREAD) -> DataFrame:
     """Kruskal-Wallis H with tie correction; -inf where all distances are equal."""
     keys = list(keys)
-    counts = distance_counts(distances, keys, digits)
-    ranks = average_ranks(counts, keys, "dist", spread, weight="n")
-    tied = ranks.groupBy(*keys).agg(
-        F.max("rows").alias("N"),
-        F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    per = counts.join(ranks, [*keys, "dist"]).groupBy(*keys, "label").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
-    s = per.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"),
-                               F.count(F.lit(1)).alias("k"))
-    n = F.col("N").cast("double")
+    counts = _counted_once(distances, keys, digits, spread)
+    if spread:
+        ranks = average_ranks(counts, keys, "dist", spread, weight="n")
+        ranked = counts.join(ranks, [*keys, "dist"])
+    else:
+        by = Window.partitionBy(*keys)
+        tied = counts.withColumn("t", F.sum("n").over(Window.partitionBy(*keys, "dist")))
+        upto = F.sum("n").over(by.orderBy("dist").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = tied.withColumn("rank", upto - F.col("t") + (F.col("t") + 1) / 2).withColumn("rows", F.sum("n").over(by))
+    # a tied value's t^3 - t is shared among its rows
+    per = ranked.groupBy(*keys, "label").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"), F.max("rows").alias("total"),
+        F.sum(F.col("n") * (F.col("t").cast("double") * F.col("t") - 1)).alias("ties"))
+    s = per.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count(F.lit(1)).alias("k"),
+                               F.max("total").alias("total"), F.sum("ties").alias("ties"))
+    n = F.col("total").cast("double")
     h = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     fix = 1 - F.col("ties") / (n * n * n - n)
-    return s.join(tied, keys).select(
-        *keys, F.when((F.col("N") < 2) | (fix == 0) | (F.col("k") < 2), F.lit(float("-inf")))
+    return s.select(
+        *keys, F.when((F.col("total") < 2) | (fix == 0) | (F.col("k") < 2), F.lit(float("-inf")))
         .otherwise(h / fix).alias("score"))
 
 
