@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wavelane.functions import breeding as B
 from wavelane.operators import distance as D, fitness as Fit, metrics as M, prep as P, ranking as R
-from wavelane.runtime import BROADCAST_POINTS, table_size, write_through
+from wavelane.runtime import BROADCAST_POINTS, discard, table_size, write_through
 
 POPULATION = "ind_id long, pos int, values array<double>"
 
@@ -192,7 +192,7 @@ def discover_genetic(series: DataFrame, population_size: int = 50, iterations: i
         seed + 1000, min_len, max_len))
     rank = lambda item: (item[1][0], -item[1][1])
     leader = max(scores.items(), key=rank)
-    best_score, best, idle, history = float("-inf"), population.where(F.col("ind_id") == leader[0]), 0, []
+    best_score, best, idle, history = float("-inf"), write_through(population.where(F.col("ind_id") == leader[0])), 0, []
     for it in range(1, iterations + 1):
         if idle >= wait:
             break
@@ -218,7 +218,7 @@ def discover_genetic(series: DataFrame, population_size: int = 50, iterations: i
         source = population if elite_from_parent else bred.drop("changed")
         last = source.where(F.col("ind_id") == elite[0]).select(
             F.lit(population_size - 1).cast("long").alias("ind_id"), "pos", "values")
-        population = write_through(R.elitist_union(body, last))
+        old, population = population, write_through(R.elitist_union(body, last))
         scores = {int(s): offspring[i] for s, i in winners}
         scores[population_size - 1] = elite[1]
 
@@ -229,7 +229,9 @@ def discover_genetic(series: DataFrame, population_size: int = 50, iterations: i
         idle += 1
         if top > best_score:
             best_score, idle = top, 0
-            best = population.where(F.col("ind_id") == population_size - 1)
+            best = write_through(population.where(F.col("ind_id") == population_size - 1))
+        discard(old, bred)
+    discard(spares, population)
     encoded.unpersist()
     if not history:
         best_score, history = leader[1][0], [(0, s) for s, _ in scores.values()]

@@ -52,7 +52,19 @@ def write_through(df: DataFrame) -> DataFrame:
     """
     path = f"{scratch_folder(df.sparkSession)}/iteration-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of iteration tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
