@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from wavelane.runtime import write_through
+from wavelane.runtime import discard, write_through
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,10 +24,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b"))).alias("least")
         own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"))
         hooks = write_through(around.groupBy("a").agg(least).select(F.col("a").alias("old"), F.least("least", own)["b"].alias("new")))
+        old_edges, old_labels = edges, labels
         labels = write_through(labels.join(hooks, labels["root"] == hooks["old"], "left")
                                .select("node", F.coalesce("new", "root").alias("root")))
         first = edges.join(hooks, edges["a"] == hooks["old"]).select(F.col("new").alias("a"), "b")
         edges = write_through(first.join(hooks, first["b"] == hooks["old"]).select("a", F.col("new").alias("b")).where("a <> b").distinct())
+        discard(old_edges, old_labels, hooks)
     raise RuntimeError("components did not settle")
 
 
