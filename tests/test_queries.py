@@ -16,7 +16,9 @@ CORE = {
     "min_distance", "min_distance_ragged", "min_distance_block", "znorm_min_distance_pos", "corr_min_distance",
     "min_distance_segments", "distance_matrix", "ig_score", "ig_score_bucketed", "kruskal_score", "mood_median", "bhattacharyya",
     "distinguishing_power", "discover_sax", "wilcoxon", "compare_table", "mann_whitney", "read_predictions", "transform",
-    "knn_join", "voting_soft", "tournament", "accuracy", "generation_stats",
+    "knn_join", "knn_join_ties", "knn_join_offset", "window_correlation_small", "min_distance_location_mixed", "sample_series", "init_random",
+    "mutate_noise", "mutate_add", "mutate_remove", "mutate_mask", "cross_merge", "cross_random_merge", "cross_points", "cross_shapelet_points",
+    "naive_bayes", "voting_soft", "voting_hard", "tournament", "accuracy", "generation_stats",
 }
 ORACLES = sorted(set(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else CORE)
 

@@ -275,14 +275,19 @@ def found(df):
                      F.col("length").cast("long").alias("length"), "gain", "gap")
 
 
-@query("discover_exhaustive", f"WITH {EMB}, {candidates_sql('emb', [62, 63])}, {splits_sql('cand, start, length')} {FOUND}")
+SEARCH_LENGTHS = [8, 24, 48]
+
+
+@query("discover_exhaustive", f"WITH {USERS}, {candidates_sql('users', SEARCH_LENGTHS)}, {splits_sql('cand, start, length')} {FOUND}")
 def discover_exhaustive(spark, folder):
-    return found(E.discover_exhaustive(tables.emb_series(spark, folder), lengths=[62, 63], n=10, digits=6))
+    series = tables.user_series(spark, folder).persist()  # read several times: built from the events once
+    return found(E.discover_exhaustive(series, lengths=SEARCH_LENGTHS, n=10, digits=6))
 
 
-@query("discover_fast", f"WITH {EMB}, {candidates_sql('emb', [62, 63], corr=True)}, {splits_sql('cand, start, length')} {FOUND}")
+@query("discover_fast", f"WITH {USERS}, {candidates_sql('users', SEARCH_LENGTHS, corr=True)}, {splits_sql('cand, start, length')} {FOUND}")
 def discover_fast(spark, folder):
-    return found(E.discover_fast(tables.emb_series(spark, folder), lengths=[62, 63], n=10, digits=6))
+    series = tables.user_series(spark, folder).persist()
+    return found(E.discover_fast(series, lengths=SEARCH_LENGTHS, n=10, digits=6))
 
 
 @query("discover_sax", f"""WITH {POWER},
