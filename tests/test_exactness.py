@@ -134,3 +134,16 @@ def test_bandwidth_uses_all_points():
     points = np.concatenate([m[:150] for m in members])
     gaps = np.abs(points[:, None] - points[None, :])[np.triu_indices(300, 1)]
     assert B.gak_bandwidth(members) == pytest.approx(np.median(gaps) * np.sqrt(150))
+
+
+def test_words_of_large_alphabets(spark, series_of):
+    from pyspark.sql import functions as F
+
+    from wavelane.functions import arrays as A
+    from wavelane.operators import windows as W
+    rng = np.random.default_rng(7)
+    series = series_of([(i, 0, rng.normal(size=12)) for i in range(5)])
+    words = W.sax_words_of_windows(series, [12], 6, 300).select("series_id", "word").collect()
+    plain = dict(series.select("series_id", W.word_string(A.sax_word(A.z_norm(F.col("values")), 6, 300)).alias("w")).collect())
+    assert {r["series_id"]: r["word"] for r in words} == plain
+    assert max(ord(c) for r in words for c in r["word"]) > 255 and all(len(r["word"]) == 6 for r in words)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wavelane.functions import arrays as A, kernels
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+FIRST_LETTER, LAST_CODE = ord("a"), 0xD7FF  # symbols are code points from "a" on, up to the surrogates
 
 
 def subseries(series: DataFrame, lengths: list[int], keep: tuple[str, ...] = ("label",)) -> DataFrame:
@@ -27,9 +27,8 @@ def length_range(min_len: int, max_len: int) -> list[int]:
 
 
 def word_string(symbols: Column) -> Column:
-    """Symbols 0, 1, ... as letters a, b, ..."""
-    letters = F.array(*[F.lit(c) for c in LETTERS])
-    return F.concat_ws("", F.transform(symbols, lambda s: letters[s]))
+    """Symbols 0, 1, ... as characters a, b, ... and the code points that follow z."""
+    return F.concat_ws("", F.transform(symbols, lambda s: F.decode(F.unhex(F.lpad(F.hex(s + FIRST_LETTER), 4, "0")), "UTF-16BE")))
 
 
 def sax_words_of_windows(series: DataFrame, lengths: list[int], word_length: int, alphabet: int,
@@ -39,6 +38,8 @@ def sax_words_of_windows(series: DataFrame, lengths: list[int], word_length: int
     A narrow Arrow stage: windows are built, normalised and averaged per batch, so no
     window values leave the task. Words longer than the window are cut to its length.
     """
+    if alphabet > LAST_CODE - FIRST_LETTER:
+        raise ValueError("alphabet too large")
     cuts = np.array(A.sax_breakpoints(alphabet))
     keep = tuple(keep)
     schema = T.StructType([series.schema["series_id"]] + [series.schema[c] for c in keep] + [
@@ -54,9 +55,9 @@ def sax_words_of_windows(series: DataFrame, lengths: list[int], word_length: int
         sizes = np.diff(np.append(edges, length))
         means = np.add.reduceat(z, edges, axis=2) / sizes
         # means that sit on a cut up to rounding go to the upper region
-        symbols = np.searchsorted(cuts, means + 1e-12, side="right").astype(np.uint8)
-        codes = np.ascontiguousarray(symbols + ord("a"))
-        return codes.reshape(-1, w).view(f"S{w}").reshape(-1).astype(f"U{w}")
+        symbols = np.searchsorted(cuts, means + 1e-12, side="right").astype(np.uint32)
+        codes = np.ascontiguousarray(symbols + np.uint32(FIRST_LETTER))  # numpy text is 32 bits a character
+        return codes.reshape(-1, w).view(f"U{w}").reshape(-1)
 
     def run(batches):
         for batch in batches:
