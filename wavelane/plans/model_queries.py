@@ -363,10 +363,21 @@ def tree_shapelets(spark, folder):
         "node_id", F.col("p").cast("long").alias("pos"), F.round("x", 9).alias("x"))
 
 
-@query("estimate_lengths")
+# Ten samples of ten series; a sample is part of the series id, and windows meet the series of their own sample.
+SAMPLES = f"""{EMB}, samples AS (SELECT run * 1000000 + series_id AS series_id, label, v FROM emb, range(10) r(run)
+  QUALIFY row_number() OVER (PARTITION BY run ORDER BY ('0x' || substr(md5(concat_ws('|', run, series_id)), 1, 13))::BIGINT, series_id) <= 10),
+{candidates_sql('samples', [8, 16, 24, 32]).replace('ON a.length = b.length', 'ON a.length = b.length AND a.series_id // 1000000 = b.series_id // 1000000')},
+{splits_sql('cand, start, length')},
+won AS (SELECT length FROM best QUALIFY row_number() OVER (
+  PARTITION BY cand // 1000000 ORDER BY gain DESC, gap DESC, cand DESC, start DESC, length DESC) <= 10)"""
+
+
+@query("estimate_lengths", f"""WITH {SAMPLES}
+SELECT floor(quantile_cont(length, 0.25))::BIGINT AS min_len,
+  greatest(floor(quantile_cont(length, 0.25)) + 1, floor(quantile_cont(length, 0.75)))::BIGINT AS max_len FROM won""")
 def estimate_lengths(spark, folder):
-    lo, hi = T.estimate_lengths(tables.emb_series(spark, folder), iterations=3, lengths=[8, 16, 24, 32])
-    return spark.createDataFrame([(lo, hi)], "min_len int, max_len int")
+    lo, hi = T.estimate_lengths(tables.emb_series(spark, folder), lengths=[8, 16, 24, 32], digits=6)
+    return spark.createDataFrame([(lo, hi)], "min_len long, max_len long")
 
 
 @query("length_percentiles", f"""WITH {PARTS}
