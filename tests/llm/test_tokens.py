@@ -85,6 +85,16 @@ def test_token_files_round_trip(spark, definition):
     assert [k for k, _, _, _ in sorted(got, key=lambda r: r[1])] == sorted(k for k, _ in want)
 
 
+def test_words_give_the_ids_of_whole_texts(definition):
+    rng = random.Random(4)
+    coder = token_files.WordCoder(definition)
+    parts = ["Word", "ÉTÉ", "e\u0301", "İ", "ΣΑΣ", "ß", "ǅ", ".", ",", ". ", ", ", "..", '"', "'s", "_", " ", "\n", "12", "\x1c", "K", "<|endoftext|>", "\u00a0"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    want = coder.tokenizer.encode_batch(made, add_special_tokens=False)
+    for _ in range(2):  # new words, then held ones
+        assert [np.frombuffer(x, coder.type).tolist() for x in coder.encode(made)] == [w.ids for w in want]
+
+
 def test_index_is_minimal_and_refuses_strangers(spark, definition):
     docs = spark.range(5000).selectExpr("id * 3 as doc_id", "concat('w ', id) as text")
     folder, index, shards = token_files.write(docs, definition, 1)

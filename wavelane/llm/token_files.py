@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,11 @@ from wavelane.runtime import scratch_folder, write_through
 HEAD = b"WLTOKEN1"              # then the id width in bytes, as one little-endian 64-bit integer
 SHARD_BYTES = 64 << 20          # a shard is closed once it is larger
 BUCKET_KEYS = 4_096             # mean number of keys of an index bucket
-HELD = 300_000                  # words a worker remembers
+HELD = 800_000                  # words a worker remembers, about 200 bytes each
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("n", "<u4")])
 
+_beyond = re.compile("[\u0130\u0250-\U0010ffff]")      # letters whose lower case or normal form depends on more than one character
+_marks = re.compile(r"[^\w\s][.,] |_")
 _control = re.compile("[\x1c-\x1f]")  # blanks for Python's split, not for the tokenizer
 _coders: dict = {}
 
@@ -49,18 +52,45 @@ class WordCoder:
     def pack(self, ids) -> bytes:
         return np.array(ids, self.type).tobytes()
 
+    @staticmethod
+    def words(text: str | None) -> list[str]:
+        """The text cut at white space, with equal pre-tokens made equal words where that cannot change an id.
+
+        Latin letters are lower-cased as the tokenizer would. A stop or comma after a letter or digit is a pre-token of its
+        own, so it is cut off. Texts with other letters, or with marks in a row before a blank, are cut at white space only.
+        """
+        if not text:
+            return []
+        if _control.search(text):
+            return [text]
+        if not _beyond.search(text):
+            text = text.lower()
+            if not _marks.search(text):
+                text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split()
+
     def encode(self, texts) -> list[bytes]:
         held = self.held
         if len(held) > HELD:
             held.clear()
-        split = [None if not t else [t] if _control.search(t) else t.split() for t in texts]
-        new = list({w for words in split if words for w in words if w not in held})
-        extra = {}
-        for at in range(0, len(new), 4_096):
-            part = new[at:at + 4_096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                (held if len(word) < 64 else extra)[word] = self.pack(found.ids)
-        return [b"".join([held[w] if w in held else extra[w] for w in words]) if words else b"" for words in split]
+        split = [self.words(t) for t in texts]
+        flat = list(chain.from_iterable(split))
+        packed = list(map(held.get, flat))
+        new = {}
+        for at, found in enumerate(packed):
+            if found is None:
+                new.setdefault(flat[at], []).append(at)
+        fresh = list(new)
+        for begin in range(0, len(fresh), 4_096):
+            part = fresh[begin:begin + 4_096]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                ids = self.pack(found.ids)
+                for at in new[word]:
+                    packed[at] = ids
+                if len(word) < 64:
+                    held[word] = ids
+        ends = np.cumsum([len(words) for words in split]).tolist()
+        return [b"".join(packed[end - len(words):end]) for words, end in zip(split, ends)]
 
 
 def word_coder(definition: str) -> WordCoder:
