@@ -29,15 +29,13 @@ def test_tree_invariants():
     points = clouds(rng, 50, 4, 0.2)
     tree = C.CoverTree(points)
 
-    def below(level, node):
-        if level == len(tree.levels) - 1:
-            return [tree.levels[level][0][node]]
-        return [r for k in tree.children[level][node] for r in below(level + 1, k)]
-    for level, (centres, radius) in enumerate(tree.levels):
-        rows = [below(level, k) for k in range(len(centres))]
-        assert sorted(r for part in rows for r in part) == list(range(len(points)))
-        for k, part in enumerate(rows):
-            assert np.linalg.norm(points[part] - points[centres[k]], axis=1).max() <= radius[k] + 1e-3
+    def below(node):
+        return [tree.centre[node]] if tree.leaf[node] else [r for k in tree.kids[node] for r in below(k)]
+    assert sorted(below(0)) == list(range(len(points)))
+    for node in range(len(tree.centre)):
+        rows = below(node)
+        assert tree.centre[node] in rows
+        assert np.linalg.norm(points[rows] - points[tree.centre[node]], axis=1).max() <= tree.reach[node] + 1e-3
 
 
 def brute(rows):

@@ -30,32 +30,32 @@ SLACK = 1e-4      # for the rounding of 32-bit bounds; cosines in double precisi
 
 
 class CoverTree:
-    """Levels of nodes over unit vectors: centres, parents in the level above, and covering radii."""
+    """Nodes over unit vectors: a centre (row), a covering radius (largest distance to a row below) and children; 0 is the root.
+
+    The children of a node at one level lie more than that level's radius apart; radii halve from level to level. Below the
+    finest level, and where the vectors are too far apart for inner nodes to cover any, the children are single rows.
+    """
 
     def __init__(self, vectors: np.ndarray, finest: float = 0.25):
         self.vectors = vectors.astype(np.float32)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # centre (row), radius (largest distance below)
-        self.children: list[list[np.ndarray]] = []             # per level and node: positions in the next level
-        groups_, radius = [np.arange(len(vectors))], 2.0
-        while groups_:
-            centres = np.array([g[0] for g in groups_])
-            reach = np.array([self._far(g) for g in groups_])
-            self.levels.append((centres, reach))
-            if radius <= finest and not any(len(g) > 1 for g in groups_) or all(len(g) == 1 for g in groups_):
-                self.children.append([np.zeros(0, np.int64)] * len(groups_))
-                break
-            radius /= 2
-            below, parts = [], []
-            for g in groups_:
-                own = self._net(g, radius) if radius >= finest else [g[k:k + 1] for k in range(len(g))]
-                below.append(np.arange(len(parts), len(parts) + len(own)))
-                parts.extend(own)
-            self.children.append(below)
-            groups_ = parts
+        centres, reach, self.kids = [0], [self._far(np.arange(len(vectors)))], [None]
+        open_, radius = [(0, np.arange(len(vectors)))] if len(vectors) > 1 else [], 1.0
+        while open_:
+            below = []
+            for node, rows in open_:
+                parts = self._net(rows, radius) if radius >= finest else [rows[k:k + 1] for k in range(len(rows))]
+                self.kids[node] = np.arange(len(centres), len(centres) + len(parts))
+                for part in parts:
+                    if len(part) > 1:
+                        below.append((len(centres), part))
+                    centres.append(part[0])
+                    reach.append(self._far(part) if len(part) > 1 else 0.0)
+                    self.kids.append(None)
+            open_, radius = below, radius / 2
+        self.centre, self.reach = np.array(centres), np.array(reach, np.float32)
+        self.leaf = np.array([k is None for k in self.kids])
 
     def _far(self, rows: np.ndarray) -> float:
-        if len(rows) == 1:
-            return 0.0
         return float(np.sqrt(max(2 - 2 * (self.vectors[rows] @ self.vectors[rows[0]]).min(), 0)))
 
     def _net(self, rows: np.ndarray, radius: float) -> list[np.ndarray]:
@@ -67,10 +67,9 @@ class CoverTree:
             near = np.triu(self.vectors[head] @ self.vectors[head].T >= least, 1)
             chosen = []
             for k in range(len(head)):
-                if not any(near[c, k] for c in chosen):
+                if not near[chosen, k].any():
                     chosen.append(k)
-            cosines = self.vectors[left] @ self.vectors[head[chosen]].T
-            fit = cosines >= least
+            fit = self.vectors[left] @ self.vectors[head[chosen]].T >= least
             first = np.where(fit.any(axis=1), fit.argmax(axis=1), -1)
             first[chosen] = np.arange(len(chosen))
             for k, c in enumerate(chosen):
@@ -78,46 +77,52 @@ class CoverTree:
                 parts.append(left[np.concatenate(([c], inside[inside != c]))])
             sparse = (first >= 0).sum() < 2 * len(chosen)
             left = left[first < 0]
-            if sparse:  # the vectors are too far apart for inner nodes to cover any
+            if sparse:
                 parts.extend(left[k:k + 1] for k in range(len(left)))
                 break
         return parts
 
 
+def _near_nodes(one: CoverTree, two: CoverTree, a: np.ndarray, b: np.ndarray, distance: float):
+    """Pairs of the nodes ``a`` and ``b`` that their centres and covering radii do not rule out."""
+    right, leaf_b = two.vectors[two.centre[b]].T, two.leaf[b]
+    inner_b = np.flatnonzero(~leaf_b)
+    for k in range(0, len(a), 512):
+        part = a[k:k + 512]
+        cosines = one.vectors[one.centre[part]] @ right
+        close = cosines >= 1 - distance * distance / 2
+
+        def widen(rows, columns):
+            bound = distance + one.reach[part[rows]][:, None] + two.reach[b[columns]][None, :]
+            close[np.ix_(rows, columns)] = cosines[np.ix_(rows, columns)] >= 1 - bound * bound / 2
+        inner_a = np.flatnonzero(~one.leaf[part])
+        if len(inner_a):
+            widen(inner_a, np.arange(len(b)))
+        if len(inner_b):
+            widen(np.arange(len(part)), inner_b)
+        x, y = np.nonzero(close)
+        yield part[x], b[y]
+
+
 def dual_traverse(one: CoverTree, two: CoverTree, distance: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows (of one, of two) of single-vector node pairs that no bound prunes."""
     found_a, found_b = [], []
-    level, frontier = 0, (np.zeros(1, np.int64), np.zeros(1, np.int64))
-    depth_a, depth_b = len(one.levels) - 1, len(two.levels) - 1
-    while len(frontier[0]):
-        at_a, at_b = min(level, depth_a), min(level, depth_b)
-        if level > max(depth_a, depth_b):
-            found_a.append(one.levels[depth_a][0][frontier[0]])
-            found_b.append(two.levels[depth_b][0][frontier[1]])
-            break
-        next_a, next_b = [], []
-        order = np.argsort(frontier[0], kind="stable")
-        left, right = frontier[0][order], frontier[1][order]
-        starts = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1]))) if len(left) else []
-        deeper = level + 1
-        lev_a, lev_b = one.levels[min(deeper, depth_a)], two.levels[min(deeper, depth_b)]
+    left, right = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while len(left):
+        done = one.leaf[left] & two.leaf[right]
+        found_a.append(one.centre[left[done]])
+        found_b.append(two.centre[right[done]])
+        left, right = left[~done], right[~done]
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        starts = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1]))).tolist() if len(left) else []
+        deeper = []
         for s, e in zip(starts, [*starts[1:], len(left)]):
-            kids_a = one.children[at_a][left[s]] if deeper <= depth_a else left[s:s + 1]
-            kids_b = np.concatenate([two.children[at_b][b] for b in right[s:e]]) if deeper <= depth_b else right[s:e]
-            for k in range(0, len(kids_a), 512):
-                part = kids_a[k:k + 512]
-                cosines = one.vectors[lev_a[0][part]] @ two.vectors[lev_b[0][kids_b]].T
-                far_a, far_b = lev_a[1][part], lev_b[1][kids_b]
-                bound = distance + SLACK
-                if far_a.any() or far_b.any():
-                    bound = (bound + far_a[:, None] + far_b[None, :]).astype(np.float32)
-                a, b = np.nonzero(cosines >= 1 - bound * bound / 2)
-                next_a.append(part[a])
-                next_b.append(kids_b[b])
-        frontier = (np.concatenate(next_a), np.concatenate(next_b))
-        level = deeper
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            kids_a = left[s:s + 1] if one.leaf[left[s]] else one.kids[left[s]]
+            kids_b = np.concatenate([right[k:k + 1] if two.leaf[right[k]] else two.kids[right[k]] for k in range(s, e)])
+            deeper.extend(_near_nodes(one, two, kids_a, kids_b, distance + SLACK))
+        left = np.concatenate([x for x, _ in deeper]) if deeper else np.zeros(0, np.int64)
+        right = np.concatenate([y for _, y in deeper]) if deeper else np.zeros(0, np.int64)
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
