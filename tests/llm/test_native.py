@@ -140,3 +140,16 @@ def test_no_python_in_the_plans(spark):
     for name in ("op3_url_filter", "op8_decontamination"):
         plan = QUERIES[name](spark, folder)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["op3_url_filter", "op8_decontamination"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from wavelane.llm.queries import ORACLES, QUERIES
+    folder, con = "/root/testdata/sf0.01", duckdb.connect()
+    for table in ("pages", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    got, want = QUERIES[name](spark, folder), con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
