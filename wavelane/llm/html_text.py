@@ -4,9 +4,9 @@ A page becomes lines: the blocks of its body in page order, each with the chain
 never content (scripts, styles, forms, navigation, headers and footers of the page, asides, and elements whose class, id or
 role names such a part or comments), and where content is declared (article, main). Pages of a host are put in order of their
 URL path; a page's neighbours are the one before and the one after it, its nearest URLs. Their lines are aligned by longest
-common subsequence, and lines shared with a neighbour are deleted as template, unless the page declares them content. So an
-article keeps a passage that other articles quote, and a page without content elements loses its menus and notices. If all
-undeclared lines of a page are shared with one neighbour, the two are copies, and that neighbour says nothing.
+common subsequence, and lines shared with a neighbour are deleted as template. A page that declares content keeps exactly that,
+so an article keeps a passage that other articles quote; it still serves as a neighbour. If all lines of a page are shared with
+one neighbour, the two are copies, and that neighbour says nothing.
 
 Cases: null and empty html give an empty text. A page without ``://`` in its url is compared under an empty host. Repeated rows
 are pages of their own; equal neighbours are copies. Broken markup is read as far as it goes. Other columns are not read. An
@@ -172,16 +172,13 @@ def shared_lines(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return mask
 
 
-def kept_lines(lines: np.ndarray, declared: np.ndarray, neighbours: list[np.ndarray]) -> np.ndarray:
-    """Mask of the lines that stay."""
+def own_lines(lines: np.ndarray, neighbours: list[np.ndarray]) -> np.ndarray:
+    """Mask of the lines of a page without declared content that no neighbour shares; a neighbour that shares all is a copy."""
     template = np.zeros(len(lines), bool)
     for other in neighbours:
-        common = shared_lines(lines, other) & ~declared
-        if (~declared).any() and common[~declared].all() and not declared.any():
-            continue  # a copy
-        template |= common
-    if declared.any():
-        return declared
+        common = shared_lines(lines, other)
+        if not common.all():
+            template |= common
     return ~template
 
 
@@ -190,9 +187,10 @@ def _lines(batches):
         out = []
         for key, row, host, path, html in zip(batch["key"], batch["row"], batch["host"], batch["path"], batch["html"]):
             found = blocks(html)
-            out.append((key, row, host, path, [xxhash.xxh3_64_intdigest(f"{c}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for c, t, _ in found],
-                        [d for _, _, d in found], [t for _, t, _ in found]))
-        yield pd.DataFrame(out, columns=["key", "row", "host", "path", "hashes", "declared", "texts"])
+            hashes = [xxhash.xxh3_64_intdigest(f"{c}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for c, t, _ in found]
+            content = [t for _, t, d in found if d]
+            out.append((key, row, host, path, hashes, bool(content), content or [t for _, t, _ in found]))
+        yield pd.DataFrame(out, columns=["key", "row", "host", "path", "hashes", "declares", "texts"])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -200,7 +198,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     value = F.coalesce(F.col(url), F.lit(""))
     parsed = write_through(pages.select(F.col(key).alias("key"), F.col(url).alias("row"), F.regexp_extract(value, r"(?s)://([^/?#]*)", 1).alias("host"),
                                         F.regexp_extract(value, r"(?s)://[^/?#]*([^#]*)", 1).alias("path"), F.col(html).alias("html")).mapInPandas(
-        _lines, "key long, row string, host string, path string, hashes array<long>, declared array<boolean>, texts array<string>")
+        _lines, "key long, row string, host string, path string, hashes array<long>, declares boolean, texts array<string>")
         .withColumn("id", F.monotonically_increasing_id()))
     # Place of every page in the order of host and path: the range partition's offset plus the place in the partition.
     ordered = write_through(parsed.select("id", "host", "path", "key").repartitionByRange(partitions(pages.sparkSession), "host", "path", "key", "id")
@@ -214,23 +212,25 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     starts = F.broadcast(pages.sparkSession.createDataFrame(offsets, "part long, start long"))
     placed = ordered.withColumn("part", part).join(starts, "part").select(
         "id", "host", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
-    own = write_through(placed.join(parsed.select("id", "hashes"), "id"))
+    own = write_through(placed.join(parsed.select("id", "declares", "hashes"), "id"))
     before = own.select((F.col("place") + 1).alias("place"), F.col("host").alias("host_b"), F.col("hashes").alias("before"))
     after = own.select((F.col("place") - 1).alias("place"), F.col("host").alias("host_a"), F.col("hashes").alias("after"))
-    around = own.select("id", "place", "host").join(before, "place", "left").join(after, "place", "left").select(
+    # Only pages that declare no content are compared; the others are neighbours.
+    around = own.where(~F.col("declares")).select("id", "place", "host").join(before, "place", "left").join(after, "place", "left").select(
         "id", F.when(F.col("host") == F.col("host_b"), F.col("before")).alias("before"),
         F.when(F.col("host") == F.col("host_a"), F.col("after")).alias("after"))
 
     def finish(batches):
         for batch in batches:
             texts = []
-            for lines, declared, blocks_, before_, after_ in zip(batch["hashes"], batch["declared"], batch["texts"], batch["before"], batch["after"]):
-                near = [np.asarray(x, np.int64) for x in (before_, after_) if x is not None]
-                keep = kept_lines(np.asarray(lines, np.int64), np.asarray(declared, bool), near)
+            for lines, blocks_, before_, after_ in zip(batch["hashes"], batch["texts"], batch["before"], batch["after"]):
+                keep = own_lines(np.asarray(lines, np.int64), [np.asarray(x, np.int64) for x in (before_, after_) if x is not None])
                 texts.append("\n\n".join(t for t, k in zip(blocks_, keep) if k))
             yield pd.DataFrame({"key": batch["key"], "url": batch["row"], "text": texts})
 
-    done = parsed.join(around, "id").select("key", "row", "hashes", "declared", "texts", "before", "after").mapInPandas(finish, "key long, url string, text string")
+    compared = parsed.where(~F.col("declares")).join(around, "id").select("key", "row", "hashes", "texts", "before", "after").mapInPandas(
+        finish, "key long, url string, text string")
+    done = parsed.where("declares").select("key", F.col("row").alias("url"), F.array_join("texts", "\n\n").alias("text")).unionByName(compared)
     return done.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 
 
