@@ -25,7 +25,7 @@ from wavelane.runtime import write_through
 
 CHUNK = 1 << 16    # characters of a chunk; longer texts are cut
 OVERLAP = 1 << 10  # characters that a chunk shares with the next one
-HELD = 400_000     # pieces a worker remembers
+HELD = 200_000     # pieces a worker remembers, about 200 bytes each
 
 _coders: dict = {}
 

@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wavelane.runtime import ship_package
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the workers the package; documents are large rows, so pass 2,000 at a time to Python unless the session says otherwise."""
+    ship_package(spark)
+    if spark.conf.get(BATCH) == "10000":  # Spark's default
+        spark.conf.set(BATCH, "2000")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

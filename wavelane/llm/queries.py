@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wavelane.llm import bpe, cover_tree, decontaminate, html_text, jaccard_join, langid, licenses, token_files, toxicity, url_graph
-from wavelane.llm.common import fold, table
-from wavelane.runtime import ship_package
+from wavelane.llm.common import fold, prepare, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,7 +19,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         @wraps(fn)
         def run(spark, sf_dir):
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         QUERIES[name] = run
         if sql is not None:
