@@ -91,3 +91,42 @@ def test_long_page():
     html = "<article>" + "".join(f"<p>line {k} &amp; more</p>" for k in range(20_000)) + "</article>"
     found = texts(html)
     assert len(found) == 20_000 and found[-1] == "line 19999 & more"
+
+
+def test_declared_content_is_compared_too(spark):
+    def story(k, inner, outer=""):
+        return f"<body><div>Site</div>{outer}<article><h1>Title {k}</h1><div>Share this story</div>{inner}<p>Read our letter.</p></article><div>Terms</div></body>"
+
+    quote = "<p>A quoted passage.</p>"
+    rows = [(k, f"http://a.org/{k:02}", story(k, f"<p>Story number {k} is long enough to tell.</p>" * (1 + k % 3) + quote * (k in (4, 5, 6)))) for k in range(14)]
+    rows += [(20 + k, f"http://near.org/{k:02}", f"<article><h1>Same title</h1><p>A long passage that all the copies have.</p><p>{k}</p></article>") for k in range(14)]
+    rows += [(40 + k, f"http://teaser.org/{k}", f"<div>Site</div><div><p>Body number {k}.</p></div><article><p>Teaser {k}.</p></article>"
+              f"<article class='comment'><p>Comment {k}.</p></article>") for k in range(3)]
+    rows += [(50, "http://one.org/", "<main class='has-sidebar'><p>Main.</p></main><div>Beside.</div>"), (51, "http://lone.org/", "<article><p>Alone.</p></article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for limit in (H.BROADCAST_LINES, 0):  # short lists and joined ones
+        found = {r["page_id"]: r["text"].split("\n\n") for r in H.extract(pages, broadcast_lines=limit).collect()}
+        assert len(found) == len(rows)
+        for k in range(14):
+            assert found[k] == [f"Title {k}"] + [f"Story number {k} is long enough to tell."] * (1 + k % 3) + ["A quoted passage."] * (k in (4, 5, 6))
+            assert found[20 + k] == ["Same title", "A long passage that all the copies have.", str(k)]
+        for k in range(3):
+            assert found[40 + k] == [f"Body number {k}.", f"Teaser {k}."]
+        assert (found[50], found[51]) == (["Main.", "Beside."], ["Alone."])
+
+
+def test_blocks_of_places_do_not_show(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(700):
+        words = [f"<p>line {rng.randrange(3)}</p>" for _ in range(rng.randrange(5))] + [f"<p>own text of page {k} {'x' * rng.randrange(60)}</p>"]
+        rng.shuffle(words)
+        rows.append((k, f"http://h{min(k // 5, 9)}.org/{k:04}", f"<div>s{rng.randrange(2)}</div><article>{''.join(words)}</article>"))
+    found = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    read = [(u.split("/")[2], H.blocks(h)) for _, u, h in rows]
+    hashes = {}
+    plain = [(host, np.array([hashes.setdefault((c, t), len(hashes)) for c, t, _ in b], np.int64), np.array([d for *_, d in b], bool),
+              np.array([len(t) for _, t, _ in b], np.int64)) for host, b in read]
+    for k in range(700):
+        keep = H.kept_lines(k, plain)
+        assert found[k] == "\n\n".join(t for (_, t, _), own in zip(read[k][1], keep) if own)

@@ -2,11 +2,15 @@
 
 A page becomes lines: the blocks of its body in page order, each with the chain of elements it stands in. Markup says what is
 never content (scripts, styles, forms, navigation, headers and footers of the page, asides, and elements whose class, id or
-role names such a part or comments), and where content is declared (article, main). Pages of a host are put in order of their
-URL path; a page's neighbours are the one before and the one after it, its nearest URLs. Their lines are aligned by longest
-common subsequence, and lines shared with a neighbour are deleted as template. A page that declares content keeps exactly that,
-so an article keeps a passage that other articles quote; it still serves as a neighbour. If all lines of a page are shared with
-one neighbour, the two are copies, and that neighbour says nothing.
+role names such a part or comments), and where content is declared (article, main; one whose whole class, id or role is such a
+name is a part like any other, and one with such a word in a longer name declares nothing). Pages of a host are put in order of
+their URL path, and the lines of pages next to each other are aligned by longest common subsequence.
+
+A line outside declared content goes if the page before or the page after has it too; if all lines of a page are shared with one
+of these, the two are copies, and that one says nothing. A line inside declared content goes only if at least ``SUPPORT`` of the
+``NEAREST`` nearest pages of the host have it in the same place, counted from the start or from the end of their declared
+content; a page that shares more than half of the declared text is a near copy and says nothing. So a passage that some articles
+quote, or that near copies share, stays, and a host of up to ``SUPPORT`` pages loses no declared line.
 
 Cases: null and empty html give an empty text. A page without ``://`` in its url is compared under an empty host. Repeated rows
 are pages of their own; equal neighbours are copies. Broken markup is read as far as it goes. Other columns are not read. An
@@ -26,6 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 from wavelane.llm.common import partitions
 from wavelane.runtime import write_through
 
+NEAREST, SUPPORT = 6, 4      # pages looked at for a line of declared content, and how many of them must have it
+BLOCK = 256                  # places of a block
+BROADCAST_LINES = 1_000_000  # pages and lines that go, up to which every task gets the whole list
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form
@@ -57,6 +64,12 @@ def _named_part(attributes) -> bool:
     return False
 
 
+def _whole_part(attributes) -> bool:
+    """Whether a whole class, id or role names a part; ``has-sidebar`` or ``comments-open`` of an article does not."""
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true")
+               or (value and name in ("class", "id", "role") and not PARTS.isdisjoint(value.lower().split())) for name, value in attributes)
+
+
 class _Blocks(HTMLParser):
     """Blocks of text as (chain of open block elements, text, is content declared)."""
 
@@ -93,8 +106,8 @@ class _Blocks(HTMLParser):
         inside = any(n in CONTENT for n, _, _ in self.open)
         # The header of an article belongs to it; the header of a page does not.
         skip = self._skips() or tag in NEVER or (tag == "header" and not inside) \
-            or (tag not in CONTENT and tag not in ("html", "body") and _named_part(attributes))
-        self.open.append((tag, skip, tag in CONTENT))
+            or (tag not in ("html", "body") and (_whole_part if tag in CONTENT else _named_part)(attributes))
+        self.open.append((tag, skip, tag in CONTENT and not _named_part(attributes)))
 
     def _close(self, tag):
         """Close the nearest open element of that name, if none but inline ones are open inside it."""
@@ -145,6 +158,10 @@ def shared_lines(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     Common ends are taken first. The rest is solved by halving (Hirschberg), so long pages need no table of all pairs.
     """
     mask = np.zeros(len(one), bool)
+    both = np.isin(one, two)
+    if not both.all():  # lines that only one of them has are in no common subsequence
+        mask[both] = shared_lines(one[both], two[np.isin(two, one)]) if both.any() else False
+        return mask
 
     def lengths(a, b):
         row = np.zeros(len(b) + 1, np.int64)
@@ -173,7 +190,7 @@ def shared_lines(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def own_lines(lines: np.ndarray, neighbours: list[np.ndarray]) -> np.ndarray:
-    """Mask of the lines of a page without declared content that no neighbour shares; a neighbour that shares all is a copy."""
+    """Mask of the lines of a page that no neighbour shares; a neighbour that shares all is a copy."""
     template = np.zeros(len(lines), bool)
     for other in neighbours:
         common = shared_lines(lines, other)
@@ -182,23 +199,66 @@ def own_lines(lines: np.ndarray, neighbours: list[np.ndarray]) -> np.ndarray:
     return ~template
 
 
+def declared_template(lines: np.ndarray, chars: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Mask of declared lines that at least ``SUPPORT`` of the declared contents ``others`` have in the same place."""
+    held = np.zeros(len(lines), np.int64)
+    if len(others) < SUPPORT or sum(np.isin(lines, other).astype(np.int64) for other in others).max() < SUPPORT:
+        return held > 0  # no line is in so many of them
+    for other in others:
+        common = shared_lines(lines, other)
+        if 2 * chars[common].sum() > chars.sum():
+            continue  # a near copy
+        n = min(len(lines), len(other))
+        same = np.zeros(len(lines), bool)
+        same[:n] = lines[:n] == other[:n]
+        same[len(lines) - n:] |= lines[len(lines) - n:] == other[len(other) - n:]
+        held += common & same
+    return held >= SUPPORT
+
+
+def kept_lines(k: int, pages: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Mask of the lines that page ``k`` of pages in order, as (host, lines, which are declared, characters), keeps."""
+    host, lines, declared, chars = pages[k]
+    near = sorted((j for j in range(max(k - NEAREST, 0), min(k + NEAREST + 1, len(pages))) if j != k and pages[j][0] == host),
+                  key=lambda j: (abs(j - k), j))[:NEAREST]
+    keep = np.ones(len(lines), bool)
+    if not declared.all():
+        keep = own_lines(lines, [pages[j][1] for j in near if abs(j - k) == 1])
+    if declared.any():
+        keep[declared] = ~declared_template(lines[declared], chars[declared], [pages[j][1][pages[j][2]] for j in near])
+    return keep
+
+
 def _lines(batches):
     for batch in batches:
         out = []
         for key, row, host, path, html in zip(batch["key"], batch["row"], batch["host"], batch["path"], batch["html"]):
             found = blocks(html)
             hashes = [xxhash.xxh3_64_intdigest(f"{c}\n{t}".encode("utf-8", "surrogatepass")) - (1 << 63) for c, t, _ in found]
-            content = [t for _, t, d in found if d]
-            out.append((key, row, host, path, hashes, bool(content), content or [t for _, t, _ in found]))
-        yield pd.DataFrame(out, columns=["key", "row", "host", "path", "hashes", "declares", "texts"])
+            out.append((key, row, host, path, hashes, [d for _, _, d in found], [len(t) for _, t, _ in found], [t for _, t, _ in found]))
+        yield pd.DataFrame(out, columns=["key", "row", "host", "path", "hashes", "declared", "chars", "texts"])
+
+
+def _dropped(block: pd.DataFrame) -> pd.DataFrame:
+    """(id, positions of the lines that go) of the pages of a block of places that lose lines; pages beside the block are copies."""
+    block = block.sort_values("place")
+    pages = [(host, np.asarray(lines, np.int64), np.asarray(declared, bool), np.asarray(chars, np.int64))
+             for host, lines, declared, chars in zip(block["host"], block["hashes"], block["declared"], block["chars"])]
+    out = []
+    for k, (own, copy) in enumerate(zip(block["id"], block["copy"])):
+        if not copy:
+            gone = np.flatnonzero(~kept_lines(k, pages))
+            if len(gone):
+                out.append((own, gone.tolist()))
+    return pd.DataFrame(out, columns=["id", "gone"])
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """key, url, text, n_chars for every row; blocks are joined by an empty line."""
     value = F.coalesce(F.col(url), F.lit(""))
     parsed = write_through(pages.select(F.col(key).alias("key"), F.col(url).alias("row"), F.regexp_extract(value, r"(?s)://([^/?#]*)", 1).alias("host"),
                                         F.regexp_extract(value, r"(?s)://[^/?#]*([^#]*)", 1).alias("path"), F.col(html).alias("html")).mapInPandas(
-        _lines, "key long, row string, host string, path string, hashes array<long>, declares boolean, texts array<string>")
+        _lines, "key long, row string, host string, path string, hashes array<long>, declared array<boolean>, chars array<int>, texts array<string>")
         .withColumn("id", F.monotonically_increasing_id()))
     # Place of every page in the order of host and path: the range partition's offset plus the place in the partition.
     ordered = write_through(parsed.select("id", "host", "path", "key").repartitionByRange(partitions(pages.sparkSession), "host", "path", "key", "id")
@@ -212,25 +272,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     starts = F.broadcast(pages.sparkSession.createDataFrame(offsets, "part long, start long"))
     placed = ordered.withColumn("part", part).join(starts, "part").select(
         "id", "host", (F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
-    own = write_through(placed.join(parsed.select("id", "declares", "hashes"), "id"))
-    before = own.select((F.col("place") + 1).alias("place"), F.col("host").alias("host_b"), F.col("hashes").alias("before"))
-    after = own.select((F.col("place") - 1).alias("place"), F.col("host").alias("host_a"), F.col("hashes").alias("after"))
-    # Only pages that declare no content are compared; the others are neighbours.
-    around = own.where(~F.col("declares")).select("id", "place", "host").join(before, "place", "left").join(after, "place", "left").select(
-        "id", F.when(F.col("host") == F.col("host_b"), F.col("before")).alias("before"),
-        F.when(F.col("host") == F.col("host_a"), F.col("after")).alias("after"))
-
-    def finish(batches):
-        for batch in batches:
-            texts = []
-            for lines, blocks_, before_, after_ in zip(batch["hashes"], batch["texts"], batch["before"], batch["after"]):
-                keep = own_lines(np.asarray(lines, np.int64), [np.asarray(x, np.int64) for x in (before_, after_) if x is not None])
-                texts.append("\n\n".join(t for t, k in zip(blocks_, keep) if k))
-            yield pd.DataFrame({"key": batch["key"], "url": batch["row"], "text": texts})
-
-    compared = parsed.where(~F.col("declares")).join(around, "id").select("key", "row", "hashes", "texts", "before", "after").mapInPandas(
-        finish, "key long, url string, text string")
-    done = parsed.where("declares").select("key", F.col("row").alias("url"), F.array_join("texts", "\n\n").alias("text")).unionByName(compared)
-    return done.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
-
-
+    # Blocks of places, each with copies of the pages within reach on both sides.
+    near = placed.join(parsed.select("id", "hashes", "declared", "chars"), "id").withColumn("block", F.explode(F.array_distinct(F.array(*[
+        F.floor((F.col("place") + reach) / BLOCK) for reach in (-NEAREST, 0, NEAREST)]))))
+    dropped = write_through(near.withColumn("copy", F.col("block") != F.floor(F.col("place") / BLOCK)).groupBy("block").applyInPandas(
+        _dropped, "id long, gone array<int>"))
+    # Texts move only if there are too many pages that lose lines for every task to hold their lists.
+    size = dropped.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gone")).alias("lines")).first()
+    few = size["n"] + (size["lines"] or 0) <= broadcast_lines
+    told = parsed.select("id", "key", "row", "texts").join(F.broadcast(dropped) if few else dropped.hint("shuffle_merge"), "id", "left")
+    text = F.when(F.col("gone").isNull(), F.array_join("texts", "\n\n")).otherwise(F.array_join(F.filter(
+        "texts", lambda _, at: ~F.array_contains("gone", at)), "\n\n"))
+    return told.select(F.col("key").alias(key), F.col("row").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
