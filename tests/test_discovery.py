@@ -106,6 +106,44 @@ def test_tree_rules(spark, series_of):
     assert T.fit_tree(series, method=method, max_depth=1).count() == 3 and calls
 
 
+def test_tree_query_searches_real_lengths(spark, tmp_path):
+    """The registered tree on a few users, against loops over all windows of 8, 24 and 48 points at every node."""
+    from wavelane.plans.model_queries import tree_fit_levels
+
+    rng = np.random.default_rng(3)
+    users = {i: (f"t{i % 3}", rng.normal(size=50 + i % 2).round(3).tolist()) for i in range(9)}
+    events = [(i * 100 + k, i, k, kind, x) for i, (kind, values) in users.items() for k, x in enumerate(values)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts long, event_type string, value double").coalesce(1).write.parquet(
+        f"{tmp_path}/events.parquet")
+
+    def windows(values, length):
+        w = np.lib.stride_tricks.sliding_window_view(np.array(values), length)
+        return (w - w.mean(axis=1, keepdims=True)) / w.std(axis=1, keepdims=True)
+
+    cut = {(i, n): windows(values, n) for i, (_, values) in users.items() for n in (8, 24, 48)}
+    want, open_ = {}, [(1, 0, sorted(users))]
+    while open_:
+        node, depth, ids = open_.pop()
+        if depth == 3 or len({users[i][0] for i in ids}) == 1:
+            want[node] = (depth, None)
+            continue
+        best = None
+        for n in (8, 24, 48):
+            dist = {j: [np.sqrt(((a[:, None, :] - cut[j, n][None]) ** 2).sum(axis=2)).min(axis=1).round(9) for a in (cut[i, n] for i in ids)] for j in ids}
+            for at, i in enumerate(ids):
+                for start in range(len(cut[i, n])):
+                    gain, gap, threshold = brute.best_split([(dist[j][at][start], users[j][0]) for j in ids])
+                    found = (round(gain, 9), round(gap, 9), i, start, n, threshold)
+                    if best is None or found > best:
+                        best, sides = found, {j: dist[j][at][start] <= threshold for j in ids}
+        want[node] = (depth, best[-1])
+        open_ += [(2 * node, depth + 1, [j for j in ids if sides[j]]), (2 * node + 1, depth + 1, [j for j in ids if not sides[j]])]
+    got = {r["node_id"]: (r["depth"], r["threshold"]) for r in tree_fit_levels(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and max(d for d, _ in got.values()) >= 2
+    for node, (depth, threshold) in want.items():
+        assert got[node] == (depth, threshold if threshold is None else pytest.approx(threshold, abs=1e-6))
+
+
 def test_estimate_lengths(spark, blobs):
     lo, hi = T.estimate_lengths(blobs, iterations=2, lengths=[5, 8, 12])
     assert 5 <= lo < hi <= 13

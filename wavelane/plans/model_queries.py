@@ -12,7 +12,7 @@ from wavelane.ml import classifiers as C
 from wavelane.ml.estimators import GeneticShapelets, ShapeletModel, ShapeletTransformer
 from wavelane.operators import distance as D, evolve as V, fitness as Fit, prep as P, ranking as R, reports as Z, tree as T
 from wavelane.plans.distance_queries import RAW, _emb
-from wavelane.plans.metric_queries import DIST, FOUND, candidates_sql, distances, splits_sql
+from wavelane.plans.metric_queries import DIST, FOUND, SEARCH_LENGTHS, candidates_sql, distances, splits_sql
 from wavelane.plans.registry import EMB, EMB_POOL, PARTS, draw_key_sql, query, uniform_sql
 from wavelane.plans.series_queries import label_mean_pairs
 from wavelane.runtime import attach_row, scratch_folder
@@ -339,7 +339,9 @@ def tree_fit(spark, folder):
 
 @query("tree_fit_levels")
 def tree_fit_levels(spark, folder):
-    tree = T.fit_tree(tables.emb_series(spark, folder), max_depth=3, lengths=[62, 63])
+    """Three levels of splits by windows of real lengths, on the event values of users."""
+    series = tables.user_series(spark, folder).persist()  # read on every level: built from the events once
+    tree = T.fit_tree(series, max_depth=3, lengths=SEARCH_LENGTHS)
     return tree.select("node_id", "parent_id", "side", "depth", "threshold", "is_leaf")
 
 
