@@ -77,6 +77,20 @@ def test_null_ids_repeated_rows_and_empty(spark):
     assert J.classes_and_links(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_with_near_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(7, " ".join(words)), (8, near), (7, " ".join(words)), (9, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, "1")  # the repeated row comes in a batch of its own
+        assert sorted(tuple(r) for r in J.classes_and_links(docs).collect()) == brute(rows)
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -166,6 +166,8 @@ def _verify(threshold: float):
     def run(batches):
         out = []
         for g in groups(batches, ["root", "i", "j"]):
+            _, first = np.unique(g["node"], return_index=True)  # repeated rows from other batches or partitions
+            g = {c: v[first] for c, v in g.items()}
             left, right = block_pairs(g)
             if not len(left):
                 continue
