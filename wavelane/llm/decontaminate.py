@@ -1,7 +1,7 @@
 """Benchmark decontamination: documents that hold most of a test item's word shingles. DataFrame operations only.
 
-Items are partitioned by size (powers of two of their shingle count). An item's sketch holds its smallest shingle hashes
-(bottom-k MinHash); each partition has its own sketch size and its own least number of sketch hits, the largest with which an
+An item's sketch holds its smallest shingle hashes (bottom-k MinHash). Items of up to ``sketch`` shingles are sketched whole, and
+need as many hits as the threshold says; larger ones share one sketch size and one least number of hits, the largest with which an
 item at the threshold is missed with a probability below the tolerance. The shingles of all documents are looked up in the
 sketches, so a document's length does not thin out the search. Pairs with enough hits are verified by exact containment,
 |item and document| / |item|, from the shingle sets.
@@ -59,7 +59,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """key, item, shared, size, containment of all pairs whose containment reaches the threshold."""
     items = write_through(shingles(benchmark, item, text, words).distinct().withColumnRenamed("key", "item"))
     sizes = items.groupBy("item").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("hash")).alias("hashes"))
-    # Size partition u holds the items with 2^u to 2^(u+1) - 1 shingles; items of up to ``sketch`` shingles are sketched whole.
+    # Size partition u holds the items with 2^u to 2^(u+1) - 1 shingles; it chooses nothing. Items of up to ``sketch`` shingles are sketched whole.
     held = F.least(F.col("size"), F.lit(sketch))
     enough: Column = F.ceil(F.col("size") * threshold - 1e-9)
     # Only a part of a larger item is in its sketch, so its hits are random.
