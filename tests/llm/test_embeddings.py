@@ -80,3 +80,13 @@ def test_null_id_and_empty(spark):
     got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in C.near_duplicates(table).collect()))
     assert got == [(0, 0, None, False), (1, 1, 1, True), (1, 1, 1, True)]
     assert C.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_radius_of_near_copies():
+    rng = np.random.default_rng(4)
+    for far in (3e-4, 1e-3, 3e-3):
+        one = rng.normal(size=64)
+        rows = one / np.linalg.norm(one) + far / 8 * rng.normal(size=(300, 64))
+        tree = C.CoverTree(rows / np.linalg.norm(rows, axis=1, keepdims=True))
+        held = tree.vectors.astype(np.float64)
+        assert abs(tree.reach[0] - np.linalg.norm(held - held[0], axis=1).max()) < 1e-8

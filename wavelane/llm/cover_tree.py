@@ -56,7 +56,12 @@ class CoverTree:
         self.leaf = np.array([k is None for k in self.kids])
 
     def _far(self, rows: np.ndarray) -> float:
-        return float(np.sqrt(max(2 - 2 * (self.vectors[rows] @ self.vectors[rows[0]]).min(), 0)))
+        """From differences in double precision: 2 - 2 cos of 32-bit vectors is too coarse for near copies."""
+        centre, most = self.vectors[rows[0]].astype(np.float64), 0.0
+        for k in range(0, len(rows), 1_024):
+            apart = self.vectors[rows[k:k + 1_024]] - centre
+            most = max(most, float(np.einsum("ij,ij->i", apart, apart).max()))
+        return float(np.sqrt(most))
 
     def _net(self, rows: np.ndarray, radius: float) -> list[np.ndarray]:
         """Centres more than ``radius`` apart in row order, each with the rows within it that no earlier centre has."""
