@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import wraps
 
+import pandas as pd
 import public_tokenizers
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 import corpus_pipeline
-from wavelane.llm import bpe, cover_tree, decontaminate, html_text, jaccard_join, langid, licenses, token_files, toxicity, url_graph
+from wavelane.llm import bpe, cover_tree, decontaminate, html_text, jaccard_join, langid, licenses, periodic_runs, token_files, \
+    toxicity, url_graph
 from wavelane.llm.common import fold, prepare, table
 
 QUERIES: dict = {}
@@ -94,6 +96,36 @@ def op8(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """In one text of ten, by the hash of doc_id, the words from a chosen one on repeat with a chosen period; others stay."""
+    @F.pandas_udf("string")
+    def repeat(texts: pd.Series, hashes: pd.Series) -> pd.Series:
+        def one(text, h):
+            words, g = bytes(text).split(), int(h) // 10
+            if not words:
+                return ""
+            a = g % len(words)
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            tail = words[a:a + p]
+            return b" ".join(words[:a] + (tail * ((len(words) - a) // p + 1))[:len(words) - a]).decode()
+        return pd.Series([one(t, h) if t is not None else None for t, h in zip(texts, hashes)], dtype=object)
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    # The other texts reach Python as nulls only.
+    return docs.withColumn("text", F.when(chosen, repeat(F.when(chosen, F.col("text").cast("binary")), h)).otherwise(F.col("text")))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    docs = planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs).select("doc_id", "periodic.*").withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(periodic_runs.listing(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
