@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wavelane.runtime import ship_package
+from wavelane.runtime import scratch_folder, ship_package
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,3 +46,12 @@ def thin(df: DataFrame, key: Column, rows: int, bound: int) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_packed(df: DataFrame) -> DataFrame:
+    """write_through() with denser compression, for large tables of ids."""
+    path = f"{scratch_folder(df.sparkSession)}/iteration-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out

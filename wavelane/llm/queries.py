@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 import corpus_pipeline
-from wavelane.llm import bpe, cover_tree, decontaminate, html_text, jaccard_join, langid, licenses, periodic_runs, token_files, \
-    toxicity, url_graph
+from wavelane.llm import bpe, cover_tree, cross_align, decontaminate, html_text, jaccard_join, langid, licenses, periodic_runs, \
+    token_files, toxicity, url_graph
 from wavelane.llm.common import fold, prepare, table
 
 QUERIES: dict = {}
@@ -126,6 +126,18 @@ def op11(spark, sf_dir):
                         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+@query("op12_cross_tokenizer")
+def op12(spark, sf_dir):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    told = cross_align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), definition, model, public_tokenizers.PATTERN)
+    listing = F.col("listing")
+    return told.select("doc_id", *cross_align.NUMBERS,
+                       F.when(listing == "", "").otherwise(F.sha2(listing.cast("binary"), 256)).alias("groups_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
