@@ -20,6 +20,7 @@ are replaced. Strings of special tokens are plain text. An empty table gives emp
 from __future__ import annotations
 
 import json
+from functools import cached_property
 from typing import Iterator, NamedTuple
 
 import numpy as np
@@ -103,23 +104,30 @@ class TokenPair:
     """Both tokenizers, and the bytes of each token."""
 
     def __init__(self, definition: str, model: bytes, pattern: str | None):
-        self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
-        self.library.no_truncation()
+        self.definition = definition
         alphabet = byte_alphabet()
         described = json.loads(definition)
-        special = {t["content"] for t in described.get("added_tokens", [])}
-        self.bytes_a = [b""] * self.library.get_vocab_size(with_added_tokens=True)
-        for token, number in self.library.get_vocab(with_added_tokens=True).items():
+        special = {t["content"]: t["id"] for t in described.get("added_tokens", [])}
+        vocabulary = described["model"]["vocab"] | special
+        self.bytes_a = [b""] * (max(vocabulary.values(), default=-1) + 1)
+        for token, number in vocabulary.items():
             self.bytes_a[number] = token.encode() if token in special else bytes(alphabet[c] for c in token)
         self.ranks = None
         if pattern is not None and self._ranked(described):
-            ranks = {self.bytes_a[n]: n for t, n in described["model"]["vocab"].items() if t not in special}
+            ranks = {self.bytes_a[n]: n for t, n in vocabulary.items() if t not in special}
             self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size()))]
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The definition as its own library reads it; large, so only made where ranks do not say all."""
+        made = Tokenizer.from_str(self.definition)
+        made.encode_special_tokens = True
+        made.no_truncation()
+        return made
+
     @staticmethod
     def _ranked(described: dict) -> bool:
         """True where ids ascend as merges are listed and the pre-tokenizer is the plain byte-level one: then ranks say all."""
@@ -131,28 +139,56 @@ class TokenPair:
         made = [model["vocab"].get("".join(m) if not isinstance(m, str) else m.replace(" ", "")) for m in model["merges"]]
         return None not in made and all(a < b for a, b in zip([255, *made], made))
 
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        if self.ranks is not None:
+            return [np.asarray(self.ranks.encode_to_numpy(t, disallowed_special=()), np.int32) for t in texts]
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids by A and B of each text; none where a text is null or empty, or its bytes do not come back."""
         none = np.zeros(0, np.int32)
         out = [(none, none)] * len(texts)
         at = [i for i, t in enumerate(texts) if t]
-        kept = [texts[i] for i in at]
-        spaced = [" " + t for t in kept]
-        a = [self.ranks.encode_ordinary(t) for t in spaced] if self.ranks is not None \
-            else [e.ids for e in self.library.encode_batch_fast(spaced, add_special_tokens=False)]
-        for i, text, x, y in zip(at, spaced, a, self.pieces.encode(kept, num_threads=1)):
-            want = text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, x)) == want and b"".join(map(self.bytes_b.__getitem__, y)) == want:
-                out[i] = np.array(x, np.int32), np.array(y, np.int32)
+        begin = 0
+        while begin < len(at):  # lists of ids take far more room than texts, so some texts at a time
+            end, held = begin, 0
+            while end < len(at) and (end == begin or held + len(texts[at[end]]) <= SLICE // 4):
+                held += len(texts[at[end]])
+                end += 1
+            kept = [texts[i] for i in at[begin:end]]
+            spaced = [" " + t for t in kept]
+            for i, text, x, y in zip(at[begin:end], spaced, self.encode_a(spaced), self.pieces.encode(kept, num_threads=1)):
+                want = text.encode()
+                if b"".join(map(self.bytes_b.__getitem__, y)) == want and b"".join(map(self.bytes_a.__getitem__, x.tolist())) == want:
+                    out[i] = x, np.array(y, np.int32)
+            begin = end
         return out
 
 
+class Tables(NamedTuple):
+    """What alignment needs of the vocabularies: bytes of each token, and ids written with the mark behind them."""
+    bytes_a: np.ndarray
+    bytes_b: np.ndarray
+    written: np.ndarray   # rows of 8 characters: for each id of A, then of B, one with ',' and one with '|' or ';'
+    width: np.ndarray
+
+
+def tables(pair: TokenPair) -> Tables:
+    words = [f"{i}{mark}".encode() for side, last in ((pair.bytes_a, "|"), (pair.bytes_b, ";")) for i in range(len(side)) for mark in (",", last)]
+    width = np.array([len(w) for w in words], np.int64)
+    written = np.frombuffer(b"".join(w.ljust(width.max()) for w in words), np.uint8).reshape(len(words), width.max())
+    return Tables(*(np.array([len(x) for x in side], np.int64) for side in (pair.bytes_a, pair.bytes_b)), written, width)
+
+
 class Tokenizers:
     """What the tasks need: a definition, a model, and the pattern of the pre-tokens if ranks may be used."""
 
     def __init__(self, spark, definition: str, model: bytes, pattern: str | None = None):
         self.key = hash((definition, model, pattern))
         self.shared = spark.sparkContext.broadcast((definition, model, pattern))  # two files of a few megabytes
+        made = tables(TokenPair(definition, model, pattern))
+        self.of_b = len(made.bytes_b)
+        self.tables = spark.sparkContext.broadcast(made)  # 8 numbers a token
 
     def __call__(self) -> TokenPair:
         if self.key not in _pairs:
@@ -178,18 +214,20 @@ def tokenize(docs: DataFrame, pair: Tokenizers, text: str = "text") -> DataFrame
 class Aligned:
     """The matrices of some texts laid end to end; every text ends where tokens of both end, so no group crosses texts."""
 
-    def __init__(self, own: TokenPair, a_ids, b_ids):
-        sizes_a, sizes_b = _lengths(own)
+    def __init__(self, own: Tables, a_ids, b_ids):
         a_ids, b_ids = ([np.asarray(x if x is not None else [], np.int64) for x in ids] for ids in (a_ids, b_ids))
-        self.texts = len(a_ids)
+        self.own, self.texts = own, len(a_ids)
         self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
         self.a, self.b = (np.concatenate([*ids, np.zeros(0, np.int64)]) for ids in (a_ids, b_ids))
         self.text_of_a = np.repeat(np.arange(self.texts), self.n_a)
-        self.a_bytes, self.b_bytes = rows_of_sizes(sizes_a[self.a]), rows_of_sizes(sizes_b[self.b])
-        ends_a, ends_b = self.a_bytes.begin[1:], self.b_bytes.begin[1:]
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        self.groups = len(common)
-        self.group_of_a, self.group_of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        self.a_bytes, self.b_bytes = rows_of_sizes(own.bytes_a[self.a]), rows_of_sizes(own.bytes_b[self.b])
+        ends = np.zeros(self.a_bytes.columns + 1, np.uint8)
+        for side, bit in ((self.a_bytes, 1), (self.b_bytes, 2)):
+            ends[side.begin[1:]] += bit
+        common = ends == 3
+        before = np.cumsum(common) - common  # groups that end before an offset
+        self.groups = int(before[-1] + common[-1])
+        self.group_of_a, self.group_of_b = before[self.a_bytes.begin[1:]], before[self.b_bytes.begin[1:]]
 
     def links(self):
         """(token of A, token of B, shared bytes)"""
@@ -204,37 +242,24 @@ class Aligned:
         for x, y, _ in self.links():
             yield self.text_of_a[x], self.a[x] * of_b + self.b[y]
 
-    def listings(self, own: TokenPair) -> list[str]:
+    def listings(self) -> list[str]:
         """Per text its groups, as a1,a2|b1;a3|b2,b3: read off the transposed group-incidence matrices."""
         by_a = transpose(rows_of_owners(self.group_of_a, self.groups)).begin
         by_b = transpose(rows_of_owners(self.group_of_b, self.groups)).begin
-        words_a, words_b = _written(own)
-        out = np.empty(len(self.a) + len(self.b), object)
-        last_a, last_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
-        last_a[by_a[1:] - 1] = 1
-        last_b[by_b[1:] - 1] = 1
+        word_a, word_b = 2 * self.a, 2 * (len(self.own.bytes_a) + self.b)
+        word_a[by_a[1:] - 1] += 1  # the last of its side in a group
+        word_b[by_b[1:] - 1] += 1
         # A token stands behind the tokens of its own side before it, and those of the other side in earlier groups (for B: and in its own).
-        out[np.arange(len(self.a)) + by_b[self.group_of_a]] = words_a[self.a, last_a]
-        out[np.arange(len(self.b)) + by_a[self.group_of_b + 1]] = words_b[self.b, last_b]
-        ends = np.cumsum(self.n_a + self.n_b).tolist()
-        return ["".join(out[end - n:end].tolist())[:-1] for end, n in zip(ends, (self.n_a + self.n_b).tolist())]
+        words = np.empty(len(word_a) + len(word_b), np.int64)
+        words[np.arange(len(word_a)) + by_b[self.group_of_a]] = word_a
+        words[np.arange(len(word_b)) + by_a[self.group_of_b + 1]] = word_b
+        width = self.own.width[words]
+        signs = self.own.written[words][np.arange(self.own.written.shape[1]) < width[:, None]].tobytes().decode("ascii")
+        ends = np.concatenate([[0], np.cumsum(width)])[np.cumsum(self.n_a + self.n_b)].tolist()
+        return [signs[begin:max(end - 1, begin)] for begin, end in zip([0, *ends], ends)]
 
 
-def _lengths(own: TokenPair):
-    if not hasattr(own, "lengths"):
-        own.lengths = tuple(np.array([len(x) for x in table], np.int64) for table in (own.bytes_a, own.bytes_b))
-    return own.lengths
-
-
-def _written(own: TokenPair):
-    """Ids as text with the mark behind them: within a group, and at the end of their side of it."""
-    if not hasattr(own, "written"):
-        own.written = tuple(np.array([[f"{i},", f"{i}{mark}"] for i in range(len(table))], object)
-                            for table, mark in ((own.bytes_a, "|"), (own.bytes_b, ";")))
-    return own.written
-
-
-def _parts(batch: pd.DataFrame, own: TokenPair) -> Iterator[tuple[int, int, Aligned]]:
+def _parts(batch: pd.DataFrame, own: Tables) -> Iterator[tuple[int, int, Aligned]]:
     """Some rows of a batch at a time: (first row, row behind the last, their alignment)."""
     n = [max(len(x) if x is not None else 0, 1) for x in batch["a_ids"]]
     begin = held = 0
@@ -252,7 +277,7 @@ def _parts(batch: pd.DataFrame, own: TokenPair) -> Iterator[tuple[int, int, Alig
 def links(coded: DataFrame, pair: Tokenizers, key: str = "doc_id", shared: bool = False) -> DataFrame:
     """A row per link: key, a_pos, b_pos (token numbers in the text), a_id, b_id, n_bytes; shared-group links have null n_bytes."""
     def find(batches):
-        own = pair()
+        own = pair.tables.value
         for batch in batches:
             for begin, end, aligned in _parts(batch, own):
                 keys = batch["key"].iloc[begin:end].to_numpy()
@@ -268,10 +293,12 @@ def links(coded: DataFrame, pair: Tokenizers, key: str = "doc_id", shared: bool
     return rows.withColumnRenamed("key", key)
 
 
-def pair_counts(coded: DataFrame, pair: Tokenizers, of_b: int) -> DataFrame:
-    """pair (a_id * of_b + b_id), n (links that hold it), best (no pair with its b_id has more); a row per pair of ids."""
+def pair_counts(coded: DataFrame, pair: Tokenizers) -> DataFrame:
+    """pair (a_id * ids of B + b_id), n (links that hold it), best (no pair with its b_id has more); a row per pair of ids."""
+    of_b = pair.of_b
+
     def count(batches):
-        own = pair()
+        own = pair.tables.value
         kept, waiting, size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
 
         def merged():
@@ -305,50 +332,49 @@ NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 SUMMARY = ", ".join(f"{c} long" for c in NUMBERS) + ", listing string"
 
 
-def _summary(aligned: Aligned, own: TokenPair, names, counts, best, of_b: int) -> pd.DataFrame:
+def _summary(aligned: Aligned, names, counts, best) -> pd.DataFrame:
     """Numbers of each text; ``names`` (sorted pairs) hold every pair of the texts."""
     sums = {c: np.zeros(aligned.texts, np.int64) for c in ("n_links", "n_best", "count_sum")}
-    for text, pairs in aligned.pairs(of_b):
+    for text, pairs in aligned.pairs(len(aligned.own.bytes_b)):
         at = np.searchsorted(names, pairs)
         first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         for name, values in (("n_links", np.ones(len(at), np.int64)), ("n_best", best[at].astype(np.int64)), ("count_sum", counts[at])):
             sums[name][text[first]] += np.add.reduceat(values, first)
     groups = np.bincount(aligned.text_of_a[np.append(np.flatnonzero(np.diff(aligned.group_of_a)), len(aligned.a) - 1)],
                          minlength=aligned.texts) if len(aligned.a) else np.zeros(aligned.texts, np.int64)
-    return pd.DataFrame({"n_a": aligned.n_a, "n_b": aligned.n_b, "n_groups": groups, **sums, "listing": aligned.listings(own)})
+    return pd.DataFrame({"n_a": aligned.n_a, "n_b": aligned.n_b, "n_groups": groups, **sums, "listing": aligned.listings()})
 
 
-def summaries(coded: DataFrame, pair: Tokenizers, of_b: int, held: int = HELD_PAIRS) -> DataFrame:
+def summaries(coded: DataFrame, pair: Tokenizers, held: int = HELD_PAIRS) -> DataFrame:
     """Replace the ids by n_a, n_b, n_groups, n_links, n_best, count_sum and the listing of the groups."""
     spark = coded.sparkSession
-    counts = write_through(pair_counts(coded, pair, of_b))
+    counts = write_through(pair_counts(coded, pair))
     rest = [F.col(f"`{c}`") for c in coded.columns if c.lower() not in {"a_ids", "b_ids", "block", "listing", *NUMBERS}]
     if counts.count() > held:
-        return _summaries_by_block(coded, counts, pair, of_b, rest)
+        return _summaries_by_block(coded, counts, pair, rest)
     table = counts.orderBy("pair").toArrow()
     shared = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("pair", "n", "best")))
 
     @F.pandas_udf(SUMMARY)
     def tell(a_ids: pd.Series, b_ids: pd.Series) -> pd.DataFrame:
-        own = pair()
-        parts = [_summary(aligned, own, *shared.value, of_b) for _, _, aligned in _parts(pd.DataFrame({"a_ids": a_ids, "b_ids": b_ids}), own)]
+        batch = pd.DataFrame({"a_ids": a_ids, "b_ids": b_ids})
+        parts = [_summary(aligned, *shared.value) for _, _, aligned in _parts(batch, pair.tables.value)]
         return pd.concat(parts, ignore_index=True)
 
     return coded.select(*rest, tell("a_ids", "b_ids").alias("told")).select(*rest, "told.*")
 
 
-def _summaries_by_block(coded: DataFrame, counts: DataFrame, pair: Tokenizers, of_b: int, rest) -> DataFrame:
+def _summaries_by_block(coded: DataFrame, counts: DataFrame, pair: Tokenizers, rest) -> DataFrame:
     """The same where the counts are too many to send: each block's pairs fetch their counts and meet the texts of the block."""
     def name(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [np.unique(p) for _, _, aligned in _parts(rows, pair()) for _, p in aligned.pairs(of_b)]
+        found = [np.unique(p) for _, _, aligned in _parts(rows, pair.tables.value) for _, p in aligned.pairs(pair.of_b)]
         found = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
         return pd.DataFrame({"block": np.full(len(found), rows["block"].iloc[0]), "pair": found})
 
     def tell(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values("pair")
         table = tuple(known[c].to_numpy() for c in ("pair", "n", "best"))
-        own = pair()
-        parts = [_summary(aligned, own, *table, of_b) for _, _, aligned in _parts(rows, own)]
+        parts = [_summary(aligned, *table) for _, _, aligned in _parts(rows, pair.tables.value)]
         return pd.concat([pd.DataFrame({"row": rows["row"].to_numpy()}), pd.concat(parts, ignore_index=True)], axis=1)
 
     numbered = write_packed(coded.withColumn("row", F.monotonically_increasing_id()))
@@ -361,5 +387,4 @@ def _summaries_by_block(coded: DataFrame, counts: DataFrame, pair: Tokenizers, o
 def align(docs: DataFrame, definition: str, model: bytes, pattern: str | None = None, text: str = "text", held: int = HELD_PAIRS) -> DataFrame:
     """The whole job: replace the text by the numbers and the listing of its groups."""
     pair = Tokenizers(docs.sparkSession, definition, model, pattern)
-    of_b = sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size()
-    return summaries(tokenize(docs, pair, text), pair, of_b, held)
+    return summaries(tokenize(docs, pair, text), pair, held)
