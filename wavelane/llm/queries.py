@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 import corpus_pipeline
-from wavelane.llm import bpe, cover_tree, cross_align, decontaminate, html_text, jaccard_join, langid, licenses, periodic_runs, \
-    token_files, toxicity, url_graph
+from wavelane.llm import bpe, cover_tree, cross_align, decontaminate, exact_topk, html_text, jaccard_join, langid, licenses, \
+    periodic_runs, token_files, toxicity, url_graph
 from wavelane.llm.common import fold, prepare, table
 
 QUERIES: dict = {}
@@ -138,6 +138,25 @@ def op12(spark, sf_dir):
                        F.when(listing == "", "").otherwise(F.sha2(listing.cast("binary"), 256)).alias("groups_sha256"))
 
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+"""
+
+
+@query("op13_exact_topk", OP13_SQL)
+def op13(spark, sf_dir):
+    finite = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(F.coalesce(~finite, F.lit(False))).select(
+        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    best = exact_topk.exact_top_k(rows.where(F.col("vec_id") % 50 == 0), rows)
+    return best.withColumnRenamed("query", "query_id")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
