@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wavelane.runtime import scratch_folder, ship_package
 
 
+BROADCAST_KEYS = 2_000_000  # ids sent to the tasks, about 40 bytes each; more of them are joined by a shuffle
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def prepare(spark: SparkSession) -> None:
-    """Give the workers the package; documents are large rows, so pass 2,000 at a time to Python unless the session says otherwise."""
+def prepare(spark: SparkSession, rows: int = 2_000) -> None:
+    """Give the workers the package; documents are large rows, so pass few at a time to Python unless the session says otherwise."""
     ship_package(spark)
-    if spark.conf.get(BATCH) == "10000":  # Spark's default
-        spark.conf.set(BATCH, "2000")
+    if spark.conf.get(BATCH) in ("10000", getattr(spark, "_wavelane_batch", None)):  # Spark's default, or set here
+        spark._wavelane_batch = str(rows)
+        spark.conf.set(BATCH, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +57,17 @@ def write_packed(df: DataFrame) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
+
+
+def with_keys(df: DataFrame, keys: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+    """Rows whose key is in the table of keys; without moving them while the keys are few."""
+    return df.join(_sized(keys, bound), key, "left_semi").select(*df.columns)
+
+
+def without_keys(df: DataFrame, keys: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+    """Rows whose key is null or not in the table of keys; without moving them while the keys are few."""
+    return df.join(_sized(keys, bound), key, "left_anti").select(*df.columns)
+
+
+def _sized(keys: DataFrame, bound: int | None) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= (BROADCAST_KEYS if bound is None else bound) else keys

@@ -34,9 +34,11 @@ from wavelane.llm.common import write_packed
 from wavelane.runtime import write_through
 
 BLOCK_ROWS = 256
-SLICE = 1 << 20            # products formed at once
+SLICE = 1 << 18            # products formed at once
+CHARS = 1 << 17            # of the texts that are tokenised together
+TOKENS = 1 << 16           # of A, of the texts that are aligned together
 HELD_PAIRS = 4_000_000     # pairs of ids sent to the tasks, 17 bytes each
-PENDING = 1 << 21          # links a task gathers before it counts them
+PENDING = 1 << 19          # links a task gathers before it counts them
 
 _pairs: dict = {}
 
@@ -152,7 +154,7 @@ class TokenPair:
         begin = 0
         while begin < len(at):  # lists of ids take far more room than texts, so some texts at a time
             end, held = begin, 0
-            while end < len(at) and (end == begin or held + len(texts[at[end]]) <= SLICE // 4):
+            while end < len(at) and (end == begin or held + len(texts[at[end]]) <= CHARS):
                 held += len(texts[at[end]])
                 end += 1
             kept = [texts[i] for i in at[begin:end]]
@@ -264,7 +266,7 @@ def _parts(batch: pd.DataFrame, own: Tables) -> Iterator[tuple[int, int, Aligned
     n = [max(len(x) if x is not None else 0, 1) for x in batch["a_ids"]]
     begin = held = 0
     for k, size in enumerate(n):
-        if held and held + size > SLICE // 4:
+        if held and held + size > TOKENS:
             yield begin, k, Aligned(own, batch["a_ids"].iloc[begin:k], batch["b_ids"].iloc[begin:k])
             begin, held = k, 0
         held += size

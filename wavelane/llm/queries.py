@@ -17,11 +17,11 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, batch: int = 2_000):
     def register(fn):
         @wraps(fn)
         def run(spark, sf_dir):
-            prepare(spark)
+            prepare(spark, batch)
             return fn(spark, sf_dir)
         QUERIES[name] = run
         if sql is not None:
@@ -126,7 +126,7 @@ def op11(spark, sf_dir):
                         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
-@query("op12_cross_tokenizer")
+@query("op12_cross_tokenizer", batch=500)
 def op12(spark, sf_dir):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         definition = file.read()
