@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a file of merge ranks.
 
-Short texts are pre-tokenised and encoded where they are. Long ones are cut into overlapping chunks that are pre-tokenised in
+Short texts are encoded where they are. Long ones are cut into overlapping chunks that are pre-tokenised in
 parallel, each from its own first character. Where two neighbours have a common pre-token boundary inside the overlap, both
 scans agree from there on, so the text is cut at that place and the pieces are encoded in parallel. Only boundaries after a
 character that is no white space are used: there the pattern does not look ahead. A text with a seam that does not
@@ -25,7 +25,6 @@ from wavelane.runtime import write_through
 
 CHUNK = 1 << 16    # characters of a chunk; longer texts are cut
 OVERLAP = 1 << 10  # characters that a chunk shares with the next one
-HELD = 200_000     # pieces a worker remembers, about 200 bytes each
 
 _coders: dict = {}
 
@@ -37,34 +36,22 @@ def read_ranks(path: str) -> bytes:
 
 
 class Coder:
-    """Pre-tokens to packed ids, and ids to bytes."""
+    """Texts to packed ids, and ids to bytes."""
 
     def __init__(self, ranks: bytes, pattern: str):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.split = regex.compile(pattern)
+        self.split = regex.compile(pattern)  # for seams only
         self.merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.token = [b""] * (max(table.values(), default=-1) + 1)
+        self.token = np.full(max(table.values(), default=-1) + 1, b"", object)
         for piece, rank in table.items():
             self.token[rank] = piece
-        self.held: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text that begins and ends at pre-token boundaries."""
-        held = self.held
-        if len(held) > HELD:
-            held.clear()
-        out = []
-        for match in self.split.findall(text):
-            packed = held.get(match)
-            if packed is None:
-                packed = np.array(self.merges.encode_ordinary(match), "<u4").tobytes()
-                if len(match) < 64:
-                    held[match] = packed
-            out.append(packed)
-        return b"".join(out)
+        return self.merges.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return b"".join(self.token[np.frombuffer(packed, "<u4")].tolist())
 
     def bounds(self, text: str, begin: int, end: int) -> list[int]:
         """Starts of pre-tokens in [begin, end) that follow a character other than white space."""
