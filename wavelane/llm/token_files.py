@@ -14,6 +14,7 @@ fingerprint happens to agree (1 in 4 billion). An empty table gives an empty ind
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from itertools import chain
@@ -32,6 +33,7 @@ HEAD = b"WLTOKEN1"              # then the id width in bytes, as one little-endi
 SHARD_BYTES = 64 << 20          # a shard is closed once it is larger
 BUCKET_KEYS = 4_096             # mean number of keys of an index bucket
 HELD = 800_000                  # words a worker remembers, about 200 bytes each
+MARK = "~"                      # stands between words that are encoded together
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("n", "<u4")])
 
 _beyond = re.compile("[\u0130\u0250-\U0010ffff]")      # letters whose lower case or normal form depends on more than one character
@@ -40,14 +42,36 @@ _control = re.compile("[\x1c-\x1f]")  # blanks for Python's split, not for the t
 _coders: dict = {}
 
 
+# How the definition must cut texts for the word rules to hold (Latin letters in lower case, no token over a blank).
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_words(definition: str) -> bool:
+    """True where the definition cuts texts at white space as the word rules take for granted."""
+    described = json.loads(definition)
+    normal, before = described.get("normalizer") or {}, described.get("pre_tokenizer") or {}
+    first, *rest = before.get("pretokenizers") or [{}]
+    return (normal.get("normalizers") == WORD_NORMALIZERS and first.get("pattern") == {"Regex": WORD_SPLIT}
+            and first.get("behavior") == "Removed" and first.get("invert") is True
+            and [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+            and not described["model"].get("dropout") and not any(set(t["content"]) & set(" \t\n") or t["lstrip"] or t["rstrip"] or t["normalized"]
+                                                                  for t in described.get("added_tokens", [])))
+
+
 class WordCoder:
-    """Ids of whole texts from a tokenizer whose pre-tokens never hold white space; encodes each new word once."""
+    """Ids of whole texts; where the tokenizer's pre-tokens never hold white space, each new word is encoded once and remembered."""
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.held: dict[str, bytes] = {}
+        self.by_word = cuts_words(definition)
+        # Young words, and those seen before them: when the young are many they become the old ones, so words in use stay.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.type).tobytes()
@@ -69,26 +93,45 @@ class WordCoder:
                 text = text.replace(", ", " , ").replace(". ", " . ")
         return text.split()
 
+    def encode_new(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: many words in one text with a mark between them, one by one where a word holds the mark too."""
+        out, width = [], self.type.itemsize
+        parts = [words[at:at + 256] for at in range(0, len(words), 256)]
+        joined = self.tokenizer.encode_batch_fast([f" {MARK} ".join(p) for p in parts], add_special_tokens=False) if self.mark is not None \
+            else [None] * len(parts)
+        for part, found in zip(parts, joined):
+            ids = np.array(found.ids, self.type) if found is not None else None
+            ends = np.flatnonzero(ids == self.mark).tolist() if ids is not None else []
+            if len(ends) == len(part) - 1:
+                packed = ids.tobytes()
+                out += [packed[begin * width:end * width] for begin, end in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
+            else:
+                out += [self.pack(f.ids) for f in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
     def encode(self, texts) -> list[bytes]:
-        held = self.held
-        if len(held) > HELD:
-            held.clear()
+        if not self.by_word:
+            return [self.pack(f.ids) for f in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if len(self.young) > HELD // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         split = [self.words(t) for t in texts]
         flat = list(chain.from_iterable(split))
-        packed = list(map(held.get, flat))
+        packed = list(map(young.get, flat))
         new = {}
-        for at, found in enumerate(packed):
-            if found is None:
-                new.setdefault(flat[at], []).append(at)
+        for at in [at for at, found in enumerate(packed) if found is None]:
+            word = flat[at]
+            known = old.get(word)
+            if known is None:
+                new.setdefault(word, []).append(at)
+            else:
+                packed[at] = young[word] = known
         fresh = list(new)
-        for begin in range(0, len(fresh), 4_096):
-            part = fresh[begin:begin + 4_096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = self.pack(found.ids)
-                for at in new[word]:
-                    packed[at] = ids
-                if len(word) < 64:
-                    held[word] = ids
+        for word, ids in zip(fresh, self.encode_new(fresh)):
+            for at in new[word]:
+                packed[at] = ids
+            if len(word) < 64:
+                young[word] = ids
         ends = np.cumsum([len(words) for words in split]).tolist()
         return [b"".join(packed[end - len(words):end]) for words, end in zip(split, ends)]
 
