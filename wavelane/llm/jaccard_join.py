@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wavelane.llm.common import partitions
+from wavelane.llm.common import partitions, with_keys, without_keys
 from wavelane.llm.components import components, local_roots
 from wavelane.llm.shingles import WORDS, groups, shingle_set
 from wavelane.runtime import write_through
@@ -227,7 +227,7 @@ def classes_and_links(docs: DataFrame, threshold: float = 0.8, words: int = WORD
     # Exact comparison inside the groups of likely copies.
     sizes = candidates.join(reps.select("node", "size"), "node").groupBy("root").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("points"))
-    grouped = candidates.join(sizes, "root").join(reps.select("node", "key", "hi", "lo", "copies"), "node")
+    grouped = write_through(candidates.join(sizes, "root").join(reps.select("node", "key", "hi", "lo", "copies"), "node"))
 
     def load(batches):
         for batch in batches:
@@ -240,7 +240,9 @@ def classes_and_links(docs: DataFrame, threshold: float = 0.8, words: int = WORD
                     out.append((r.root, r.n, r.points, r.node, r.copies, s.tobytes()))
             yield pd.DataFrame(out, columns=["root", "n", "points", "node", "copies", "shingles"])
 
-    texts = rows.where(F.col("key").isNotNull()).join(grouped, "key").select("root", "n", "points", "node", "copies", "hi", "lo", "text")
+    # Texts of the grouped keys only are shuffled.
+    wanted = with_keys(rows.where(F.col("key").isNotNull()), grouped.select("key").distinct(), "key")
+    texts = wanted.join(grouped, "key").select("root", "n", "points", "node", "copies", "hi", "lo", "text")
     loaded = texts.mapInPandas(load, "root long, n long, points long, node long, copies long, shingles binary")
     blocks = F.greatest(F.ceil(F.col("n") / EXACT_BLOCK), F.ceil(F.col("points") / EXACT_POINTS))
     found = write_through(_deal(loaded, blocks, ["root"]).select("root", "i", "j", "side", "node", "copies", "shingles")
@@ -262,8 +264,12 @@ def classes_and_links(docs: DataFrame, threshold: float = 0.8, words: int = WORD
 def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, that of the smallest id; columns as they were. Rows without an id stay. An id is one document."""
     found = classes_and_links(docs, threshold, words, key=key, text=text)
-    kept = write_through(found.where("key = class_id").groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
-    rows = docs.join(kept.select(F.col("key").alias(key)), key, "left_semi").select(*docs.columns)
-    if not kept.where("rows > 1").isEmpty():
-        rows = rows.dropDuplicates([key, text])
-    return rows.unionByName(docs.where(F.col(key).isNull()))
+    # A key with rows both of its own class and of another one is kept, so the keys that go have none of their own.
+    keys = write_through(found.where(F.col("key").isNotNull()).groupBy("key").agg(
+        F.count(F.when(F.col("key") == F.col("class_id"), 1)).alias("own")))
+    rows = without_keys(docs, keys.where("own = 0").select(F.col("key").alias(key)), key)
+    if keys.where("own > 1").isEmpty():
+        return rows
+    repeated = keys.where("own > 1").select(F.col("key").alias(key))
+    once = with_keys(rows, repeated, key).dropDuplicates([key, text])
+    return without_keys(rows, repeated, key).unionByName(once)
