@@ -263,3 +263,52 @@ def test_gak():
         return k[-1, -1]
     want = raw(a[0], b[0]) / np.sqrt(raw(a[0], a[0]) * raw(b[0], b[0]))
     assert B.gak_similarity([a[0]], [b[0]], sigma=s)[0, 0] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("metric,on_short", [("znorm", "swap"), ("corr", "inf")])
+def test_closest_windows_equal_ragged_match(metric, on_short, monkeypatch):
+    rng = np.random.default_rng(12)
+    lists = [rng.normal(size=int(rng.integers(3, 40))) * 10.0 ** rng.integers(-6, 6) + 10.0 ** rng.integers(-3, 4) for _ in range(40)]
+    lists += [np.full(12, 3.0), np.concatenate([np.zeros(9), rng.normal(size=9)]), np.arange(20.0), lists[0], 2 * lists[1] + 1, np.zeros(0)]
+    pool = kernels.Ragged.from_lists(lists)
+    monkeypatch.setattr(kernels, "SEARCH_CELLS", 4096)
+    for limit in (8192, 15):  # with the second, longer series are matched one by one
+        monkeypatch.setattr(kernels, "LONG_SERIES", limit)
+        for length in (4, 9):
+            cand = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, length) for x in lists if len(x) >= length])
+            got = E._distances(cand, kernels.Windows(pool, length, 64), metric, on_short)
+            want = kernels.ragged_match(pool, kernels.Ragged(cand.reshape(-1), np.full(len(cand), length)), metric, on_short)[0].T
+            assert (np.isinf(got) == np.isinf(want)).all()
+            assert np.allclose(got[np.isfinite(got)], want[np.isfinite(want)], rtol=1e-9, atol=1e-7)
+            assert (got[want == 0] < 1e-9).all()
+
+
+def test_gain_bounds_enclose_the_best_gain():
+    rng = np.random.default_rng(3)
+    for classes, n in ((2, 30), (4, 200), (10, 1000), (3, 2)):
+        label = rng.integers(0, classes, n)
+        dist = np.abs(rng.normal(size=(50, n))) + 0.3 * label * rng.random((50, 1))
+        dist[:5] = np.round(dist[:5])
+        dist[5, : n // 2] = np.inf
+        dist[6] = 1.0
+        counts = kernels.distance_histograms(dist, label, classes, 4.0, 9)
+        assert (counts.sum(axis=(1, 2)) == n).all()
+        low, up = kernels.gain_bounds(counts)
+        gain = kernels.split_scores(dist, label, classes)[0]
+        assert (low <= gain + 1e-9).all() and (gain <= up + 1e-9).all()
+
+
+def test_block_search_keeps_what_can_win(spark, series_of, monkeypatch):
+    """Several blocks of series: the counts add up, few windows go on, and the n best of every group are among them."""
+    rng = np.random.default_rng(21)
+    rows = [(i, i % 3, np.cumsum(rng.normal(size=int(rng.integers(5, 24))))) for i in range(60)]
+    series = series_of(rows).withColumn("run", F.col("series_id") % 2)
+    for fast in (False, True):
+        for by in (None, "run"):
+            full = E.score_windows_shared(series, [5, 8], fast, 9, by)
+            keys = ([by] if by else []) + ["series_id", "start", "length"]
+            ranked = full.where(F.col("gain") > -1).toPandas().sort_values("gain", ascending=False)
+            want = ranked.groupby(by).head(7) if by else ranked.head(7)
+            likely = E.likely_windows(series, [5, 8], fast, 7, 9, by, block=16).toPandas()
+            assert set(map(tuple, want[keys].to_numpy().tolist())) <= set(map(tuple, likely[keys].to_numpy().tolist()))
+            assert len(likely) < full.count()

@@ -289,3 +289,114 @@ def window_correlations(x: np.ndarray, y: np.ndarray, l: int) -> np.ndarray:
     corr[flat_x] = 0.0
     corr[:, flat_y] = 0.0
     return np.minimum(1.0, corr)
+
+
+# ---- window search: many candidates of one length against all windows of that length ------------------------------------------
+
+SEARCH_CELLS = 512 * 1024  # products formed at once; small enough to stay in a core's cache
+NEAR = 1e-4                # correlations this close to 1 are measured from the differences
+LONG_SERIES = 8 * 1024     # windows of a series that are held at once
+BUCKETS = 128              # of a distance histogram
+
+
+class Windows:
+    """The normalised windows of one length of a pool of series, some series at a time; kept if they are few.
+
+    ``others`` are the series that are shorter, or too long to be held.
+    """
+
+    def __init__(self, pool: Ragged, length: int, candidates: int = 512):
+        self.pool, self.length = pool, length
+        counts = pool.lengths - length + 1
+        self.fits, self.others = np.flatnonzero((counts > 0) & (counts <= LONG_SERIES)), np.flatnonzero((counts <= 0) | (counts > LONG_SERIES))
+        room = max(SEARCH_CELLS // candidates, 1)
+        ends = np.cumsum(pool.lengths[self.fits] - length + 1)
+        runs = np.searchsorted(ends, np.arange(room, (ends[-1] if len(ends) else 0) + room, room), "right")
+        self.cuts = np.unique(np.concatenate([[0], runs, [len(self.fits)]])).astype(int)
+        self.kept = [None] * (len(self.cuts) - 1) if len(ends) and ends[-1] * length <= 2 * BLOCK_CELLS else None
+
+    def _run(self, rows: np.ndarray):
+        counts = self.pool.lengths[rows] - self.length + 1
+        starts = np.cumsum(counts) - counts
+        first = np.repeat(self.pool.starts[rows], counts) + np.arange(counts.sum()) - np.repeat(starts, counts)
+        windows = z_norm(self.pool.flat[first[:, None] + np.arange(self.length)])
+        return rows, starts, windows, windows.any(axis=1)
+
+    def __iter__(self):
+        for k, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])):
+            run = self.kept[k] if self.kept is not None else None
+            if run is None:
+                run = self._run(self.fits[a:b])
+                if self.kept is not None:
+                    self.kept[k] = run
+            yield run
+
+
+def closest_windows(candidates: np.ndarray, windows: Windows, metric: str) -> np.ndarray:
+    """Distances (k, series) of normalised candidates to their closest window in every series held; inf for others.
+
+    ``corr``: sqrt(2(1 - correlation)); ``znorm``: Euclidean distance of the normalised windows. One matrix product per run of
+    series gives all correlations; the closest window has the largest. Near 1 a product loses digits, so there the windows
+    within its rounding bound are measured from the differences.
+    """
+    k, l = candidates.shape
+    out = np.full((len(windows.pool), k), np.inf)
+    varied = candidates.any(axis=1)
+    for rows, starts, held, moving in windows:
+        dots = held @ candidates.T
+        for row, a, b in zip(rows, starts, np.append(starts[1:], len(held))):
+            part = dots[a:b]
+            top = part.max(axis=0)
+            flat = not moving[a:b].all()
+            if metric == "corr":
+                square = 2.0 * (1.0 - np.minimum(top / l, 1.0))
+            else:
+                square = 2.0 * (l - np.minimum(top, l))
+                if flat:
+                    square = np.where(varied, np.minimum(square, l), 0.0)
+                elif not varied.all():
+                    square[~varied] = l
+            near = np.flatnonzero((top >= l * (1.0 - NEAR)) & varied)
+            if len(near):
+                v, j = np.nonzero(part[:, near] >= top[near] - 1e-9 * l)
+                gap = held[a + v] - candidates[near[j]]
+                least = np.full(len(near), np.inf)
+                np.minimum.at(least, j, np.einsum("ij,ij->i", gap, gap))
+                square[near] = least / l if metric == "corr" else least
+            out[row] = square
+    return np.sqrt(np.maximum(out, 0.0)).T
+
+
+def distance_histograms(dist: np.ndarray, label: np.ndarray, classes: int, largest: float, digits: int) -> np.ndarray:
+    """Counts (k, buckets, classes) of rounded distances; the last bucket holds what exceeds ``largest``, inf among them."""
+    k, n = dist.shape
+    bucket = np.minimum(np.round(dist, digits) * (BUCKETS / largest), BUCKETS).astype(np.int64)
+    cell = (np.arange(k)[:, None] * (BUCKETS + 1) + bucket) * classes + label[None, :]
+    return np.bincount(cell.reshape(-1), minlength=k * (BUCKETS + 1) * classes).reshape(k, BUCKETS + 1, classes)
+
+
+def _n_log_n(n: np.ndarray) -> np.ndarray:
+    return n * np.log(np.maximum(n, 1))
+
+
+def gain_bounds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, up) of the best information gain of each histogram (k, buckets, classes) of class counts by distance.
+
+    Between two buckets the counts on both sides are known, so those gains are reached. A split inside a bucket tells less
+    than the parts left of it, right of it and each class inside it would, so that is an upper bound.
+    """
+    counts = counts.astype(np.float64)
+    left = np.cumsum(counts, axis=1)
+    total = left[:, -1:, :]
+    n = total.sum(axis=2)
+
+    def impurity(c):  # rows times entropy
+        return _n_log_n(c.sum(axis=2)) - _n_log_n(c).sum(axis=2)
+
+    prior, below, above = impurity(total), impurity(left), impurity(total - left)
+    size = left.sum(axis=2)
+    parted = (size > 0) & (size < n)
+    low = np.where(parted, prior - below - above, -np.inf).max(axis=1) / np.maximum(n[:, 0], 1)
+    before = np.concatenate([np.zeros_like(below[:, :1]), below[:, :-1]], axis=1)
+    inside = np.where(counts.sum(axis=2) > 0, prior - before - above, -np.inf)
+    return low, inside.max(axis=1) / np.maximum(n[:, 0], 1)

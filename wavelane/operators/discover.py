@@ -2,8 +2,9 @@
 
 Each search returns (series_id, start, length, score columns, values), best first. If the
 series pass a size check they are shipped to every task, which scores its own candidates
-completely: only one row per candidate leaves a task. Larger collections go through
-the block distance join and the two-level split search.
+completely and leaves out those whose bound cannot reach its n best. Larger collections are
+searched block against block: class histograms of distances bound every gain, and only
+windows that can still win go through the distance join and the split search.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wavelane.functions import kernels
 from wavelane.operators import distance as D, metrics as M, prep as P, ranking as R, symbolic as S, windows as W
-from wavelane.runtime import fits_broadcast, table_size
+from wavelane.runtime import attach_row, fits_broadcast, table_size, write_through
 
-CANDIDATE_BLOCK = 1024
+CANDIDATES = 512        # candidates of one length that are scored together
+SERIES_BLOCK = 4_096    # series of a block beyond the size check
 SCORES = {"ig": ("gain", "gap")}
 
 
@@ -62,11 +65,39 @@ def _spread_tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(tasks, "series_id")
 
 
+def _distances(cand: np.ndarray, windows: kernels.Windows, metric: str, on_short: str) -> np.ndarray:
+    """Distances (k, series) of raw candidate windows to a pool; series that are shorter or very long are matched one by one."""
+    dist = kernels.closest_windows(kernels.z_norm(cand), windows, metric)
+    pool, others = windows.pool, windows.others
+    if len(others):
+        few = kernels.Ragged.from_lists([pool.flat[a:a + n] for a, n in zip(pool.starts[others], pool.lengths[others])])
+        same = kernels.Ragged(cand.reshape(-1), np.full(len(cand), cand.shape[1]))
+        dist[:, others] = kernels.ragged_match(few, same, metric, on_short)[0].T
+    return dist
+
+
+def _largest(metric: str, length: int) -> float:
+    """What no distance of windows of this length exceeds."""
+    return 2.0 if metric == "corr" else 2.0 * length ** 0.5
+
+
+def _candidates(own: kernels.Ragged, rows: np.ndarray, length: int):
+    """Windows of one length of the rows, some at a time: (row of each, start of each, windows)."""
+    rows = rows[own.lengths[rows] >= length]
+    counts = own.lengths[rows] - length + 1
+    row = np.repeat(rows, counts)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    for a in range(0, len(row), CANDIDATES):
+        r, s = row[a:a + CANDIDATES], start[a:a + CANDIDATES]
+        yield r, s, own.flat[(own.starts[r] + s)[:, None] + np.arange(length)]
+
+
 def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digits: int = 9,
-                         by: str | None = None) -> DataFrame:
+                         by: str | None = None, n: int | None = None) -> DataFrame:
     """Gain of every window, computed beside a shared copy of all (size-checked) series.
 
-    With ``by``, windows meet only the series of their own group.
+    With ``by``, windows meet only the series of their own group. With ``n``, windows whose bound stays below the n-th best gain
+    that the same task has found in the group are left out: they cannot be among the n best.
     """
     encoded = P.encode_labels(series)
     groups = _shared_series(encoded, by)
@@ -89,38 +120,99 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
             + [pa.array(np.full(len(starts), length, np.int32)), pa.array(starts.astype(np.int32))]
             + [pa.array(s) for s in scores], names=names)
 
-    def by_length(batch, own, rows, label, pool):
-        for n, at in kernels.ragged_groups(own.lengths[rows]):
-            part_rows = rows[at]
-            for length in lengths:
-                if length > n:
-                    continue
-                count = n - length + 1
-                # distances of one step: candidates x series of the group
-                step = max(1, min(CANDIDATE_BLOCK, kernels.BLOCK_CELLS // max(len(pool), 1)) // count)
-                for a in range(0, len(part_rows), step):
-                    part = part_rows[a:a + step]
-                    cand = np.lib.stride_tricks.sliding_window_view(
-                        own.block(part, n), length, axis=1).reshape(-1, length)
-                    shapelets = kernels.Ragged(cand.reshape(-1), np.full(len(cand), length))
-                    dist = kernels.ragged_match(pool, shapelets, metric, on_short)[0].T
-                    yield emit(batch, np.repeat(part, count), length, np.tile(np.arange(count), len(part)),
-                               kernels.split_scores(dist, label, classes, digits))
-
     def run(batches):
         groups = shared.value
+        held: dict = {}   # windows of the pool, by group and length
+        best: dict = {}   # the n best gains of a group so far
         for batch in batches:
             own = kernels.Ragged.from_arrow(batch.column("values"))
             keys = np.array(batch.column(by).to_pylist()) if by else np.zeros(len(own), dtype=int)
             for g in np.unique(keys):
                 label, pool = groups[g.item()]
-                yield from by_length(batch, own, np.flatnonzero(keys == g), label, pool)
+                for length in lengths:
+                    if (g, length) not in held:
+                        held = {k: w for k, w in held.items() if k[0] == g}  # batches are in no order of groups, so keep one
+                        held[g, length] = kernels.Windows(pool, length, CANDIDATES)
+                    for rows, starts, cand in _candidates(own, np.flatnonzero(keys == g), length):
+                        dist = _distances(cand, held[g, length], metric, on_short)
+                        top = best.get(g, np.zeros(0))
+                        if n is not None and len(top) >= n:
+                            counts = kernels.distance_histograms(dist, label, classes, _largest(metric, length), digits)
+                            may = np.flatnonzero(kernels.gain_bounds(counts)[1] >= top[-1] - 10.0 ** -digits)
+                            rows, starts, dist = rows[may], starts[may], dist[may]
+                        scores = kernels.split_scores(dist, label, classes, digits)
+                        if n is not None:
+                            best[g] = -np.sort(-np.append(top, scores[0][np.isfinite(scores[0])]))[:n]
+                        yield emit(batch, rows, length, starts, scores)
 
     rows = sum(len(y) for y, _ in groups.values())
     own = series.select(*lead, "series_id", F.col("values").cast("array<double>").alias("values"))
     return _spread_tasks(own, rows).mapInArrow(run, schema)
 
 
+def likely_windows(series: DataFrame, lengths: list[int], fast: bool, n: int, digits: int = 9, by: str | None = None,
+                   block: int = SERIES_BLOCK) -> DataFrame:
+    """Windows that can be among the n best by gain, for series beyond the size check: (by, series_id, start, length).
+
+    Series are hashed to blocks, and each pair of blocks counts the distances of its windows by bucket and class. The counts of
+    a window are added up over all blocks, so what leaves a block does not grow with its series, and bound the window's
+    best gain from both sides. Windows whose upper bound stays below the n-th largest lower bound are out.
+    """
+    lead = [by] if by else []
+    metric, on_short = ("corr", "inf") if fast else ("znorm", "swap")
+    encoded = P.encode_labels(series).select(*lead, "series_id", "label_index", F.col("values").cast("array<double>").alias("values"))
+    facts = encoded.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("values")).alias("points"), F.max("label_index").alias("label")).first()
+    classes = (facts["label"] or 0) + 1
+    blocks = max(1, -(-facts["n"] // block), -(-(facts["points"] or 0) // D.BLOCK_POINTS))
+    hashed = encoded.withColumn("_b", F.pmod(F.xxhash64("series_id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    sources = hashed.withColumn("_p", every)
+    # aliases keep both sides apart
+    pools = hashed.select(*[F.col(c).alias("_p" if c == "_b" else c) for c in hashed.columns]).withColumn("_b", every)
+    keys = [*lead, "_b", "_p"]
+    id_fields = [series.schema[c] for c in (*lead, "series_id")]
+    counted = T.StructType(id_fields + [T.StructField("length", T.IntegerType()), T.StructField("start", T.IntegerType()),
+                                        T.StructField("counts", T.BinaryType())])
+    counted_arrow = to_arrow_schema(counted)
+
+    def count(left, right):
+        own, pool = (kernels.Ragged.from_arrow(t.column("values")) for t in (left, right))
+        label = right.column("label_index").to_numpy().astype(np.int64)
+        out = []
+        for length in lengths if len(pool) else ():
+            windows = kernels.Windows(pool, length, CANDIDATES)
+            for rows, starts, cand in _candidates(own, np.arange(len(own)), length):
+                counts = kernels.distance_histograms(_distances(cand, windows, metric, on_short), label, classes, _largest(metric, length), digits)
+                packed = counts.astype("<i4").reshape(len(rows), -1)
+                out.append(pa.Table.from_arrays(
+                    [left.column(c).take(pa.array(rows)) for c in (*lead, "series_id")]
+                    + [pa.array(np.full(len(rows), length, np.int32)), pa.array(starts.astype(np.int32)), pa.array([c.tobytes() for c in packed], pa.binary())],
+                    schema=counted_arrow))
+        return pa.concat_tables(out) if out else counted_arrow.empty_table()
+
+    bounded = T.StructType(counted.fields[:-1] + [T.StructField("low", T.DoubleType()), T.StructField("up", T.DoubleType())])
+    bounded_arrow = to_arrow_schema(bounded)
+
+    def bound(table):
+        start = table.column("start").to_numpy()
+        names, at = np.unique(start, return_inverse=True)
+        total = np.zeros((len(names), (kernels.BUCKETS + 1) * classes), np.int64)
+        np.add.at(total, at, np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4").reshape(len(start), -1))
+        low, up = kernels.gain_bounds(total.reshape(len(names), -1, classes))
+        first = pa.array(np.unique(at, return_index=True)[1])
+        return pa.Table.from_arrays([table.column(c).take(first) for c in (*lead, "series_id", "length", "start")] + [pa.array(low), pa.array(up)],
+                                    schema=bounded_arrow)
+
+    counts = sources.groupBy(*keys).cogroup(pools.groupBy(*keys)).applyInArrow(count, counted)
+    bounds = write_through(counts.groupBy(*lead, "series_id", "length").applyInArrow(bound, bounded))
+    best = bounds.withColumn("_r", F.row_number().over(Window.partitionBy(*lead).orderBy(F.desc("low")))).where(F.col("_r") <= n) \
+        if by else bounds.orderBy(F.desc("low")).limit(n)
+    floors = best.groupBy(*lead).agg(F.when(F.count(F.lit(1)) == n, F.min("low")).alias("_floor"))
+    # One row per group, or a single one.
+    near = bounds.join(F.broadcast(floors), by) if by else attach_row(bounds, floors)
+    return near.where(F.col("_floor").isNull() | (F.col("up") >= F.col("_floor") - 10.0 ** -digits)).select(*lead, "series_id", "start", "length")
+
+
 def candidate_distances(series: DataFrame, candidates: DataFrame, metric: str = "znorm", on_short: str = "swap",
                         by: str | None = None, broadcast_points: int | None = None) -> DataFrame:
     """(by, series_id, start, length, label, dist) of candidate windows to all series of their group."""
@@ -159,9 +251,14 @@ def _finish(series: DataFrame, scored: DataFrame, n: int, metric: str, by: str |
 def _discover(series, lengths, n, metric, fast, digits, broadcast_points, by=None):
     rows, points = table_size(series)
     if metric == "ig" and fits_broadcast(rows, points, broadcast_points):
-        scored = score_windows_shared(series, lengths, fast, digits, by)
+        scored = score_windows_shared(series, lengths, fast, digits, by, n)
     else:
-        candidates = W.subseries(series, lengths, keep=(by,) if by else ())
+        if metric == "ig":
+            likely = write_through(likely_windows(series, lengths, fast, n, digits, by))
+            candidates = likely.join(series.select(*([by] if by else []), "series_id", F.col("values").alias("_v")), [*([by] if by else []), "series_id"]) \
+                .select(*([by] if by else []), "series_id", "start", "length", F.slice("_v", F.col("start") + 1, F.col("length")).alias("values"))
+        else:
+            candidates = W.subseries(series, lengths, keep=(by,) if by else ())
         scored = score_candidates(series, candidates, metric, "corr" if fast else "znorm", digits,
                                   "inf" if fast else "swap", by, broadcast_points)
     return _finish(series, scored, n, metric, by)
