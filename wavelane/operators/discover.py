@@ -48,7 +48,7 @@ def _shared_series(series: DataFrame, by: str | None):
     """Label indices and values of all (size-checked) series, per group."""
     key = F.col(by) if by else F.lit(0)
     table = series.select(key.alias("g"), "label_index", F.col("values").cast("array<double>").alias("values")).orderBy("g").toArrow()
-    keys, label = table.column("g").to_numpy(), table.column("label_index").to_numpy().astype(np.int64)
+    keys, label = np.array(table.column("g").to_pylist()), table.column("label_index").to_numpy().astype(np.int64)
     pool = kernels.Ragged.from_arrow(table.column("values"))
     groups = {}
     for g in np.unique(keys):

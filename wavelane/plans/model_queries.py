@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from wavelane.functions import breeding as B
 from wavelane.ml import classifiers as C
-from wavelane.ml.estimators import GeneticShapelets, ShapeletModel, ShapeletTransformer
+from wavelane.ml.estimators import GeneticShapelets, ShapeletModel, ShapeletTransformer, ShapeletTreeClassifier
 from wavelane.operators import distance as D, evolve as V, fitness as Fit, prep as P, ranking as R, reports as Z, tree as T
 from wavelane.plans.distance_queries import RAW, _emb
 from wavelane.plans.metric_queries import DIST, FOUND, SEARCH_LENGTHS, candidates_sql, distances, splits_sql
-from wavelane.plans.registry import EMB, EMB_POOL, PARTS, draw_key_sql, query, uniform_sql
+from wavelane.plans.registry import EMB, EMB_POOL, PARTS, USERS, draw_key_sql, query, uniform_sql
 from wavelane.plans.series_queries import label_mean_pairs
 from wavelane.runtime import attach_row, scratch_folder
 from wavelane.sources import pools, tables
@@ -287,15 +288,15 @@ def discover_swarm(spark, folder):
     return shapelet_points(V.discover_swarm(tables.emb_series(spark, folder), particles=6, iterations=2, seed=3).shapelets)
 
 
-@query("shapelet_transformer", f"""WITH {EMB}, {candidates_sql('emb', [63])}, {splits_sql('cand, start, length')},
-pick AS (SELECT row_number() OVER (ORDER BY gain DESC, gap DESC, cand DESC, start DESC) - 1 AS slot, cand, start, length FROM best
+@query("shapelet_transformer", f"""WITH {USERS}, {candidates_sql('users', SEARCH_LENGTHS)}, {splits_sql('cand, start, length')},
+pick AS (SELECT row_number() OVER (ORDER BY gain DESC, gap DESC, cand DESC, start DESC, length DESC) - 1 AS slot, cand, start, length FROM best
   ORDER BY slot LIMIT 3),
-s AS (SELECT slot, v[start + 1:start + length] AS s FROM pick JOIN emb ON cand = series_id)
-SELECT series_id, slot, round(list_min(list_transform(range(0, len(v) - len(s) + 1), lambda k: list_distance(v[k+1:k+len(s)], s))), 6) AS x FROM emb, s""")
+s AS (SELECT slot, v[start + 1:start + length] AS s FROM pick JOIN users ON cand = series_id)
+SELECT series_id, slot, round(list_min(list_transform(range(0, len(v) - len(s) + 1), lambda k: list_distance(v[k+1:k+len(s)], s))), 6) AS x FROM users, s""")
 def shapelet_transformer(spark, folder):
-    """Fit by exhaustive search over one length, then the raw distance features."""
-    series = tables.emb_series(spark, folder)
-    model = ShapeletTransformer(method="exhaustive", nShapelets=3, options={"lengths": [63], "digits": 6}).fit(series)
+    """Fit by exhaustive search over real lengths, then the raw distance features."""
+    series = tables.user_series(spark, folder).persist()  # read several times: built from the events once
+    model = ShapeletTransformer(method="exhaustive", nShapelets=3, options={"lengths": SEARCH_LENGTHS, "digits": 6}).fit(series)
     from pyspark.ml.functions import vector_to_array
     out = model.transform(series).select("series_id", F.posexplode(vector_to_array("features")).alias("slot", "x"))
     return out.select("series_id", F.col("slot").cast("long").alias("slot"), F.round("x", 6).alias("x"))
@@ -315,26 +316,40 @@ def transform(spark, folder):
         "series_id", F.col("slot").cast("long").alias("slot"), F.round("x", 6).alias("x"))
 
 
-# One split by the best window of 63 points: both leaves with their class shares.
-TREE1 = f"""{EMB}, {candidates_sql('emb', [63])}, {splits_sql('cand, start, length')},
-root AS (SELECT * FROM best ORDER BY gain DESC, gap DESC, cand DESC, start DESC LIMIT 1),
-sided AS (SELECT other AS series_id, d.label, (2 + (d.dist > threshold)::INT)::BIGINT AS node_id FROM dist d
-  JOIN root r ON d.cand = r.cand AND d.start = r.start),
-counted AS (SELECT node_id, label AS class, count(*) AS n FROM sided GROUP BY ALL),
-shares AS (SELECT *, n / sum(n) OVER (PARTITION BY node_id) AS p FROM counted),
-leaf AS (SELECT node_id, arg_max(class, (n, -class)) AS prediction FROM shares GROUP BY node_id)"""
+# Two levels of splits by windows of real lengths on the users' series. Distances do not depend on the node, so the second
+# level reads the same table between series of one node.
+def renamed(sql, tail):
+    """The split search over other tables: its CTE names with a tail."""
+    return re.sub(r"\b(cnt|steps|labs|wide|grid|runs|ent|cum|splits|best)\b", lambda found: found[0] + tail, sql)
 
 
-def tree1(spark, folder):
-    series = tables.emb_series(spark, folder)
-    return series, T.fit_tree(series, max_depth=1, lengths=[63], digits=6)
+ORDER = "ORDER BY gain DESC, gap DESC, cand DESC, start DESC, length DESC"
+TREE2 = f"""{USERS}, classes AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS class FROM (SELECT DISTINCT label FROM users)),
+{candidates_sql('users', SEARCH_LENGTHS).replace('dist AS (', 'dist AS MATERIALIZED (')}, {splits_sql('cand, start, length')},
+root AS (SELECT * FROM best {ORDER} LIMIT 1),
+one AS (SELECT d.other AS series_id, d.label, (2 + (d.dist > threshold)::INT)::BIGINT AS node FROM dist d JOIN root USING (cand, start, length)),
+mixed AS (SELECT node FROM one GROUP BY node HAVING count(DISTINCT label) > 1),
+near AS MATERIALIZED (SELECT a.node, d.* FROM dist d JOIN one a ON d.cand = a.series_id JOIN one b ON d.other = b.series_id AND a.node = b.node
+  JOIN mixed ON mixed.node = a.node),
+{renamed(splits_sql('node, cand, start, length', 'near'), '2')},
+pick AS (SELECT * FROM best2 QUALIFY row_number() OVER (PARTITION BY node {ORDER}) = 1),
+two AS (SELECT d.other AS series_id, d.label, (2 * d.node + (d.dist > threshold)::INT)::BIGINT AS node FROM near d JOIN pick USING (node, cand, start, length)),
+placed AS (SELECT * FROM two UNION ALL SELECT * FROM one WHERE node NOT IN (SELECT node FROM pick)),
+shares AS (SELECT *, n / sum(n) OVER (PARTITION BY node) AS p FROM (SELECT node, class, count(*) AS n FROM placed JOIN classes USING (label) GROUP BY ALL)),
+leaf AS (SELECT node, arg_max(class, (n, -class)) AS prediction FROM shares GROUP BY node)"""
+
+
+def tree2(spark, folder):
+    series = tables.user_series(spark, folder).persist()  # read on every level: built from the events once
+    return series, T.fit_tree(series, max_depth=2, lengths=SEARCH_LENGTHS, digits=6)
 
 
-@query("tree_fit", f"""WITH {TREE1}
-SELECT 1::BIGINT AS node_id, 0 AS depth, threshold, false AS is_leaf FROM root
-UNION ALL SELECT DISTINCT node_id, 1, NULL, true FROM sided""")
+@query("tree_fit", f"""WITH {TREE2}
+SELECT 1::BIGINT AS node_id, 0 AS depth, round(threshold, 8) AS threshold, false AS is_leaf FROM root
+UNION ALL SELECT node, 1, round(threshold, 8), false FROM pick
+UNION ALL SELECT node, (node > 3)::INT + 1, NULL, true FROM (SELECT DISTINCT node FROM placed)""")
 def tree_fit(spark, folder):
-    return tree1(spark, folder)[1].select("node_id", "depth", "threshold", "is_leaf")
+    return tree2(spark, folder)[1].select("node_id", "depth", F.round("threshold", 8).alias("threshold"), "is_leaf")
 
 
 @query("tree_fit_levels")
@@ -345,24 +360,33 @@ def tree_fit_levels(spark, folder):
     return tree.select("node_id", "parent_id", "side", "depth", "threshold", "is_leaf")
 
 
-@query("tree_predict", f"WITH {TREE1} SELECT series_id, prediction FROM sided JOIN leaf USING (node_id)")
+@query("tree_predict", f"WITH {TREE2} SELECT series_id, prediction::INT AS prediction FROM placed JOIN leaf USING (node)")
 def tree_predict(spark, folder):
-    return T.tree_predict(*tree1(spark, folder))
+    return T.tree_predict(*tree2(spark, folder))
 
 
-@query("tree_predict_proba", f"WITH {TREE1} SELECT series_id, class, round(p, 9) AS p FROM sided JOIN shares USING (node_id)")
+@query("tree_predict_proba", f"WITH {TREE2} SELECT series_id, class::INT AS class, round(p, 9) AS p FROM placed JOIN shares USING (node)")
 def tree_predict_proba(spark, folder):
-    probs = T.tree_predict_proba(*tree1(spark, folder))
-    return probs.select("series_id", F.explode("probs").alias("class", "p")).withColumn("p", F.round("p", 9))
+    """A fitted pipeline, saved and loaded: the share of every class in the leaf of a series."""
+    from pyspark.ml import Pipeline, PipelineModel
+    series = tables.user_series(spark, folder).persist()
+    path = f"{scratch_folder(spark)}/tree-{uuid.uuid4().hex}"
+    tree = ShapeletTreeClassifier(maxDepth=2, options={"lengths": SEARCH_LENGTHS, "digits": 6})
+    Pipeline(stages=[tree]).fit(series).save(path)
+    out = PipelineModel.load(path).transform(series)
+    return out.select("series_id", F.posexplode("probability").alias("class", "p")).where("p > 0").withColumn("p", F.round("p", 9))
 
 
-@query("tree_shapelets", f"""WITH {TREE1}
-SELECT 1::BIGINT AS node_id, unnest(range(0, 63)) AS pos, unnest(list_transform(v[start + 1:start + 63], lambda x: round(x, 9))) AS x
-FROM root JOIN emb ON cand = emb.series_id""")
+@query("tree_shapelets", f"""WITH {TREE2},
+inner_nodes AS (SELECT 1 AS place, 1::BIGINT AS node_id, cand, start, length FROM root
+  UNION ALL SELECT 1 + row_number() OVER (ORDER BY node), node, cand, start, length FROM pick)
+SELECT place, node_id, unnest(range(0, length)) AS pos, unnest(list_transform(v[start + 1:start + length], lambda x: round(x, 9))) AS x
+FROM inner_nodes JOIN users ON cand = users.series_id""")
 def tree_shapelets(spark, folder):
-    rows = T.tree_shapelets(tree1(spark, folder)[1])
-    return rows.select("node_id", F.posexplode("values").alias("p", "x")).select(
-        "node_id", F.col("p").cast("long").alias("pos"), F.round("x", 9).alias("x"))
+    rows = T.tree_shapelets(tree2(spark, folder)[1])
+    placed = rows.withColumn("place", F.row_number().over(Window.orderBy("path")))  # the nodes of one tree
+    return placed.select("place", "node_id", F.posexplode("values").alias("p", "x")).select(
+        "place", "node_id", F.col("p").cast("long").alias("pos"), F.round("x", 9).alias("x"))
 
 
 # Ten samples of ten series; a sample is part of the series id, and windows meet the series of their own sample.
