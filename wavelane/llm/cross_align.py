@@ -20,6 +20,7 @@ are replaced. Strings of special tokens are plain text. An empty table gives emp
 from __future__ import annotations
 
 import json
+from array import array
 from functools import cached_property
 from typing import Iterator, NamedTuple
 
@@ -27,10 +28,10 @@ import numpy as np
 import pandas as pd
 import sentencepiece
 import tiktoken
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from wavelane.llm.common import write_packed
+from wavelane.llm.common import byte_alphabet, write_packed
 from wavelane.runtime import write_through
 
 BLOCK_ROWS = 256
@@ -95,13 +96,6 @@ def row_products(left: Rows, right: Rows, room: int = SLICE) -> Iterator[tuple[n
 
 # ---- tokens ----------------------------------------------------------------------------------------------------------------
 
-def byte_alphabet() -> dict[str, int]:
-    """Characters that byte-level vocabularies write for bytes: printable Latin-1 as itself, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class TokenPair:
     """Both tokenizers, and the bytes of each token."""
 
@@ -118,6 +112,7 @@ class TokenPair:
         if pattern is not None and self._ranked(described):
             ranks = {self.bytes_a[n]: n for t, n in vocabulary.items() if t not in special}
             self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.total_a = self.ranks is not None and len({t for t in self.bytes_a if len(t) == 1}) == 256  # so any bytes come back
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.pieces.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size()))]
@@ -161,8 +156,9 @@ class TokenPair:
             spaced = [" " + t for t in kept]
             for i, text, x, y in zip(at[begin:end], spaced, self.encode_a(spaced), self.pieces.encode(kept, num_threads=1)):
                 want = text.encode()
-                if b"".join(map(self.bytes_b.__getitem__, y)) == want and b"".join(map(self.bytes_a.__getitem__, x.tolist())) == want:
-                    out[i] = x, np.array(y, np.int32)
+                if b"".join(map(self.bytes_b.__getitem__, y)) == want and (
+                        self.total_a or b"".join(map(self.bytes_a.__getitem__, x.tolist())) == want):
+                    out[i] = x, np.frombuffer(array("i", y), np.int32)
             begin = end
         return out
 
