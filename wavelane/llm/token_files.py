@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import uuid
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -26,19 +28,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from wavelane.llm.common import partitions
+from wavelane.llm.common import byte_alphabet, partitions
 from wavelane.runtime import scratch_folder, write_through
 
 HEAD = b"WLTOKEN1"              # then the id width in bytes, as one little-endian 64-bit integer
 SHARD_BYTES = 64 << 20          # a shard is closed once it is larger
 BUCKET_KEYS = 4_096             # mean number of keys of an index bucket
 HELD = 800_000                  # words a worker remembers, about 200 bytes each
+NATIVE = sys.byteorder == "little"
 MARK = "~"                      # stands between words that are encoded together
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("n", "<u4")])
 
 _beyond = re.compile("[\u0130\u0250-\U0010ffff]")      # letters whose lower case or normal form depends on more than one character
 _marks = re.compile(r"[^\w\s][.,] |_")
 _control = re.compile("[\x1c-\x1f]")  # blanks for Python's split, not for the tokenizer
+_alphabet = {byte: sign for sign, byte in byte_alphabet().items()}
 _coders: dict = {}
 
 
@@ -66,6 +70,7 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.by_word = cuts_words(definition)
         # Young words, and those seen before them: when the young are many they become the old ones, so words in use stay.
         self.young: dict[str, bytes] = {}
@@ -74,7 +79,7 @@ class WordCoder:
         self.mark = mark[0] if len(mark) == 1 else None
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, self.type).tobytes()
+        return array(self.code, ids).tobytes() if NATIVE else np.array(ids, self.type).tobytes()
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -94,6 +99,19 @@ class WordCoder:
         return text.split()
 
     def encode_new(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of Latin letters in lower case are one pre-token as they stand and go to the model itself."""
+        out: list = [None] * len(words)
+        others = []
+        for at, word in enumerate(words):
+            if self.by_word and word.isalpha() and max(word) < "\u0250" and word == word.lower():
+                out[at] = self.pack([t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_alphabet))])
+            else:
+                others.append(at)
+        for at, ids in zip(others, self._encode_marked([words[at] for at in others])):
+            out[at] = ids
+        return out
+
+    def _encode_marked(self, words: list[str]) -> list[bytes]:
         """Ids of each word: many words in one text with a mark between them, one by one where a word holds the mark too."""
         out, width = [], self.type.itemsize
         parts = [words[at:at + 256] for at in range(0, len(words), 256)]
