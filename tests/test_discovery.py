@@ -312,3 +312,41 @@ def test_block_search_keeps_what_can_win(spark, series_of, monkeypatch):
             likely = E.likely_windows(series, [5, 8], fast, 7, 9, by, block=16).toPandas()
             assert set(map(tuple, want[keys].to_numpy().tolist())) <= set(map(tuple, likely[keys].to_numpy().tolist()))
             assert len(likely) < full.count()
+
+
+def test_tree_estimator_in_a_pipeline(spark, patterns, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from wavelane.ml.estimators import ShapeletTreeClassifier
+
+    train, test = (patterns.where(f"split = '{s}'").drop("split") for s in ("train", "test"))
+    named = train.select("series_id", F.concat(F.lit("class "), "label").alias("label"), "values")
+    model = Pipeline(stages=[ShapeletTreeClassifier(maxDepth=3, options={"lengths": [5]})]).fit(named)
+    model.save(str(tmp_path / "tree"))
+    loaded = PipelineModel.load(str(tmp_path / "tree"))
+    assert loaded.stages[0].getOrDefault("maxDepth") == 3
+    rows = test.select("series_id", "values", F.lit(7).alias("prediction"), F.concat(F.lit("class "), "label").alias("label"))
+    got, again = (sorted(map(tuple, m.transform(rows).drop("values").collect())) for m in (model, loaded))
+    assert got == again and len(got) == rows.count()
+    assert loaded.transform(rows).columns == ["series_id", "values", "label", "prediction", "probability"]
+    assert sum(r[1] == r[2] for r in got) / len(got) > 0.8
+    tree = loaded.stages[0].tree
+    want = {r.series_id: r.probs for r in T.tree_predict_proba(test, tree).collect()}
+    assert {r.series_id: r.probs for r in T.tree_predict_proba(test, tree, broadcast_points=0).collect()} == want  # level by level
+    assert {r[0]: r[3] for r in got} == {i: [p.get(c, 0.0) for c in range(3)] for i, p in want.items()}
+
+
+def test_trees_deeper_than_numbers(spark, series_of):
+    """A chain of 70 splits: paths go on where node numbers end."""
+    depth, rows = 70, []
+    for d in range(depth + 1):
+        leaf = d == depth
+        rows.append((None, None, None, d, None if leaf else [0.0, float(d % 3), 1.0, 0.0], None if leaf else -1.0, {0: 1.0}, leaf, "1" * d))
+        if d:
+            rows.append((None, None, None, d, None, None, {1: 1.0}, True, "1" * (d - 1) + "0"))
+    tree = spark.createDataFrame(rows, T.TREE)
+    series = series_of([(i, 0, np.sin(np.arange(6) * (i + 1))) for i in range(5)])
+    for limit in (None, 0):
+        assert {r.prediction for r in T.tree_predict(series, tree, broadcast_points=limit).collect()} == {0}
+    numbers = spark.range(1).select(*[T._number(F.lit(p)).alias(n) for n, p in (("a", ""), ("b", "01"), ("c", "1" * 62), ("d", "1" * 63))]).first()
+    assert tuple(numbers) == (1, 5, 2 ** 63 - 1, None)

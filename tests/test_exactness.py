@@ -147,3 +147,32 @@ def test_words_of_large_alphabets(spark, series_of):
     plain = dict(series.select("series_id", W.word_string(A.sax_word(A.z_norm(F.col("values")), 6, 300)).alias("w")).collect())
     assert {r["series_id"]: r["word"] for r in words} == plain
     assert max(ord(c) for r in words for c in r["word"]) > 255 and all(len(r["word"]) == 6 for r in words)
+
+
+def test_knn_by_blocks_visits_few_pairs(spark, monkeypatch):
+    """Clusters, a third of all rows equal, infinite features, queries without a block: exact, and most block pairs are never met."""
+    from wavelane.ml import neighbours as N
+
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(20, 6)) * 50
+    rows = [(i, i % 4, (centres[i % 20] + rng.normal(size=6)).tolist()) for i in range(600)]
+    for i in range(0, 600, 3):
+        rows[i] = (i, i % 4, rows[0][2])
+    rows[5] = (5, 1, [float("inf")] + [0.0] * 5)
+    rows[6] = (6, 1, [float("inf")] + [0.0] * 5)
+    train = spark.createDataFrame(rows, "series_id long, label int, features array<double>")
+    asked = rows[::11] + [(1000, 0, [1e6] * 6), rows[5]]
+    test = spark.createDataFrame([(i + 5000, f) for i, _, f in asked], "series_id long, features array<double>")
+    monkeypatch.setattr(C, "KNN_BLOCK", 20)
+    met = []
+    monkeypatch.setattr(N, "deal", lambda visits, held, key, deal=N.deal: (met.append(visits.count()), deal(visits, held, key))[1])
+    got = {}
+    for r in C.knn_join(test.dropDuplicates(["series_id"]), train, 4, broadcast_points=0).collect():
+        got.setdefault(r.series_id - 5000, []).append((r["rank"], r.train_id, r.dist))
+    for i, _, f in asked:
+        both = [(np.array(f), np.array(g), j) for j, _, g in rows]
+        dist = sorted((round(float(np.sqrt(sum(0.0 if a == b else (a - b) ** 2 for a, b in zip(x, y)))), 9), j) for x, y, j in both)
+        want = [(k + 1, j, d) for k, (d, j) in enumerate(dist[:4])]
+        assert [(k, j) for k, j, _ in sorted(got[i])] == [(k, j) for k, j, _ in want]
+    blocks = -(-600 // 20)
+    assert sum(met) < 0.35 * len(asked) * blocks

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from wavelane.functions import kernels
 from wavelane.operators import prep as P
+from wavelane.ml import neighbours as N
 from wavelane.runtime import attach_row, fits_broadcast, table_size, write_through
 
 # The grid of C.
@@ -235,15 +236,24 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, broadcast_points: int |
                         emit(batch.column("series_id"), matrix(batch.column("features")), ids, labels, y), names=names)
 
         near = test.select("series_id", "features").mapInArrow(run, schema)
+    elif not rows:
+        near = test.sparkSession.createDataFrame([], schema)
     else:
-        tests = max(1, math.ceil(test.count() / KNN_BLOCK))
-        trains = max(1, math.ceil(rows / KNN_BLOCK))
-        left = test.select("series_id", F.col("features").alias("features")).withColumn(
-            "_a", F.pmod(F.xxhash64("series_id"), F.lit(tests))).withColumn(
-            "_b", F.explode(F.sequence(F.lit(0), F.lit(trains - 1)).cast("array<bigint>")))
-        right = sized.select(*[F.col(c).alias(c) for c in ("train_id", "label", "_f")]).withColumn(
-            "_b", F.pmod(F.xxhash64("train_id"), F.lit(trains))).withColumn(
-            "_a", F.explode(F.sequence(F.lit(0), F.lit(tests - 1)).cast("array<bigint>")))
+        near = _knn_by_blocks(test, sized, rows, k, digits, emit, matrix, schema, names)
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("dist", "train_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _knn_by_blocks(test, train, rows, k, digits, emit, matrix, schema, names):
+    """Nearest rows of the blocks that can hold them: first the query's own block, then those within its k-th distance."""
+    pivots = N.choose_pivots(train, "_f", rows)
+    placed = write_through(N.place(train, "_f", pivots))
+    numbered = N.ring_blocks(placed, KNN_BLOCK)
+    held = numbered(placed, "train_id")
+    queries = write_through(numbered(N.place(test.select("series_id", "features"), "features", pivots), "series_id"))
+
+    def visit(visits):
+        left, right = N.deal(visits, held.select("block", "train_id", "label", "_f"), "series_id")
 
         def join(a, b):
             if not a.num_rows or not b.num_rows:
@@ -253,9 +263,13 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, broadcast_points: int |
                         b.column("train_id").to_numpy(), b.column("label").to_numpy(), matrix(b.column("_f")))
             return pa.Table.from_arrays(cols, names=names)
 
-        near = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(join, schema)
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("dist", "train_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+        return left.select("block", "_chunk", "series_id", "features").groupBy("block", "_chunk").cogroup(
+            right.groupBy("block", "_chunk")).applyInArrow(join, schema)
+
+    first = write_through(visit(queries.where(F.col("block").isNotNull())))
+    cuts = first.groupBy("series_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("cut"))
+    others = write_through(N.open_blocks(queries.join(cuts, "series_id", "left"), N.block_ranges(held, len(pivots)), "series_id", digits))
+    return first.unionByName(visit(queries.drop("block").join(others, "series_id")))
 
 
 def knn_predict(neighbours: DataFrame, k: int | None = None) -> DataFrame:
