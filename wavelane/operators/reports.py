@@ -124,6 +124,32 @@ def sort_report(table: DataFrame, difference: Column, dataset: str = "dataset")
     return table.withColumn("difference", difference).orderBy("difference", dataset)
 
 
+def mixed_report(samples: DataFrame, first: str, others: list[str], facts: DataFrame | None = None, dataset: str = "dataset",
+                 method: str = "method", value: str = "value", alpha: float = 0.05, spread: int = SPREAD) -> DataFrame:
+    """One row per data set with all methods: one method against each of the others, with rank tests and flags.
+
+    Columns: the data set, those of ``facts`` (one row per data set), runs and mean of the first method, and for other method i
+    ``mean_i``, ``u_i``, ``z_i``, ``p_value_i``, ``flag_i`` (see ``mann_whitney``) and ``difference_i`` = mean - mean_i. Data sets
+    without runs of the first method have no row; comparisons without runs of the other method are null. Ordered by the
+    first difference, then the data set. All comparisons are ranked in one pass; the samples are read once.
+    """
+    name = F.col(method)
+    against = F.explode(F.when(name == first, F.array(*map(F.lit, others))).otherwise(F.array(name)))
+    rows = samples.where(name.isin(first, *others)).withColumn("_against", against)
+    side = rows.withColumn("_side", F.when(name == first, "first").otherwise("other"))
+    tests = mann_whitney(side, [dataset, "_against"], "_side", "first", "other", value, alpha, spread).where("n1 > 0")
+
+    def of(i, column):
+        return F.max(F.when(F.col("_against") == others[i], F.when(F.col("n2") > 0, F.col(column))))
+
+    wide = tests.groupBy(dataset).agg(F.max("n1").alias("runs"), F.max("mean1").alias("mean"), *[
+        of(i, c).alias(f"{n}_{i + 1}") for i in range(len(others)) for c, n in (
+            ("mean2", "mean"), ("u", "u"), ("z", "z"), ("p_value", "p_value"), ("flag", "flag"))])
+    wide = wide.select("*", *[(F.col("mean") - F.col(f"mean_{i + 1}")).alias(f"difference_{i + 1}") for i in range(len(others))])
+    table = wide if facts is None else facts.join(wide, dataset)
+    return table.orderBy("difference_1", dataset)
+
+
 def length_percentiles(shapelets: DataFrame, low: float = 25, high: float = 75, length: str = "length") -> DataFrame:
     """(min_len, max_len) from percentiles of winning lengths; distinct lengths are few."""
     out = shapelets.agg(F.floor(F.percentile(length, F.lit(low / 100))).alias("min_len"),

@@ -178,6 +178,32 @@ def sort_report(spark, folder):
     return Z.sort_report(table, F.round(F.col("mean1") - F.col("mean2"), 4)).select("dataset", "difference")
 
 
+@query("mixed_report", """WITH s AS (SELECT c_mktsegment AS dataset, o_orderpriority AS method, o_totalprice AS value
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '5-LOW', '3-MEDIUM')),
+a AS (SELECT dataset, o AS against, method = '1-URGENT' AS is_first, value FROM s, (VALUES ('5-LOW'), ('3-MEDIUM')) v(o) WHERE method IN ('1-URGENT', o)),
+r AS (SELECT *, rank() OVER (PARTITION BY dataset, against ORDER BY value) + (count(*) OVER (PARTITION BY dataset, against, value) - 1) / 2 AS r,
+  count(*) OVER (PARTITION BY dataset, against, value) AS t FROM a),
+g AS (SELECT dataset, against, (count(*) FILTER (is_first))::DOUBLE AS n1, (count(*) FILTER (NOT is_first))::DOUBLE AS n2,
+  sum(r) FILTER (is_first) AS r1, sum(t * t - 1)::DOUBLE AS ties, avg(value) FILTER (is_first) AS m1, avg(value) FILTER (NOT is_first) AS m2
+  FROM r GROUP BY ALL),
+u AS (SELECT *, n1 * n2 + n1 * (n1 + 1) / 2 - r1 AS u1, n1 + n2 AS n FROM g),
+z AS (SELECT *, (greatest(u1, n1 * n2 - u1) - (n1 * n2 / 2 + 0.5)) / sqrt((1 - ties / (n * n * n - n)) * n1 * n2 * (n + 1) / 12) AS z FROM u),
+f AS (SELECT *, CASE WHEN abs(z) < 1.6448536269514722 THEN chr(92) WHEN m1 > m2 THEN '+' ELSE '-' END AS flag FROM z),
+facts AS (SELECT c_mktsegment AS dataset, count(*) AS series, count(DISTINCT c_nationkey) AS classes FROM customer GROUP BY ALL)
+SELECT p.dataset, series, classes, p.n1::BIGINT AS runs, round(p.m1, 4) AS mean, round(p.m2, 4) AS mean_1, round(p.z, 6) AS z_1, p.flag AS flag_1,
+  round(p.m1 - p.m2, 4) AS difference_1, round(q.m2, 4) AS mean_2, round(q.z, 6) AS z_2, q.flag AS flag_2, round(p.m1 - q.m2, 4) AS difference_2
+FROM f p JOIN f q USING (dataset) JOIN facts USING (dataset) WHERE p.against = '5-LOW' AND q.against = '3-MEDIUM' ORDER BY difference_1, p.dataset""")
+def mixed_report(spark, folder):
+    customers = tables.read(spark, folder, "customer")
+    samples = tables.read(spark, folder, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_mktsegment").alias("dataset"), F.col("o_orderpriority").alias("method"), F.col("o_totalprice").alias("value"))
+    facts = customers.groupBy(F.col("c_mktsegment").alias("dataset")).agg(
+        F.count(F.lit(1)).alias("series"), F.countDistinct("c_nationkey").alias("classes"))
+    table = Z.mixed_report(samples, FIRST, [SECOND, "3-MEDIUM"], facts)
+    rounded = [F.round(c, 6 if c[0] == "z" else 4).alias(c) for i in (1, 2) for c in (f"mean_{i}", f"z_{i}", f"difference_{i}")]
+    return table.select("dataset", "series", "classes", "runs", F.round("mean", 4).alias("mean"), "flag_1", "flag_2", *rounded)
+
+
 @query("sort_by_cost", f"""WITH {USERS}, {CUSTOMERS}, {PARTS}, {EMB},
 n AS (SELECT 'users' AS source, count(*) AS n, max(len(v)) AS m FROM users UNION ALL SELECT 'customers', count(*), max(len(v)) FROM customers
   UNION ALL SELECT 'parts', count(*), max(len(v)) FROM parts UNION ALL SELECT 'embeddings', count(*), max(len(v)) FROM emb)
