@@ -1,6 +1,7 @@
 """URL filter and decontamination against plain Python."""
 
 import random
+from math import comb
 
 import pytest
 
@@ -106,14 +107,17 @@ def test_decontamination_equals_all_pairs(spark):
                 passage[rng.randrange(len(passage))] = "other"
             text += "\n" + " , ".join(passage).upper() + "\n" + make(rng.randint(0, 1500))
         docs.append((i, text))
-    docs += [(200, "Two, words!"), (201, "two words more"), (202, None), (203, ""), (None, items[0][1]), (5, items[3][1])]
+    docs += [(200, "Two, words!"), (201, "two words more"), (204, "here are two... WORDS in a row"), (205, "words two"), (206, "one"), (202, None), (203, ""), (None, items[0][1]), (5, items[3][1])]
     size, texts = {}, {}
+    cut = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
     for i, t in items:
         if i is not None and word_shingles(t):
             size.setdefault(i, set()).update(word_shingles(t))
+    lengths = {5} | {len(x) for q in size.values() for x in q}
     for i, t in docs:
+        w = cut(t)
         if i is not None:
-            texts.setdefault(i, set()).update(word_shingles(t))
+            texts.setdefault(i, set()).update(tuple(w[k:k + n]) for n in lengths for k in range(len(w) - n + 1))
     want = {(d, i): (len(s & q), len(q)) for d, s in texts.items() for i, q in size.items() if len(s & q) >= 0.8 * len(q) - 1e-9}
     table = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, hash long")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -127,11 +131,33 @@ def test_decontamination_equals_all_pairs(spark):
 
 
 def test_least_hits():
-    from math import comb
-    for n in (1, 8, 32):
+    for n in (1, 7, 32, 64, 120):
         c = decontaminate.least_hits(n, 0.8, 1e-9)
         assert c >= 1
         assert c == 1 or sum(comb(n, k) * 0.8 ** k * 0.2 ** (n - k) for k in range(c)) <= 1e-9
+    found = decontaminate.size_partitions(32, 0.8, 1e-9)
+    assert min(found) == 5 and found[5][0] == 32 and found[7][0] == 48  # the sketch grows with the partition
+    for u in (5, 6, 7):
+        n, c = found[u]
+        for size in range(max(1 << u, 33), 2 << u):
+            held = -(-size * 8 // 10)
+            assert sum(comb(held, k) * comb(size - held, n - k) for k in range(c)) <= 1e-9 * comb(size, n)
+    assert found[5][1] >= decontaminate.least_hits(32, 0.8, 1e-9)
+
+
+def test_long_items_at_the_threshold_are_found(spark):
+    """Items of 40 to 500 shingles, each in documents that hold 0.8 of them and a little less."""
+    rng = random.Random(31)
+    items, docs = [], []
+    for i in range(40):
+        n = rng.choice((40, 64, 65, 100, 200, 350, 500))
+        words = [f"i{i}w{k}" for k in range(n + 4)]
+        items.append((i, " ".join(words)))
+        shared = -(-n * 8 // 10)
+        docs += [(2 * i, " ".join(words[:shared + 4]) + " end"), (2 * i + 1, " ".join(words[:shared + 3]) + " end")]
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(table, bench).collect()}
+    assert got == {(2 * i, i) for i in range(40)}
 
 
 def test_no_python_in_the_plans(spark):
