@@ -22,6 +22,17 @@ def texts(html):
     ("<form><p>a</form><aside>b</aside><!-- c --><p>d</p>", ["d"]),
     ("<ul><li>one<li>two</ul><table><tr><td>c<td>d</table>", ["one", "two", "c", "d"]),
     ("</p></div>stray<p", ["stray"]), ("<p>a<span>b</span>c</p>", ["abc"]),
+    # Wrappers that hold the page, and names that only contain a part's word.
+    ('<div class="page has-sidebar"><article><p>body text</article></div><div class="sidebar">s</div>', ["body text"]),
+    ('<div id="content" class="layout-sidebar-right"><p>body text</div><div class="ad-slot">buy</div>', ["body text"]),
+    ('<div class="sidebar-wrapper"><div class="ad">x</div><article><p>body</article></div>', ["body"]),
+    ('<form id="aspnetForm"><nav>n</nav><article><p>body</p></article></form>', ["body"]),
+    ('<article><div class="entry-header"><h1>T</h1></div><p id="social">kept</p><p class="promoted-to-general">too</p></article>', ["T", "kept", "too"]),
+    ('<article><p>long body of the page</p><div class="related-posts">r</div><div class="share_buttons">s</div></article>', ["long body of the page"]),
+    ('<main><p>story</main><div class="comments"><article class="comment"><p>a long comment of a reader</article><p>more and more</div>', ["story"]),
+    ('<div><p>story</div><div class="comment-list"><p>a long comment of a reader</p></div>', ["story"]),
+    ('<article><p>one two three</article><div class="related"><article><p>teaser</article></div>', ["one two three"]),
+    ("<p class='ad'>x</p><p class='newsletter'>y</p><p>z", ["z"]),
     ("<title>t</title><p>a &am b &unknown; c", ["a &am b &unknown; c"]), ("<p hidden>x</p><p>y", ["y"]),
 ])
 def test_blocks(html, want):

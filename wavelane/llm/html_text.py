@@ -1,9 +1,13 @@
 """Main text of pages by comparing each page with its neighbours in URL order within its host.
 
 A page becomes lines: the blocks of its body in page order, each with the chain of elements it stands in. Markup says what is
-never content (scripts, styles, forms, navigation, headers and footers of the page, asides, and elements whose class, id or
-role names such a part or comments), and where content is declared (article, main; one whose whole class, id or role is such a
-name is a part like any other, and one with such a word in a longer name declares nothing). Pages of a host are put in order of
+never content (scripts, styles, navigation, headers and footers of the page, asides) and what names itself a part that is not:
+forms, and elements with a class, id or role that is such a name, or begins or ends with such a word (``related-posts``, but not
+``has-sidebar`` or ``layout-sidebar-right``; of paragraphs, headings and inline elements only a class that is the whole name). Such
+a part is content after all if it holds at least half of the page's declared content (a wrapper, a form around the page), or,
+where a page declares none, more than half of its text and does not name itself comments. Content is declared by article and
+main; one whose whole class, id or role is such a name is a part that is never content, and one with such a word in a longer name
+declares nothing. Inside declared content a name with ``header`` marks its heading and is no part. Pages of a host are put in order of
 their URL path, and the lines of pages next to each other are aligned by longest common subsequence.
 
 A line outside declared content goes if the page before or the page after has it too; if all lines of a page are shared with one
@@ -38,10 +42,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th
     thead tr ul""".split())
-NEVER = frozenset("""script style noscript template head title form nav aside button select option textarea input iframe object svg
+NEVER = frozenset("""script style noscript template head title nav aside button select option textarea input iframe object svg
     canvas audio video dialog menu footer""".split())
 CONTENT = frozenset(("article", "main"))
 CLOSES_P = BLOCKS - {"html", "body"}
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
 # Words of class, id and role that name a part which is not content.
 PARTS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
     cookies copyright disqus footer form header menu modal nav navbar navigation newsletter notice notices popup promo promoted
@@ -53,15 +58,33 @@ _unfinished = re.compile(r"<[a-zA-Z/!][^<>]*\Z")  # a tag cut off by the end of
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _named_part(attributes) -> bool:
+MODIFIERS = frozenset("has no not with without is hide show open page layout".split())
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+
+
+def _names(attributes, words_only: bool):
+    """Part names in class, id and role: whole ones, and unless ``words_only`` those a name begins or ends with."""
     for name, value in attributes:
-        if value and name in ("class", "id", "role"):
-            words = _words.findall(_camel.sub(" ", value).lower())
-            if PARTS.intersection(words) or PARTS.intersection(map("".join, zip(words, words[1:]))):
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+        if not value or name not in ("class", "id", "role") or (words_only and name == "id"):
+            continue
+        for token in value.split():
+            words = _words.findall(_camel.sub(" ", token).lower())
+            if not words:
+                continue
+            if len(words) > 1 and words_only:
+                words = ["".join(words)]
+            elif words[0] in MODIFIERS:
+                continue
+            yield from PARTS.intersection((words[0], words[-1], "".join(words), "".join(words[:2]), "".join(words[-2:])))
+
+
+def _hidden(attributes) -> bool:
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attributes)
+
+
+def _any_word(attributes) -> bool:
+    return any(value and name in ("class", "id", "role") and not PARTS.isdisjoint(_words.findall(_camel.sub(" ", value).lower()))
+               for name, value in attributes)
 
 
 def _whole_part(attributes) -> bool:
@@ -75,16 +98,17 @@ class _Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # name, skips, declares
+        self.open: list[tuple[str, bool, bool, int]] = []  # name, skips, declares, number of the named part or -1
         self.parts: list[str] = []
-        self.found: list[tuple[str, str, bool]] = []
+        self.found: list[tuple[str, str, bool, tuple[int, ...]]] = []
+        self.named: list[bool] = []  # of each named part: does it name itself comments
 
     def _flush(self):
         text = _space.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            chain = "/".join(n for n, _, _ in self.open if n in BLOCKS)
-            self.found.append((chain, text, any(d for _, _, d in self.open)))
+            chain = "/".join(e[0] for e in self.open if e[0] in BLOCKS)
+            self.found.append((chain, text, any(e[2] for e in self.open), tuple(e[3] for e in self.open if e[3] >= 0)))
 
     def _skips(self) -> bool:
         return bool(self.open) and self.open[-1][1]
@@ -103,11 +127,17 @@ class _Blocks(HTMLParser):
         for siblings in (("li",), ("dd", "dt"), ("td", "th"), ("tr",), ("option",)):
             if tag in siblings and self.open and self.open[-1][0] in siblings:
                 self.open.pop()
-        inside = any(n in CONTENT for n, _, _ in self.open)
+        inside = any(e[0] in CONTENT for e in self.open)
         # The header of an article belongs to it; the header of a page does not.
-        skip = self._skips() or tag in NEVER or (tag == "header" and not inside) \
-            or (tag not in ("html", "body") and (_whole_part if tag in CONTENT else _named_part)(attributes))
-        self.open.append((tag, skip, tag in CONTENT and not _named_part(attributes)))
+        skip = self._skips() or tag in NEVER or (tag == "header" and not inside) or _hidden(attributes) or (
+            tag in CONTENT and _whole_part(attributes))
+        part = -1
+        if not skip and tag not in CONTENT and tag not in ("html", "body"):
+            names = set(_names(attributes, tag not in BLOCKS or tag in TEXTUAL)) - ({"header"} if inside else set())
+            if names or tag == "form":
+                part = len(self.named)
+                self.named.append(not COMMENTS.isdisjoint(names))
+        self.open.append((tag, skip, tag in CONTENT and not _any_word(attributes), part))
 
     def _close(self, tag):
         """Close the nearest open element of that name, if none but inline ones are open inside it."""
@@ -121,7 +151,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in VOID:
             return
-        names = [n for n, _, _ in self.open]
+        names = [e[0] for e in self.open]
         if tag not in names:
             return
         if tag in BLOCKS and not self._skips():
@@ -140,7 +170,14 @@ class _Blocks(HTMLParser):
         super().close()
         if not self._skips():
             self._flush()
-        return self.found
+        text, declared = np.zeros(len(self.named) + 1), np.zeros(len(self.named) + 1)  # characters in each part; the last is the page
+        for _, value, says, parts in self.found:
+            for p in (*parts, -1):
+                text[p] += len(value)
+                declared[p] += len(value) * says
+        content = [2 * declared[p] >= declared[-1] if declared[-1] else 2 * text[p] > text[-1] and not comments
+                   for p, comments in enumerate(self.named)]
+        return [(chain, value, says) for chain, value, says, parts in self.found if all(content[p] for p in parts)]
 
 
 def blocks(html: str | None) -> list[tuple[str, str, bool]]:
