@@ -144,3 +144,24 @@ def test_tournament_and_best(spark):
     assert all(r.ind_id == max(drawn[r.slot]) for r in a)
     tie = spark.createDataFrame([(0, 1.0, 9), (1, 1.0, 4)], "ind_id long, score double, points long")
     assert R.select_best(tie).first().ind_id == 1
+
+
+def test_narrow_bands_and_signs_are_dealt_evenly(spark):
+    """One candidate, all values in a narrow band on both sides of zero: no task orders much more than its share."""
+    rows = spark.range(8_000).select(F.lit(1).alias("shapelet_id"), ((F.col("id") - 4_000) * 1e-7 - 0.00005).alias("dist"),
+                                     (F.col("id") % 3).cast("int").alias("label"), F.lit(1).cast("long").alias("n"))
+    parts = M.dealt(rows, ["shapelet_id"], "dist", 8).groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"))
+    found = parts.orderBy("_b").collect()
+    assert len(found) >= 4 and max(r.n for r in found) < 3 * 8_000 / len(found)
+    assert all(a.high <= b.low for a, b in zip(found, found[1:]))
+    whole, split = (sorted(map(tuple, M.cumulative_class_counts(rows.drop("n"), spread=s).collect())) for s in (0, M.SPREAD))
+    assert whole == split
+
+
+def test_hot_words_are_salted_by_their_counts(spark):
+    from wavelane.operators import symbolic as S
+
+    rows = [(i % 40, i, 5, 0, [0] if i % 3 else [i % 7], i % 2) for i in range(600)]
+    masked = spark.createDataFrame(rows, "series_id long, start int, length int, iter int, masked array<int>, label_index int")
+    plain, salted = (sorted(map(tuple, S.word_collision(masked, 2, hot=h).collect())) for h in (10 ** 6, 25))
+    assert plain == salted and len(plain) == 600

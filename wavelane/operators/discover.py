@@ -288,7 +288,8 @@ def window_powers(series: DataFrame, lengths: list[int], alphabet: int, word_len
     classes = encoded.agg(F.max("label_index")).first()[0] + 1
     sizes = encoded.groupBy(*lead).agg(F.array(*[
         F.count(F.when(F.col("label_index") == c, 1)) for c in range(classes)]).alias("sizes"))
-    words = W.sax_words_of_windows(encoded, lengths, word_length, alphabet, keep=(*lead, "label_index"))
+    # Read for every count and join below: the words are made once.
+    words = write_through(W.sax_words_of_windows(encoded, lengths, word_length, alphabet, keep=(*lead, "label_index")))
     scores = S.window_class_score(W.random_mask(words, masks), classes, by=lead)
     return S.distinguishing_power(scores, sizes, len(masks), by=lead)
 

@@ -1,10 +1,9 @@
 """Quality of shapelets from their distances: long rows (keys..., label, dist).
 
-A candidate's ordered distances may be a large group, so running sums are taken in two
-levels: rows are split by a monotone bucket of the distance, bucket totals give the
-offsets, and only one bucket is ordered at a time. Buckets depend on the value alone, so
-no extra pass is needed. ``spread=0`` orders a whole group in one task, for groups
-whose size the caller has checked.
+A candidate's ordered distances may be a large group, so running sums are taken in two levels: rows are dealt by range
+partitions of (keys, distance), whose cuts Spark takes from the rows themselves, so neither one candidate nor a narrow band of values
+nor their sign decides how much one task orders. Totals of a partition give the offsets of the next, and one partition's part of a
+key is ordered at a time. ``spread=0`` orders a whole group in one task, for groups whose size the caller has checked.
 """
 
 from __future__ import annotations
@@ -13,20 +12,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wavelane.runtime import write_through
 
-SPREAD = 1024  # buckets per power of two
+SPREAD = 1  # dealt by range partitions
 GROUP_ROWS = 1_000_000  # largest group ordered by one task
 
 
 def spread_for(group_rows: int) -> int:
-    """0 where a counted group may be ordered by one task, else the bucketed form."""
+    """0 where a counted group may be ordered by one task, else the form dealt by range partitions."""
     return 0 if group_rows <= GROUP_ROWS else SPREAD
 
 
-def order_bucket(x: Column, spread: int) -> Column:
-    """Non-decreasing integer bucket of x >= 0."""
-    return (F.when(x <= 0, F.lit(-1_000_000))
-            .when(x == F.lit(float("inf")), F.lit(1_000_000))
-            .otherwise(F.floor(F.log2(x) * spread))).cast("long")
+def dealt(df: DataFrame, keys: list[str], order: str, parts: int | None = None) -> DataFrame:
+    """Rows with the number ``_b`` of their range partition of (keys, order), which ascends with order within a key; written once.
+
+    Without ``parts`` Spark sets their number and may join small ones.
+    """
+    ranged = df.repartitionByRange(*([parts] if parts else []), *keys, order)
+    return write_through(ranged.withColumn("_b", F.spark_partition_id()))
 
 
 def n_log_n(n: Column) -> Column:
@@ -40,7 +41,7 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], sp
     (keys, order) must be unique. Adds ``cum_*``, ``all_*`` per sum column and
     ``next_order``, the following order value. ``cluster`` (a subset of keys) is the
     partitioning to set here, so that later steps grouped by it need no further shuffle.
-    The bucketed form keeps its bucket column ``_b`` for the same reason.
+    The dealt form keeps its partition column ``_b`` for the same reason.
     """
     if not spread:
         part = df.repartition(*cluster) if cluster else df
@@ -51,7 +52,7 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str], sp
                            F.lead(order).over(run).alias("next_order")).select(
             "*", *[F.sum(s).over(by).alias(f"all_{s}") for s in sums])
 
-    rows = df if "_b" in df.columns else df.withColumn("_b", order_bucket(F.col(order), spread))
+    rows = df if "_b" in df.columns else dealt(df, cluster or keys, order)
     if cluster:
         rows = rows.repartition(*cluster, "_b")
     totals = rows.groupBy(*keys, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums],
@@ -81,9 +82,9 @@ def distance_counts(distances: DataFrame, keys: list[str], digits: int = 9) -> D
 
 
 def _counted_once(distances, keys, digits, spread) -> DataFrame:
-    """Collapsed distances; the bucketed forms read them several times, so there they are written and the join runs once."""
+    """Collapsed distances; the dealt forms read them several times, so there they are written and the join runs once."""
     counts = distance_counts(distances, keys, digits)
-    return write_through(counts) if spread else counts
+    return dealt(counts, keys, "dist") if spread else counts
 
 
 def _class_runs(distances, keys, digits, spread) -> DataFrame:
