@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window, functions as F
 
 from wavelane.functions import breeding as B
-from wavelane.ml import classifiers as C
+from wavelane.ml import classifiers as C, machines as S
 from wavelane.ml.estimators import GeneticShapelets, ShapeletModel, ShapeletTransformer, ShapeletTreeClassifier
 from wavelane.operators import distance as D, evolve as V, fitness as Fit, prep as P, ranking as R, reports as Z, tree as T
 from wavelane.plans.distance_queries import RAW, _emb
@@ -539,8 +539,10 @@ def logreg_grid(spark, folder):
 
 @query("linear_svm_grid")
 def linear_svm_grid(spark, folder):
+    """Every C and fold in the same passes; the likeliest class by the coupled probabilities of the pairs."""
     rows = vectors(spark, folder)
-    return _predictions(C.linear_svm_grid(rows, cs=(1.0,), folds=2, max_iter=10)[0], rows)
+    likely = F.max_by("class", F.struct(F.round("p", 9), -F.col("class"))).alias("prediction")
+    return S.fit_machines(rows, cs=C.C_GRID, folds=3).predict(rows).groupBy("series_id").agg(likely)
 
 
 @query("quadratic_svm")
