@@ -210,18 +210,25 @@ def split_scores(dist: np.ndarray, label: np.ndarray, classes: int, digits: int
         return np.full(k, np.nan), np.full(k, np.nan), tau
     counts = np.arange(n + 1, dtype=np.float64)
     xlogx = counts * np.log(np.maximum(counts, 1.0))
-    onehot = np.eye(classes, dtype=np.int32)[label]
-    total = onehot.sum(axis=0)
+    total = np.bincount(label, minlength=classes)
     prior = xlogx[n] - xlogx[total].sum()
     nl = counts[1:n]
-    step = max(1, BLOCK_CELLS // (n * classes))
+    # The r-th row of a class that moves to the left changes that class's term alone. By class, then r:
+    rank = np.arange(n) - np.repeat(np.cumsum(total) - total, total)
+    left_step = xlogx[rank + 1] - xlogx[rank]
+    right_step = xlogx[np.repeat(total, total) - rank - 1] - xlogx[np.repeat(total, total) - rank]
+    small = label.astype(np.uint8 if classes <= 256 else np.int64)
+    step = max(1, BLOCK_CELLS // (4 * n))
     for a in range(0, k, step):
         d = np.round(dist[a:a + step], digits)
-        order = np.argsort(d, axis=1, kind="stable")
+        order = np.argsort(d, axis=1)  # splits lie between distinct distances, so the order of equal ones does not matter
         ds = np.take_along_axis(d, order, axis=1)
-        left = np.cumsum(onehot[order], axis=1)[:, :-1]
-        s_left = xlogx[left].sum(axis=2)
-        s_right = xlogx[total[None, None, :] - left].sum(axis=2)
+        by_class = np.argsort(small[order], axis=1, kind="stable")
+        moves = np.empty(ds.shape)
+        np.put_along_axis(moves, by_class, left_step[None, :], axis=1)
+        s_left = np.cumsum(moves, axis=1)[:, :-1]
+        np.put_along_axis(moves, by_class, right_step[None, :], axis=1)
+        s_right = xlogx[total].sum() + np.cumsum(moves, axis=1)[:, :-1]
         g = (prior - (xlogx[1:n] - s_left) - (xlogx[n - 1:0:-1] - s_right)) / n
         g = np.round(g, digits)
         cum = np.cumsum(ds, axis=1)
@@ -344,26 +351,27 @@ def closest_windows(candidates: np.ndarray, windows: Windows, metric: str) -> np
     varied = candidates.any(axis=1)
     for rows, starts, held, moving in windows:
         dots = held @ candidates.T
-        for row, a, b in zip(rows, starts, np.append(starts[1:], len(held))):
-            part = dots[a:b]
-            top = part.max(axis=0)
-            flat = not moving[a:b].all()
-            if metric == "corr":
-                square = 2.0 * (1.0 - np.minimum(top / l, 1.0))
-            else:
-                square = 2.0 * (l - np.minimum(top, l))
-                if flat:
-                    square = np.where(varied, np.minimum(square, l), 0.0)
-                elif not varied.all():
-                    square[~varied] = l
-            near = np.flatnonzero((top >= l * (1.0 - NEAR)) & varied)
-            if len(near):
-                v, j = np.nonzero(part[:, near] >= top[near] - 1e-9 * l)
-                gap = held[a + v] - candidates[near[j]]
-                least = np.full(len(near), np.inf)
-                np.minimum.at(least, j, np.einsum("ij,ij->i", gap, gap))
-                square[near] = least / l if metric == "corr" else least
-            out[row] = square
+        stops = np.append(starts[1:], len(held))
+        top = np.empty((len(rows), k))
+        for n, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
+            dots[a:b].max(axis=0, out=top[n])
+        if metric == "corr":
+            square = 2.0 * (1.0 - np.minimum(top / l, 1.0))
+        else:
+            square = 2.0 * (l - np.minimum(top, l))
+            still = np.flatnonzero(~np.logical_and.reduceat(moving, starts))  # series with a constant window
+            square[still] = np.minimum(square[still], l)
+            square[:, ~varied] = l
+            square[np.ix_(still, np.flatnonzero(~varied))] = 0.0
+        near = (top >= l * (1.0 - NEAR)) & varied
+        for n in np.flatnonzero(near.any(axis=1)).tolist():
+            a, b, j = starts[n], stops[n], np.flatnonzero(near[n])
+            v, c = np.nonzero(dots[a:b, j] >= top[n, j] - 1e-9 * l)
+            gap = held[a + v] - candidates[j[c]]
+            least = np.full(len(j), np.inf)
+            np.minimum.at(least, c, np.einsum("ij,ij->i", gap, gap))
+            square[n, j] = least / l if metric == "corr" else least
+        out[rows] = square
     return np.sqrt(np.maximum(out, 0.0)).T
 
 
