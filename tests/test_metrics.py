@@ -86,6 +86,16 @@ def test_wilcoxon_worked(spark):
     assert r.p_value == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)))
 
 
+def test_compare_table_ties_differences_that_differ_by_rounding(spark):
+    x, y = [0.1 + 0.2, 0.3, 0.9, 2e-9], [0.0, 0.6, 0.0, 1e-9]  # 0.30000000000000004, -0.3, 0.9 and 1e-9
+    rows = [("d", m, i, v) for m, values in (("m", x), ("n", y)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "dataset string, method string, run int, accuracy double")
+    r = Z.compare_table(df, "m", "n", digits=6).first()
+    # ranks 1 (a zero, of neither side), 2.5, 2.5, 4
+    se = math.sqrt((4 * 5 * 9 - 0.5 * 6) / 24)
+    assert r.statistic == 2.5 and r.z == pytest.approx((2.5 - 5) / se)
+
+
 def test_mann_whitney_worked(spark):
     rows = [("d", "m", float(v)) for v in (5, 6, 7, 8, 9)] + [("d", "n", float(v)) for v in (1, 2, 3, 4, 5)]
     df = spark.createDataFrame(rows, "dataset string, method string, value double")

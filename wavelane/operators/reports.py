@@ -47,17 +47,19 @@ def generation_stats(scores: DataFrame, keys: list[str], score: str = "score") -
         F.min(score).alias("min"), F.percentile(score, F.lit(0.25)).alias("q25"), F.percentile(score, F.lit(0.75)).alias("q75"))
 
 
-def wilcoxon(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", spread: int = SPREAD) -> DataFrame:
+def wilcoxon(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", spread: int = SPREAD, digits: int | None = None) -> DataFrame:
     """Paired signed-rank test per key: statistic, z and two-sided normal p.
 
-    Zero differences are dropped; ties share average ranks and shrink the variance.
+    Zero differences are dropped; ties share average ranks and shrink the variance. With ``digits``, what is left is rounded
+    before it is ranked, so that means summed in another order tie as equal ones do.
     """
-    diff = pairs.select(*keys, (F.col(x) - F.col(y)).alias("d")).where("d <> 0").withColumn("a", F.abs("d"))
+    d = F.col(x) - F.col(y)
+    diff = pairs.where(d != 0).select(*keys, (d if digits is None else F.round(d, digits)).alias("d")).withColumn("a", F.abs("d"))
     ranks = average_ranks(diff, keys, "a", spread)
-    signed = diff.groupBy(*keys, "a").agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"))
+    signed = diff.groupBy(*keys, "a").agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"), F.count(F.when(F.col("d") < 0, 1)).alias("down"))
     sums = ranks.join(signed, [*keys, "a"]).groupBy(*keys).agg(
         F.max("rows").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"),
-        F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("minus"),
+        F.sum(F.col("rank") * F.col("down")).alias("minus"),
         F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     stat = F.least("plus", "minus")
@@ -109,12 +111,12 @@ def compare_methods(results: DataFrame, first: str, second: str, dataset: str =
 
 
 def compare_table(results: DataFrame, first: str, second: str, dataset: str = "dataset", method: str = "method",
-                  run: str = "run", value: str = "accuracy", spread: int = SPREAD) -> DataFrame:
-    """``compare_methods`` with the paired test where the deviations are shown."""
+                  run: str = "run", value: str = "accuracy", spread: int = SPREAD, digits: int | None = None) -> DataFrame:
+    """``compare_methods`` with the paired test (differences rounded to ``digits``) where the deviations are shown."""
     table = compare_methods(results, first, second, dataset, method, value)
     a = results.where(F.col(method) == first).select(dataset, run, F.col(value).alias("x"))
     b = results.where(F.col(method) == second).select(dataset, run, F.col(value).alias("y"))
-    test = wilcoxon(a.join(b, [dataset, run]), [dataset], spread=spread).select(dataset, "statistic", "z", "p_value")
+    test = wilcoxon(a.join(b, [dataset, run]), [dataset], spread=spread, digits=digits).select(dataset, "statistic", "z", "p_value")
     shown = F.col("std1").isNotNull()
     return table.join(test, dataset, "left").select(
         *table.columns, *[F.when(shown, F.col(c)).alias(c) for c in ("statistic", "z", "p_value")])

@@ -121,8 +121,7 @@ def wilcoxon(spark, folder):
     table = results(spark, folder)
     a = table.where(F.col("method") == FIRST).select("dataset", "run", F.col("accuracy").alias("x"))
     b = table.where(F.col("method") == SECOND).select("dataset", "run", F.col("accuracy").alias("y"))
-    pairs = a.join(b, ["dataset", "run"]).withColumn("x", F.round(F.col("x") - F.col("y"), 6)).withColumn("y", F.lit(0.0))
-    return Z.wilcoxon(pairs, ["dataset"]).select("dataset", "n", "statistic", F.round("z", 6).alias("z"))
+    return Z.wilcoxon(a.join(b, ["dataset", "run"]), ["dataset"], digits=6).select("dataset", "n", "statistic", F.round("z", 6).alias("z"))
 
 
 @query("compare_methods", f"""WITH {RESULTS},
@@ -141,7 +140,7 @@ SELECT a.dataset, round(a.m, 4) AS mean1, round(b.m, 4) AS mean2, CASE WHEN a.n
   CASE WHEN a.n > 1 AND a.n = b.n THEN z END AS z
 FROM m a JOIN m b USING (dataset) LEFT JOIN wz USING (dataset) WHERE a.method = '1-URGENT' AND b.method = '5-LOW'""")
 def compare_table(spark, folder):
-    out = Z.compare_table(results(spark, folder), FIRST, SECOND)
+    out = Z.compare_table(results(spark, folder), FIRST, SECOND, digits=6)
     return out.select("dataset", F.round("mean1", 4).alias("mean1"), F.round("mean2", 4).alias("mean2"),
                       "statistic", F.round("z", 6).alias("z"))
 
