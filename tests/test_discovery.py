@@ -314,6 +314,41 @@ def test_block_search_keeps_what_can_win(spark, series_of, monkeypatch):
             assert len(likely) < full.count()
 
 
+def test_copies_are_searched_once(spark, series_of, monkeypatch):
+    """Copies count as often as they occur, all of them are found, and the search sees one of each."""
+    rng = np.random.default_rng(5)
+    lists = [(i % 2, np.cumsum(rng.normal(size=14))) for i in range(12)]
+    rows = [(i, *lists[i % 12]) for i in range(50)]  # four or five of each
+    series = series_of(rows).withColumn("run", (F.col("series_id") > 23).cast("int"))
+    real, seen = E.score_windows_shared, []
+    for fast in (False, True):
+        for by in (None, "run"):
+            order = ([by] if by else []) + ["gain", "gap", "series_id", "start", "length"]
+            want = real(series, [5, 8], fast, 6, by).toPandas().sort_values(order, ascending=False)
+            want = want.groupby(by).head(7) if by else want.head(7)
+            search = E.discover_fast if fast else E.discover_exhaustive
+            for limit in (None, 0):
+                monkeypatch.setattr(E, "score_windows_shared", lambda s, *a: seen.append(s.count()) or real(s, *a))
+                got = search(series, n=7, lengths=[5, 8], digits=6, by=by, broadcast_points=limit).toPandas()
+                keys = [c for c in order if c not in ("gain", "gap")]
+                one, two = (t.sort_values(keys)[order].to_numpy() for t in (got, want))
+                np.testing.assert_allclose(one, two, atol=2e-6)  # means may lie on half a digit
+    assert seen == [12, 24, 12, 24]
+
+
+def test_weights_count_as_copies():
+    rng = np.random.default_rng(8)
+    label, weight = rng.integers(0, 3, 40), rng.integers(1, 5, 40)
+    dist = np.abs(rng.normal(size=(20, 40)))
+    dist[0], dist[1, :20], dist[2] = 1.0, np.inf, np.round(dist[2])
+    long, labels = np.repeat(dist, weight, axis=1), np.repeat(label, weight)
+    for got, want in zip(kernels.split_scores(dist, label, 3, 6, weight), kernels.split_scores(long, labels, 3, 6)):
+        np.testing.assert_allclose(got, want, atol=2e-6)
+    one = kernels.split_scores(dist[:1, :1], label[:1], 3, 6, np.array([4]))
+    assert one[0][0] == -np.inf and np.isnan(one[2][0])
+    assert (kernels.distance_histograms(dist, label, 3, 4.0, 9, weight) == kernels.distance_histograms(long, labels, 3, 4.0, 9)).all()
+
+
 def test_tree_estimator_in_a_pipeline(spark, patterns, tmp_path):
     from pyspark.ml import Pipeline, PipelineModel
 
