@@ -182,7 +182,7 @@ def gak_similarity(spark, folder):
 
     def run(frames):
         for frame in frames:
-            sims = [float(B.gak_similarity([a], [b])[0, 0]) for a, b in zip(frame["x"], frame["y"])]
+            sims = B.paired_gak(frame["x"].tolist(), frame["y"].tolist())
             yield pd.DataFrame({"series_id": frame["series_id"], "similarity": sims})
 
     return scaled.mapInPandas(run, "series_id long, similarity double")

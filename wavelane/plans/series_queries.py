@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wavelane.functions import arrays as A
 from wavelane.operators import prep as P, windows as W
 from wavelane.plans.registry import CUSTOMERS, EMB, PARTS, USERS, draw_key_sql, query
+from wavelane.runtime import fits_broadcast, table_size, write_through
 from wavelane.sources import pools, readers, tables
 
 BP4 = A.sax_breakpoints(4)
@@ -22,10 +23,17 @@ def points(df, values="values", name="x", keep=("series_id",), digits=6):
 
 def label_mean_pairs(series):
     """Each series next to the mean series of its label, as arrays x and y."""
-    means = pools.label_means(series).groupBy("label").agg(
+    means = write_through(pools.label_means(series).groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct("p", "x"))).alias("_m")).select(
-        "label", F.transform("_m", lambda e: e["x"]).alias("y"))
-    return series.join(means, "label").select("series_id", "label", F.col("values").alias("x"), "y")
+        "label", F.transform("_m", lambda e: e["x"]).alias("y")))
+    # Joining on the label alone would gather each label in one task.
+    spread = 4 * series.sparkSession.sparkContext.defaultParallelism
+    if fits_broadcast(*table_size(means, "y")):
+        joined = series.repartition(spread, "series_id").join(F.broadcast(means), "label")
+    else:
+        copies = means.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        joined = series.withColumn("_part", F.pmod(F.xxhash64("series_id"), F.lit(spread)).cast("int")).join(copies, ["label", "_part"])
+    return joined.select("series_id", "label", F.col("values").alias("x"), "y")
 
 
 CUST_PAIRS = CUSTOMERS + """,
