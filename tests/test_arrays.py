@@ -86,3 +86,30 @@ def test_draw_masks():
 
 def test_brute_agrees_with_itself():
     assert brute.sliding([0, 1, 2, 3], [1, 2]) == (0.0, 1)
+
+
+def test_paired_rows_are_measured_together():
+    """Many pairs at once give what each pair gives alone."""
+    from wavelane.functions import breeding as B
+
+    rng = np.random.default_rng(4)
+    first = [list(rng.normal(size=int(rng.integers(1, 9)))) for _ in range(40)] + [[1.0, 1.0]]
+    second = [list(rng.normal(size=int(rng.integers(3, 12)))) for _ in range(40)] + [[1.0, 1.0, 1.0]]
+    alone = [B.gak_similarity([a], [b])[0, 0] for a, b in zip(first, second)]
+    np.testing.assert_allclose(B.paired_gak(first, second, block=7), alone, rtol=1e-12)
+    x, y = rng.normal(size=(30, 9)), rng.normal(size=(30, 14))
+    x[3], y[4, :7], x[5, :6] = 2.0, 0.5, 1e-9 * x[5, :6]
+    got = kernels.paired_correlations(x, y, 5)
+    for i in range(30):
+        np.testing.assert_allclose(got[i], kernels.window_correlations(x[i], y[i], 5), atol=1e-12)
+    naive = [[np.corrcoef(x[0, u:u + 5], y[0, v:v + 5])[0, 1] for v in range(10)] for u in range(5)]
+    np.testing.assert_allclose(got[0], naive, atol=1e-9)
+
+
+def test_series_of_one_label_lie_in_many_tasks(spark, series_of):
+    from wavelane.plans.series_queries import label_mean_pairs
+
+    rng = np.random.default_rng(2)
+    pairs = label_mean_pairs(series_of([(i, "one", rng.normal(size=4)) for i in range(400)]))
+    parts = pairs.select("series_id", F.spark_partition_id().alias("part")).groupBy("part").count().collect()
+    assert sum(r["count"] for r in parts) == 400 and max(r["count"] for r in parts) < 100

@@ -293,23 +293,31 @@ def window_moments(rows: np.ndarray, l: int):
 
 
 def window_correlations(x: np.ndarray, y: np.ndarray, l: int) -> np.ndarray:
-    """Correlation of every window of x with every window of y, by running sums.
+    """Correlation (u, v) of every window of x with every window of y."""
+    return paired_correlations(np.asarray(x)[None], np.asarray(y)[None], l)[0]
+
+
+def paired_correlations(x: np.ndarray, y: np.ndarray, l: int) -> np.ndarray:
+    """Correlations (p, u, v) of the windows of paired rows of (p, n) and (p, m), by running sums.
 
     Both series are scaled to unit deviation first, so amplitude and offset do not matter; windows that hardly vary against
     their series are correlated from their own values.
     """
     x, y = z_norm(x), z_norm(y)
-    cross = cross_prefix(x, y)[0]
+    (p, n), m = x.shape, y.shape[1]
+    cross = np.zeros((p, n + 1, m + 1))
+    for u in range(n):
+        cross[:, u + 1, 1:] = cross[:, u, :-1] + x[:, u, None] * y
     mx, dx, flat_x, sure_x = window_moments(x, l)
     my, dy, flat_y, sure_y = window_moments(y, l)
-    cov = cross[l:, l:] - cross[:-l, :-l] - l * np.outer(mx, my)
-    corr = cov / (l * np.outer(dx, dy))
-    if not (sure_x.all() and sure_y.all()):
-        wx, wy = z_norm(sliding_window_view(x, l)), z_norm(sliding_window_view(y, l))
-        corr[~sure_x] = wx[~sure_x] @ wy.T / l
-        corr[:, ~sure_y] = wx @ wy[~sure_y].T / l
+    cov = cross[:, l:, l:] - cross[:, :-l, :-l] - l * (mx[:, :, None] * my[:, None, :])
+    corr = cov / (l * (dx[:, :, None] * dy[:, None, :]))
+    for i in np.flatnonzero(~(sure_x.all(axis=1) & sure_y.all(axis=1))):
+        wx, wy = z_norm(sliding_window_view(x[i], l)), z_norm(sliding_window_view(y[i], l))
+        corr[i, ~sure_x[i]] = wx[~sure_x[i]] @ wy.T / l
+        corr[i][:, ~sure_y[i]] = wx @ wy[~sure_y[i]].T / l
     corr[flat_x] = 0.0
-    corr[:, flat_y] = 0.0
+    corr.transpose(0, 2, 1)[flat_y] = 0.0
     return np.minimum(1.0, corr)
 
 

@@ -154,17 +154,19 @@ def window_correlation(pairs: DataFrame, length: int, x: str = "x", y: str = "y"
         for batch in batches:
             left = kernels.Ragged.from_arrow(batch.column(x))
             right = kernels.Ragged.from_arrow(batch.column(y))
-            for i in range(len(left)):
-                n, m = int(left.lengths[i]), int(right.lengths[i])
+            both = left.lengths * (right.lengths.max(initial=0) + 1) + right.lengths  # pairs of equal lengths are matched together
+            for _, alike in kernels.ragged_groups(both):
+                n, m = int(left.lengths[alike[0]]), int(right.lengths[alike[0]])
                 if min(n, m) < length:
                     continue
-                a = left.flat[left.starts[i]:left.starts[i] + n]
-                b = right.flat[right.starts[i]:right.starts[i] + m]
-                corr = kernels.window_correlations(a, b, length)
-                u, v = np.divmod(np.arange(corr.size), corr.shape[1])
-                sid = batch.column("series_id").take(pa.array(np.full(corr.size, i)))
-                yield pa.RecordBatch.from_arrays(
-                    [sid, pa.array(u), pa.array(v), pa.array(corr.reshape(-1))], names=schema.fieldNames())
+                step = max(1, kernels.SEARCH_CELLS // ((n + 1) * (m + 1)))
+                for rows in (alike[k:k + step] for k in range(0, len(alike), step)):
+                    corr = kernels.paired_correlations(left.block(rows, n), right.block(rows, m), length)
+                    cells = corr.shape[1] * corr.shape[2]
+                    u, v = np.divmod(np.arange(cells), corr.shape[2])
+                    sid = batch.column("series_id").take(pa.array(np.repeat(rows, cells)))
+                    yield pa.RecordBatch.from_arrays([sid, pa.array(np.tile(u, len(rows))), pa.array(np.tile(v, len(rows))),
+                                                      pa.array(corr.reshape(-1))], names=schema.fieldNames())
 
     return pairs.select("series_id", x, y).mapInArrow(run, schema)
 
