@@ -141,3 +141,27 @@ def test_discovery_grid(spark, blobs):
     quick = {"populationSize": 4, "iterations": 1, "fitness": Fit.class_scatter_fitness}
     model, max_len, shaps = C.discovery_grid(blobs, lengths=[8], shapelet_counts=[3], folds=2, search=quick, final=quick)
     assert max_len == 8 and shaps == 3 and model.shapelets.count() >= 1
+
+
+def test_knn_searches_equal_features_once(spark, monkeypatch):
+    """Copies on both sides: one query and the k smallest ids of each are searched, and every row gets its neighbours."""
+    rows = [(i, i % 2, [float(i % 7), 0.0]) for i in range(700)]
+    df = spark.createDataFrame(rows, "series_id long, label long, features array<double>")
+    real, seen = C._knn, []
+    monkeypatch.setattr(C, "_knn", lambda test, train, *a: seen.append((test.count(), train.count())) or real(test, train, *a))
+    for limit in (None, 0):
+        got = {(r.series_id, r["rank"]): (r.train_id, r.label, r.dist) for r in C.knn_join(df, df, 3, broadcast_points=limit).collect()}
+        assert got == {(i, k + 1): (i % 7 + 7 * k, (i % 7 + 7 * k) % 2, 0.0) for i in range(700) for k in range(3)}
+    assert seen == [(7, 21)] * 2
+
+
+def test_knn_beyond_a_small_table_goes_by_blocks(spark, monkeypatch):
+    """What a task holds of the training rows does not grow with them."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 2, list(map(float, rng.normal(size=2)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "series_id long, label long, features array<double>")
+    want = sorted(map(tuple, C.knn_join(df, df, 2).collect()))
+    real, calls = C._knn_by_blocks, []
+    monkeypatch.setattr(C, "_knn_by_blocks", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(C, "KNN_POINTS", 119)
+    assert C.KNN_POINTS < 120 and sorted(map(tuple, C.knn_join(df, df, 2).collect())) == want and calls == [1]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from wavelane.functions import kernels
 from wavelane.operators import prep as P
 from wavelane.ml import neighbours as N
-from wavelane.runtime import attach_row, fits_broadcast, table_size, write_through
+from wavelane.runtime import attach_row, fits_broadcast, spread_small_input, table_size, write_through
 
 # The grid of C.
 C_GRID = [10.0 ** i for i in range(-2, 6)] + [5.0 ** i for i in range(-2, 6)]
@@ -152,6 +152,8 @@ def voting_hard(votes: DataFrame, weights: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ nearest neighbours
 
 KNN_BLOCK = 4096
+KNN_POINTS = 1024 * 1024  # training points that every task holds; beyond it blocks of rows meet
+KNN_CELLS = 512 * 1024    # distances formed at once
 
 
 def _gaps(x, y):
@@ -173,7 +175,7 @@ def _nearest(x, y, ids, k, digits):
     centre = y.mean(axis=0) if finite else 0.0
     yc = y - centre
     square = (yc * yc).sum(1)
-    step = max(1, kernels.BLOCK_CELLS // max(len(y), 1))
+    step = max(1, KNN_CELLS // max(len(y), 1))
     for a in range(0, len(x), step):
         part = x[a:a + step]
         if finite:
@@ -187,7 +189,7 @@ def _nearest(x, y, ids, k, digits):
         else:
             i, j = np.divmod(np.arange(len(part) * len(y)), len(y))
         exact = np.empty(len(i))
-        rows = max(1, kernels.BLOCK_CELLS // max(x.shape[1], 1))
+        rows = max(1, KNN_CELLS // max(x.shape[1], 1))
         for b in range(0, len(i), rows):
             exact[b:b + rows] = _gaps(part[i[b:b + rows]], y[j[b:b + rows]])
         exact = np.round(exact, digits)
@@ -203,13 +205,28 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, broadcast_points: int |
     """(series_id, rank, train_id, label, dist): k nearest training rows in distance space.
 
     Both sides have (series_id, features array); train has label. Only the k nearest of a block leave a task, never all
-    pairs. Ties after rounding to ``digits`` go to the smaller train id, however many rows tie.
+    pairs. Ties after rounding to ``digits`` go to the smaller train id, however many rows tie. Equal features are searched
+    once, and of training rows with equal features only the k smallest ids can be among the nearest.
     """
-    sized = train.select(F.col("series_id").alias("train_id"), F.col("label").cast("long").alias("label"),
-                         F.col("features").alias("_f"))
+    copy = F.row_number().over(Window.partitionBy("_f").orderBy("train_id"))
+    sized = write_through(train.select(F.col("series_id").alias("train_id"), F.col("label").cast("long").alias("label"),
+                                       F.col("features").alias("_f")).withColumn("_copy", copy).where(F.col("_copy") <= k).drop("_copy"))
     rows, points = table_size(sized, "_f")
+    every = write_through(test.select("series_id", "features"))
+    test = write_through(every.groupBy("features").agg(F.min("series_id").alias("series_id")).select("series_id", "features"))
+    near = _knn(test, sized, rows, points, k, broadcast_points, digits)
+    if test.count() == every.count():
+        return near
+    items = F.collect_list(F.struct("rank", "train_id", "label", "dist")).alias("_near")
+    packed = test.join(near.groupBy("series_id").agg(items), "series_id").select("features", "_near")
+    return every.join(packed, "features").select("series_id", F.explode("_near").alias("_n")).select(
+        "series_id", "_n.train_id", "_n.label", "_n.dist", "_n.rank")
+
+
+def _knn(test, sized, rows, points, k, broadcast_points, digits):
+    """The join of queries with different features."""
     sid = test.schema["series_id"].dataType.simpleString()
-    tid = train.schema["series_id"].dataType.simpleString()
+    tid = sized.schema["train_id"].dataType.simpleString()
     schema = f"series_id {sid}, train_id {tid}, label long, dist double"
     names = ["series_id", "train_id", "label", "dist"]
 
@@ -222,7 +239,7 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, broadcast_points: int |
         own = kernels.Ragged.from_arrow(column)
         return own.flat.reshape(len(own), -1)
 
-    if fits_broadcast(rows, points, broadcast_points):
+    if fits_broadcast(rows, points, KNN_POINTS if broadcast_points is None else broadcast_points):
         table = sized.toArrow()
         ids = table.column("train_id").to_numpy()
         labels = table.column("label").to_numpy()
@@ -235,7 +252,7 @@ def knn_join(test: DataFrame, train: DataFrame, k: int, broadcast_points: int |
                     yield pa.RecordBatch.from_arrays(
                         emit(batch.column("series_id"), matrix(batch.column("features")), ids, labels, y), names=names)
 
-        near = test.select("series_id", "features").mapInArrow(run, schema)
+        near = spread_small_input(test.select("series_id", "features")).mapInArrow(run, schema)
     elif not rows:
         near = test.sparkSession.createDataFrame([], schema)
     else:
