@@ -101,3 +101,16 @@ def test_stream_projection(spark, series_of, shapelets_of, tmp_path):
     got = {r.series_id: r.features for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.series_id: r.features for r in D.distance_features(series, shapelets).collect()}
     assert got == want
+
+
+def test_a_match_holds_little_beside_its_rows():
+    """Intermediates of a large batch stay far below the 100 MB that all its products take."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x, s = rng.normal(size=(10_000, 64)), rng.normal(size=(40, 16))
+    tracemalloc.start()
+    kernels.best_match(x, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6

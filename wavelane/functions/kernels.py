@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
-BLOCK_CELLS = 4 * 1024 * 1024  # float64 cells per intermediate, about 32 MB
+BLOCK_CELLS = 512 * 1024  # float64 cells per intermediate, about 4 MB
 
 
 def z_norm(rows: np.ndarray) -> np.ndarray:
@@ -326,6 +326,7 @@ def paired_correlations(x: np.ndarray, y: np.ndarray, l: int) -> np.ndarray:
 SEARCH_CELLS = 512 * 1024  # products formed at once; small enough to stay in a core's cache
 NEAR = 1e-4                # correlations this close to 1 are measured from the differences
 LONG_SERIES = 8 * 1024     # windows of a series that are held at once
+HELD_CELLS = 8 * 1024 * 1024  # of the normalised windows that are kept
 BUCKETS = 128              # of a distance histogram
 
 
@@ -343,7 +344,7 @@ class Windows:
         ends = np.cumsum(pool.lengths[self.fits] - length + 1)
         runs = np.searchsorted(ends, np.arange(room, (ends[-1] if len(ends) else 0) + room, room), "right")
         self.cuts = np.unique(np.concatenate([[0], runs, [len(self.fits)]])).astype(int)
-        self.kept = [None] * (len(self.cuts) - 1) if len(ends) and ends[-1] * length <= 2 * BLOCK_CELLS else None
+        self.kept = [None] * (len(self.cuts) - 1) if len(ends) and ends[-1] * length <= HELD_CELLS else None
 
     def _run(self, rows: np.ndarray):
         counts = self.pool.lengths[rows] - self.length + 1

@@ -21,6 +21,7 @@ from wavelane.operators import distance as D, metrics as M, prep as P, ranking a
 from wavelane.runtime import attach_row, fits_broadcast, table_size, write_through
 
 CANDIDATES = 512        # candidates of one length that are scored together, at most
+DISTANCE_CELLS = 4 * 1024 * 1024  # of their distances to a pool
 SERIES_BLOCK = 4_096    # series of a block beyond the size check
 SCORES = {"ig": ("gain", "gap")}
 
@@ -164,7 +165,7 @@ def score_windows_shared(series: DataFrame, lengths: list[int], fast: bool, digi
             keys = np.array(batch.column(by).to_pylist()) if by else np.zeros(len(own), dtype=int)
             for g in np.unique(keys):
                 label, pool, weight = groups[g.item()]
-                together = max(1, min(CANDIDATES, kernels.BLOCK_CELLS // len(pool)))
+                together = max(1, min(CANDIDATES, DISTANCE_CELLS // len(pool)))
                 for length in lengths:
                     if (g, length) not in held:
                         held = {k: w for k, w in held.items() if k[0] == g}  # batches are in no order of groups, so keep one
