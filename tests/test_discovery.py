@@ -298,6 +298,70 @@ def test_gain_bounds_enclose_the_best_gain():
         assert (low <= gain + 1e-9).all() and (gain <= up + 1e-9).all()
 
 
+def odd_series(rng):
+    lists = [rng.normal(size=int(rng.integers(3, 40))) * 10.0 ** rng.integers(-6, 6) + 10.0 ** rng.integers(-3, 4) for _ in range(40)]
+    return lists + [np.full(12, 3.0), np.concatenate([np.zeros(9), rng.normal(size=9)]), np.arange(20.0), lists[0], 2 * lists[1] + 1, np.zeros(0)]
+
+
+@pytest.mark.parametrize("metric,on_short", [("znorm", "swap"), ("corr", "inf")])
+def test_single_precision_is_off_by_its_error_at_most(metric, on_short, monkeypatch):
+    rng = np.random.default_rng(13)
+    lists = odd_series(rng)
+    pool = kernels.Ragged.from_lists(lists)
+    for rows, cells, kept in ((4096, 128 * 1024, 1 << 24), (7, 512, 0)):  # with the second, a long series comes in pieces
+        for name, value in (("UNIT_ROWS", rows), ("UNIT_CELLS", cells), ("KEPT_CELLS", kept)):
+            monkeypatch.setattr(kernels, name, value)
+        for length in (4, 9):
+            cand = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, length) for x in lists if len(x) >= length])
+            got = E._correlations(cand, kernels.UnitWindows(pool, length), metric, on_short)
+            dist = E._distances(cand, kernels.Windows(pool, length, 64), metric, on_short)
+            assert ((got == -2) == np.isinf(dist)).all()
+            want = np.where(np.isinf(dist), -2.0, 1 - dist ** 2 / (2 if metric == "corr" else 2 * length))
+            assert np.abs(got - want).max() <= kernels.correlation_error(length)
+    missing = kernels.Ragged.from_lists([lists[0], np.append(np.nan, np.arange(30.0))])
+    got = E._correlations(cand[:3], kernels.UnitWindows(missing, 9), metric, on_short)
+    assert (np.isnan(got) == [False, True]).all()
+
+
+def test_gain_limits_are_above_every_gain_and_near():
+    rng = np.random.default_rng(4)
+    for classes, n in ((2, 140), (5, 3000), (10, 1000), (300, 700), (3, 2), (1, 150)):
+        label = rng.integers(0, classes, n)
+        corr = np.clip(0.5 + 0.1 * rng.normal(size=(40, n)) + 0.05 * rng.random((40, 1)) * (label % 2), -0.9, 0.99)
+        corr[:4] = np.round(corr[:4], 1)                # ties
+        corr[4], corr[5, :n // 3] = 0.5, -2.0            # one value; infinitely far
+        corr[6, :n // 2] = 0.5 + 1e-7 * rng.random(n // 2)  # closer than the error
+        weight = rng.integers(1, 400, n)
+        for given in (None, weight):
+            for error in (1e-6, 1e-3):
+                dist = np.where(corr > -2, np.sqrt(2 * (1 - corr)), np.inf)
+                gain = kernels.split_scores(dist, label, classes, 9, given)[0]
+                wrong = np.where(corr > -2, corr + error * rng.uniform(-0.99, 0.99, corr.shape), -2.0).astype(np.float32)
+                up = kernels.gain_limits(wrong.T.copy().T, label, classes, error + 2.0 ** -23, given)
+                assert (up >= gain - 1e-9).all()
+                if error == 1e-6 and given is None and n > 500 and classes < 100:
+                    assert np.median((up - gain)[7:]) * n < 6 and (up - gain)[7:].max() * n < 30
+    wrong[0], wrong[1, :5] = np.nan, np.nan
+    found = kernels.gain_limits(wrong, label, classes, 1e-3)
+    assert found[0] == -np.inf and np.isfinite(found[1:]).all()
+
+
+def test_series_without_signal_are_bounded(spark, series_of):
+    """Where labels tell nothing, few windows are scored in double precision; the n best are those of the whole search."""
+    rng = np.random.default_rng(14)
+    rows = [(i, int(rng.integers(0, 4)), rng.exponential(size=int(rng.integers(7, 22)))) for i in range(600)]
+    series = series_of(rows).withColumn("run", F.col("series_id") % 3)
+    for fast in (False, True):
+        for by in (None, "run"):
+            order = ([by] if by else []) + ["gain", "gap", "series_id", "start", "length"]
+            want = E.score_windows_shared(series, [8, 16], fast, 6, by).toPandas()
+            got = E.score_windows_shared(series, [8, 16], fast, 6, by, 3).toPandas()
+            best = [t.sort_values(order, ascending=False) for t in (want, got)]
+            one, two = ((t.groupby(by).head(3) if by else t.head(3))[order].to_numpy() for t in best)
+            np.testing.assert_array_equal(one, two)
+            assert len(got) < len(want) / 5
+
+
 def test_block_search_keeps_what_can_win(spark, series_of, monkeypatch):
     """Several blocks of series: the counts add up, few windows go on, and the n best of every group are among them."""
     rng = np.random.default_rng(21)
